@@ -53,12 +53,3 @@ def label_of_extreme(df: DataFrame, label: str, value: str, highest: bool, group
         .agg(best.alias("best"))
         .select(*group, F.col("best.label").alias(label), F.col("best.value").alias(value))
     )
-
-
-def latency_stats(latency: str) -> list[Column]:
-    """Mean, median and nearest-rank 90th percentile."""
-    return [
-        F.avg(latency).alias("latency_mean"),
-        F.percentile(F.col(latency), 0.5).alias("latency_median"),
-        F.expr(f"percentile_disc(0.9) within group (order by `{latency}`)").alias("latency_p90"),
-    ]
