@@ -58,8 +58,15 @@ def exact_sum(col: Column) -> Column:
 
 
 def rounded(col: Column, digits: int) -> Column:
+    """An exact decimal rounded half up, as a double."""
     return F.round(col, digits).cast("double")
 
 
+def round_double(col: Column, digits: int) -> Column:
+    """Rounds a double by its binary value. ``F.round`` goes by the printed digits, so 0.285 (a little less) goes up."""
+    factor = F.lit(10.0**digits)
+    return F.round(col.cast("double") * factor) / factor
+
+
 def _col(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -26,11 +26,16 @@ def avg_if(condition: Column, value: Column) -> Column:
     return F.avg(F.when(condition, value))
 
 
+def average(expression: Column) -> Column:
+    """The exact sum over the count, as a double; the mean of decimals would be cut to a few digits."""
+    return F.sum(expression).cast("double") / F.nullif(F.count(expression).cast("double"), F.lit(0.0))
+
+
 MEASURE_AGGREGATIONS: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
     "count": F.count,
     "count_distinct": F.countDistinct,
-    "average": F.avg,
+    "average": average,
     "min": F.min,
     "max": F.max,
 }

@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.dates import month_of, parse_date, parse_timestamp
-from tillmark.functions.money import QUANTITY, exact_sum, ledger_money, money, rounded, safe_ratio, to_nzd
+from tillmark.functions.money import (
+    QUANTITY,
+    exact_sum,
+    ledger_money,
+    money,
+    round_double,
+    rounded,
+    safe_ratio,
+    to_nzd,
+)
 from tillmark.operators.aggregates import count_if, distinct_if
 from tillmark.plans import staging
 from tillmark.sources import seeds
@@ -131,7 +140,7 @@ def monthly_category_margin(sales_: DataFrame) -> DataFrame:
             "product_category",
             rounded(F.coalesce("r", F.lit(0)), 2).alias("revenue_nzd"),
             rounded(F.coalesce("p", F.lit(0)), 2).alias("gross_profit_nzd"),
-            F.round(safe_ratio(F.col("p"), F.col("r")), 4).alias("gross_margin"),
+            round_double(safe_ratio(F.col("p"), F.col("r")), 4).alias("gross_margin"),
         )
     )
 
@@ -153,7 +162,7 @@ def monthly_marketing(web_sales_: DataFrame, spend: DataFrame, fx: DataFrame) ->
         *keys,
         rounded(F.coalesce("spent", F.lit(0)), 2).alias("ad_spend_nzd"),
         rounded(credit, 2).alias("attributed_revenue_nzd"),
-        F.round(safe_ratio(credit, F.col("spent")), 4).alias("roas"),
+        round_double(safe_ratio(credit, F.col("spent")), 4).alias("roas"),
     )
 
 
@@ -166,7 +175,7 @@ def monthly_delivery(shipments: DataFrame) -> DataFrame:
             F.col("channel").alias("sales_channel"),
         )
         .agg(F.count("*").alias("shipments"), count_if(on_time).alias("on_time_shipments"))
-        .withColumn("on_time_rate", F.round(safe_ratio(F.col("on_time_shipments"), F.col("shipments")), 4))
+        .withColumn("on_time_rate", round_double(safe_ratio(F.col("on_time_shipments"), F.col("shipments")), 4))
     )
 
 

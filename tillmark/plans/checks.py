@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillmark.functions.dates import parse_timestamp
+from tillmark.functions.money import round_double
 from tillmark.operators.aggregates import count_if
 from tillmark.operators.joins import without_match
+from tillmark.sources.seeds import local_table
 
 DETECT = "dq_detect"
 
@@ -209,7 +211,7 @@ def freshness(
     return (
         reduce(DataFrame.unionByName, rows)
         .withColumn("age", age)
-        .select("feed", F.col("newest").alias("max_extracted_at"), F.round("age", 1).alias("age_days"), status.alias("status"))
+        .select("feed", F.col("newest").alias("max_extracted_at"), round_double(F.col("age"), 1).alias("age_days"), status.alias("status"))
     )
 
 
@@ -220,12 +222,11 @@ def results(
     spark: SparkSession, checks: Sequence[Check], counts: DataFrame, fresh: DataFrame
 ) -> DataFrame:
     """One row per check and per feed freshness: name, kind, severity, status, failing rows and tags."""
-    declared = spark.createDataFrame(
-        [(c.name, c.severity, ",".join(c.tags)) for c in checks], "name string, severity string, tags string"
-    )
+    rows_ = [(c.name, c.severity, ",".join(c.tags)) for c in checks]
+    known = local_table(spark, ["name", "severity", "tags"], rows_)
     rows = F.coalesce("failing_rows", F.lit(0)).cast("long")
     status = F.when(rows == 0, "pass").when(F.col("severity") == "warn", "warn").otherwise("fail")
-    tests = declared.join(counts, ["name"], "left").select(
+    tests = known.join(counts, ["name"], "left").select(
         "name",
         F.lit("test").alias("kind"),
         "severity",

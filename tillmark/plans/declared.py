@@ -260,7 +260,7 @@ def run(models: Models, contract_failures: DataFrame | None = None) -> DataFrame
 
 def incident_mapping(models: Models) -> DataFrame:
     rows = [(kind, name, needs) for kind, (names, needs) in MEANT_FOR.items() for name in names]
-    return models.spark.createDataFrame(rows, "kind string, name string, needs_evidence boolean")
+    return seeds.local_table(models.spark, ["kind", "name", "needs_evidence"], rows)
 
 
 def evidence(models: Models, contract_failures: DataFrame | None = None) -> DataFrame:

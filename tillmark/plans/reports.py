@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.dates import add_months, month_diff, month_label, month_of, parse_timestamp
-from tillmark.functions.money import exact_sum, money, rounded, safe_ratio
+from tillmark.functions.money import exact_sum, money, round_double, rounded, safe_ratio
 from tillmark.functions.ordering import ascending, descending
 from tillmark.operators.aggregates import avg_if, count_if, distinct_if, sum_if
 from tillmark.operators.joins import full_on
@@ -57,7 +57,7 @@ def monthly_category_margin(lines: DataFrame) -> DataFrame:
         "product_category",
         rounded(F.col("revenue_nzd"), 2).alias("revenue_nzd"),
         rounded(F.col("gross_profit_nzd"), 2).alias("gross_profit_nzd"),
-        F.round(safe_ratio(F.col("gross_profit_nzd"), F.col("costed_revenue_nzd")), 4).alias("gross_margin"),
+        round_double(safe_ratio(F.col("gross_profit_nzd"), F.col("costed_revenue_nzd")), 4).alias("gross_margin"),
         F.rank().over(best_first).alias("gross_profit_rank"),
     )
 
@@ -76,7 +76,7 @@ def monthly_marketing(spend: DataFrame, orders: DataFrame) -> DataFrame:
         *keys,
         rounded(F.coalesce("spent", ZERO), 2).alias("ad_spend_nzd"),
         rounded(F.coalesce("earned", ZERO), 2).alias("attributed_revenue_nzd"),
-        F.round(safe_ratio(F.col("earned"), F.col("spent")), 4).alias("roas"),
+        round_double(safe_ratio(F.col("earned"), F.col("spent")), 4).alias("roas"),
     )
 
 
@@ -95,8 +95,8 @@ def monthly_delivery(shipments: DataFrame) -> DataFrame:
             "sales_channel",
             "shipments",
             "on_time_shipments",
-            F.round(safe_ratio(F.col("on_time_shipments"), F.col("shipments")), 4).alias("on_time_rate"),
-            F.round("late", 2).alias("avg_days_late_when_late"),
+            round_double(safe_ratio(F.col("on_time_shipments"), F.col("shipments")), 4).alias("on_time_rate"),
+            round_double(F.col("late"), 2).alias("avg_days_late_when_late"),
         )
     )
 
@@ -131,7 +131,7 @@ def top_products(lines: DataFrame, materials: DataFrame, n: int = 10) -> DataFra
         "product_category",
         "units",
         rounded(F.col("revenue_nzd"), 2).alias("revenue_nzd"),
-        F.round(safe_ratio(F.col("revenue_nzd"), F.col("month_revenue")), 4).alias("share_of_month"),
+        round_double(safe_ratio(F.col("revenue_nzd"), F.col("month_revenue")), 4).alias("share_of_month"),
     )
 
 
@@ -196,7 +196,7 @@ def best_products_per_category(lines: DataFrame, materials: DataFrame, n: int =
         "description",
         "units",
         rounded(F.col("revenue"), 2).alias("revenue_nzd"),
-        F.round(share, 1).alias("pct_of_category"),
+        round_double(share, 1).alias("pct_of_category"),
     )
 
 
@@ -239,7 +239,7 @@ def cohort_retention(orders: DataFrame, web_orders: DataFrame) -> DataFrame:
     def retained(k: int) -> Column:
         seen = add_months(F.col("cohort_month"), k) <= F.col("last_month")
         share = F.lit(100.0) * safe_ratio(F.col(f"m{k}"), F.col("m0"))
-        return F.when(seen, F.round(share, 1)).alias(f"retained_m{k}_pct")
+        return F.when(seen, round_double(share, 1)).alias(f"retained_m{k}_pct")
 
     return ended.orderBy(*ascending("cohort_month")).select(
         month_label("cohort_month").alias("cohort"),
@@ -271,8 +271,8 @@ def period_over_period(lines: DataFrame, stores: DataFrame) -> DataFrame:
             month_label("m").alias("month"),
             rounded(F.col("revenue"), 2).alias("revenue_nzd"),
             rounded(F.col("prior"), 2).alias("prior_month_nzd"),
-            F.round(hundred * (safe_ratio(F.col("revenue"), F.col("prior")) - 1), 1).alias("change_pct"),
-            F.round(hundred * (safe_ratio(F.col("revenue"), F.col("usual")) - 1), 1).alias("vs_store_average_pct"),
+            round_double(hundred * (safe_ratio(F.col("revenue"), F.col("prior")) - 1), 1).alias("change_pct"),
+            round_double(hundred * (safe_ratio(F.col("revenue"), F.col("usual")) - 1), 1).alias("vs_store_average_pct"),
         )
     )
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillmark.functions.money import round_double
 from tillmark.functions.text import normalise_label, parse_number
 from tillmark.operators.aggregates import count_if, label_of_extreme
 from tillmark.operators.percentiles import group_percentiles
@@ -81,8 +82,8 @@ def summary(rows: DataFrame) -> DataFrame:
     totals = grouped.groupBy(*keys).agg(
         questions.alias("questions"),
         right.alias("correct"),
-        F.round(right / questions, 3).alias("accuracy"),
-        F.round(F.avg("latency_s"), 2).alias("latency_mean_s"),
+        round_double(right / questions, 3).alias("accuracy"),
+        round_double(F.avg("latency_s"), 2).alias("latency_mean_s"),
         F.bround(tokens, 0).cast("long").alias("tokens_per_question"),
         F.sum("llm_calls").alias("llm_calls"),
         F.sum("cached_calls").alias("cached_calls"),
@@ -91,7 +92,7 @@ def summary(rows: DataFrame) -> DataFrame:
     )
     spread = group_percentiles(grouped, keys, "latency_s", {"median": 0.5}, {"p90": 0.9})
     spread = spread.select(
-        *keys, F.round("median", 2).alias("latency_median_s"), F.round("p90", 2).alias("latency_p90_s")
+        *keys, round_double(F.col("median"), 2).alias("latency_median_s"), round_double(F.col("p90"), 2).alias("latency_p90_s")
     )
     return totals.join(spread, keys, "left")
 
@@ -151,4 +152,6 @@ def reference_answers(layer: MetricLayer, questions: Sequence[Question]) -> Data
 
 
 def as_text(answers: DataFrame) -> DataFrame:
-    return answers.select("id", F.coalesce("label", F.col("number").cast("string")).alias("answer"))
+    """Answers as written text; a decimal is never written with an exponent."""
+    plain = F.col("number").cast("decimal(38,12)").cast("string")
+    return answers.select("id", F.coalesce("label", plain).alias("answer"))

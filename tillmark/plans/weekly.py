@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.dates import date_series, iso_week_label
+from tillmark.functions.money import round_double
 from tillmark.plans.metrics import Filter, MetricLayer
 from tillmark.sources import seeds
 
@@ -23,7 +24,7 @@ SMOOTH_FLOOR = 5.0
 
 def change_pct(this: Column, previous: Column) -> Column:
     """NULL when either is NULL or the previous is 0."""
-    return F.round((this - previous) / F.nullif(previous, F.lit(0.0)) * 100, 1)
+    return round_double((this - previous) / F.nullif(previous, F.lit(0.0)) * 100, 1)
 
 
 def with_previous_week(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -53,8 +54,8 @@ def _facts(df: DataFrame, section: str, values: Sequence[str], digits: dict[str,
         *(
             F.struct(
                 F.lit(v).alias("metric"),
-                F.round(F.col(f"this_{v}"), digits.get(v, USUAL_DIGITS)).alias("this_week"),
-                F.round(F.col(f"prev_{v}"), digits.get(v, USUAL_DIGITS)).alias("previous_week"),
+                round_double(F.col(f"this_{v}"), digits.get(v, USUAL_DIGITS)).alias("this_week"),
+                round_double(F.col(f"prev_{v}"), digits.get(v, USUAL_DIGITS)).alias("previous_week"),
                 change_pct(F.col(f"this_{v}"), F.col(f"prev_{v}")).alias("change_pct"),
             )
             for v in values
@@ -101,7 +102,7 @@ def best_and_weakest_channel(layer: MetricLayer) -> DataFrame:
     """Per week the paid channels with the highest and the lowest return on ad spend."""
     order = F.array_position(F.array(*(F.lit(c) for c in seeds.PAID_CHANNELS)), F.col("marketing_channel"))
     known = paid_channels(layer).filter(F.col("roas").isNotNull())
-    rank = F.struct(F.round("roas", 4), order)
+    rank = F.struct(round_double(F.col("roas"), 4), order)
     return known.groupBy(F.col("date").alias("week")).agg(
         F.max_by("marketing_channel", rank).alias("best_channel_by_roas"),
         F.min_by("marketing_channel", rank).alias("weakest_channel_by_roas"),
@@ -118,8 +119,8 @@ def top_region(layer: MetricLayer) -> DataFrame:
     return earned.groupBy(F.col("date").alias("week")).agg(best.alias("b")).select(
         "week",
         F.col("b.region").alias("region"),
-        F.round(-F.col("b.rank"), 2).alias("attributed_revenue"),
-        F.round("b.roas", 4).alias("roas"),
+        round_double(-F.col("b.rank"), 2).alias("attributed_revenue"),
+        round_double(F.col("b.roas"), 4).alias("roas"),
     )
 
 
@@ -140,5 +141,5 @@ def smoothed_daily_revenue(orders: DataFrame) -> DataFrame:
     week = Window.partitionBy(*places).orderBy("date_day").rowsBetween(-3, 3)
     filled = spine.join(daily, ["date_day", *places], "left").fillna(0.0, ["revenue"])
     return filled.select(
-        "date_day", *places, F.round(F.greatest(F.avg("revenue").over(week), F.lit(SMOOTH_FLOOR)), 4).alias("smoothed")
+        "date_day", *places, F.greatest(F.avg("revenue").over(week), F.lit(SMOOTH_FLOOR)).alias("smoothed")
     )

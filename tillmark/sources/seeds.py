@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +46,24 @@ MATERIAL_GROUPS = [
 PAID_CHANNELS = [channel for channel, _, is_paid, _ in MARKETING_CHANNELS if is_paid == "true"]
 
 
+def local_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A handful of constant rows inside the plan itself, so their size is known when a join is planned."""
+    arrays = [pa.array(list(values)) for values in zip(*rows, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
 def regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REGIONS, "region_code string, region_name string, country string")
+    return local_table(spark, ["region_code", "region_name", "country"], REGIONS)
 
 
 def sales_channels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SALES_CHANNELS, "sales_channel string, channel_name string, description string")
+    return local_table(spark, ["sales_channel", "channel_name", "description"], SALES_CHANNELS)
 
 
 def marketing_channels(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(
-        MARKETING_CHANNELS, "marketing_channel string, channel_name string, is_paid string, platform string"
-    )
+    rows = local_table(spark, ["marketing_channel", "channel_name", "is_paid", "platform"], MARKETING_CHANNELS)
     return rows.withColumn("is_paid", F.col("is_paid").cast("boolean"))
 
 
 def material_groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MATERIAL_GROUPS, "material_group string, product_category string")
+    return local_table(spark, ["material_group", "product_category"], MATERIAL_GROUPS)

@@ -65,6 +65,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[[], DataFrame]] = {
             "erp_materials": self._materials,
             "erp_customers": self._customers,
@@ -94,7 +95,9 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         return len(self._makers)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def orders(self, channel: int) -> DataFrame:
         """Orders of one channel: 0 store, 1 online, 2 wholesale."""
@@ -394,3 +397,100 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         )
 
 
+
+
+# inputs of scoring, grounding and incident checks
+
+
+def answers(feeds: StarSchemaFeeds) -> DataFrame:
+    """Answers and references made from orders: (id, kind, metric, expected, answer), the answer in many notations."""
+    key, total = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(14,2)")
+    tenths = (key % 1000).cast("decimal(6,1)") / F.lit(10).cast("decimal(3,0)")
+    share = _text(((F.col("o_custkey") % 1000) * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(5,3)"))
+    percent = _text(((F.col("o_custkey") % 1000) * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(5,1)"))
+    priority = F.split_part("o_orderpriority", F.lit("-"), F.lit(2))
+    place = F.col("o_custkey") % 5
+    metric = F.when(key % 3 == 0, "revenue").when(key % 3 == 1, "gross_margin").otherwise("average_order_value")
+    is_label = key % 10 == 9
+    region = _pick(REGION_OF, place)
+    number = (
+        F.when(key % 8 == 0, F.concat(F.lit("NZD "), F.format_number(total.cast("double"), 2)))
+        .when(key % 8 == 1, _text(total))
+        .when(key % 8 == 2, F.concat(_text(F.floor(total.cast("double") / 1000)), F.lit("k")))
+        .when(key % 8 == 3, F.concat(_text(tenths.cast("decimal(6,1)")), F.lit("%")))
+        .when(key % 8 == 4, F.lit("n/a"))
+        .when(key % 8 == 5, F.concat(_text(F.floor(total.cast("double") / 1000)), F.lit(" thousand")))
+        .when(key % 8 == 6, F.concat(F.lit("$"), _text(total + F.lit(1))))
+        .otherwise(F.concat(F.lit("-"), _text(total)))
+    )
+    fraction = F.when(key % 4 == 0, F.concat(percent, F.lit("%"))).when(key % 4 == 1, percent).otherwise(share)
+    answer = (
+        F.when(is_label, F.when(key % 4 == 1, F.upper(_pick(REGION_NAME_OF, place))).otherwise(priority))
+        .when(metric == "gross_margin", fraction)
+        .otherwise(number)
+    )
+    expected = F.when(is_label, region).when(metric == "gross_margin", share).otherwise(_text(total))
+    return feeds.table("orders").select(
+        _text(key).alias("id"),
+        F.when(is_label, "label").otherwise("number").alias("kind"),
+        metric.alias("metric"),
+        expected.alias("expected"),
+        F.when(key % 17 != 0, answer).alias("answer"),
+    )
+
+
+def evaluation_rows(feeds: StarSchemaFeeds) -> DataFrame:
+    """One evaluated answer per event."""
+    event, user = F.col("event_id"), F.col("user_id")
+    prompt, completion = (event % 4000).cast("long"), (user % 300).cast("long")
+    usd = F.round(prompt / 1e6 * 0.10 + completion / 1e6 * 0.40, 6)
+    return feeds.table("events").select(
+        event.alias("id"),
+        F.when(user % 4 == 0, "holdout").otherwise("dev").alias("split"),
+        F.when(event % 2 == 0, "baseline").otherwise("semantic_agent").alias("system"),
+        (F.col("event_type") != "error").alias("correct"),
+        F.col("value").alias("latency_s"),
+        prompt.alias("prompt_tokens"),
+        completion.alias("completion_tokens"),
+        (event % 3 + 1).alias("llm_calls"),
+        (event % 2).alias("cached_calls"),
+        usd.alias("cost_usd"),
+        F.when((F.col("event_type") == "error") & (event % 5 == 0), "timeout").alias("error"),
+        F.when(event % 97 == 0, "no model").alias("skipped"),
+    )
+
+
+def report_facts(feeds: StarSchemaFeeds) -> DataFrame:
+    """Numbers that belong to a document: its length, and quantities and line numbers of the order of its number."""
+    lines = feeds.table("lineitem")
+    own = feeds.table("documents").select("doc_id", F.col("n_chars").cast("double").alias("value"))
+    quantity = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("value"))
+    discount = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_discount").alias("value"))
+    return own.unionByName(quantity).unionByName(discount)
+
+
+def incidents(feeds: StarSchemaFeeds) -> DataFrame:
+    """What went wrong on purpose in the feeds, from the tables alone: (id, kind, place)."""
+    lines, orders = feeds.table("lineitem"), feeds.orders(0)
+    store = F.concat(F.lit("S0"), (F.col("o_custkey") % 7 + 1).cast("string"))
+    sold = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def found(kind: str, df: DataFrame, *place: Column) -> DataFrame:
+        named = df.select(F.lit(kind).alias("kind"), F.concat_ws("|", *place).alias("place")).distinct()
+        return named.select(F.concat_ws(":", "kind", "place").alias("id"), "kind", "place")
+
+    negative = sold.filter("o_orderstatus <> 'P' and l_linenumber = 7 and l_quantity < 3")
+    mixed_up = sold.filter("o_orderkey % 41 = 0 and o_custkey % 7 in (2, 3)")
+    missing = lines.filter("l_orderkey % 3 = 2 and l_partkey % 97 = 0")
+    drifted = feeds.orders(1).filter(F.col("day") >= F.lit(date(2000, 1, 1)))
+    parts = [
+        found("negative_quantity", negative, F.concat(F.lit("T-"), "o_orderkey")),
+        found("currency_mixup", mixed_up, store, F.date_format("day", "yyyy-MM")),
+        found("missing_foreign_key", missing, F.concat(F.lit("MAT-"), "l_partkey")),
+        found("schema_drift", drifted, F.lit("promo_code")),
+        found("late_file", feeds.orders(1).filter("o_orderstatus <> 'P'"), F.lit("logistics/shipments")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
