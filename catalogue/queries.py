@@ -185,7 +185,7 @@ def seed_dims(m: Models) -> DataFrame:
 @query
 def mart_sink(m: Models) -> DataFrame:
     """A full refresh of every mart; the rows each stored mart has."""
-    built = sinks.build_marts(stored(m), shared.new_folder(m.spark, "marts"))
+    built = sinks.build_marts(m, shared.new_folder(m.spark, "marts"))
     counts = [
         getattr(built, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("mart"), "rows")
         for name in sinks.MARTS

@@ -25,19 +25,20 @@ def full_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def full_on_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Aggregates of several facts side by side; with no keys each is a single row and they are placed together."""
+    """Aggregates of several facts side by side; with no keys each is a single row and they become one row."""
     if keys:
         return reduce(lambda a, b: full_on(a, b, keys), frames)
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    return reduce(beside_scalars, frames)
 
 
 def without_match(rows: DataFrame, others: DataFrame, on: Sequence[str] | Column) -> DataFrame:
     return rows.join(others, on, "left_anti")
 
 
-def beside_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row next to a one-row aggregate."""
-    return rows.crossJoin(F.broadcast(one_row))
+def beside_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Every row next to the values of a one-row aggregate, which is computed once as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return rows.withColumn("_one", packed).select(*rows.columns, "_one.*")
 
 
 def outer_with_side(left: DataFrame, right: DataFrame, keys: Sequence[str], side: str = "side") -> DataFrame:

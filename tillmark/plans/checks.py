@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tillmark.functions.dates import parse_timestamp
 from tillmark.functions.money import round_double
 from tillmark.operators.aggregates import count_if
-from tillmark.operators.joins import without_match
+from tillmark.operators.joins import beside_scalars, without_match
 from tillmark.sources.seeds import local_table
 
 DETECT = "dq_detect"
@@ -288,4 +288,4 @@ def alert_summary(results_: DataFrame, quarantined: DataFrame) -> DataFrame:
     )
     alarms = detecting.agg(worst.alias("severity"), count_if(F.col("status") != "pass").alias("checks_firing"))
     held = quarantined.agg(F.count("*").alias("quarantined_lines"))
-    return alarms.crossJoin(F.broadcast(held))
+    return beside_scalars(alarms, held)

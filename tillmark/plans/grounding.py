@@ -17,14 +17,13 @@ SLACK = 1e-9
 # Tokens with more decimals than this have cells narrower than the slack; they are compared in cells of this width.
 FINEST = 8
 
-SCALE = F.when(F.col("unit") == "k", 3).when(F.col("unit") == "m", 6).otherwise(0)
-
 
 def _cells(tokens: DataFrame) -> DataFrame:
     """Adds the token's number at its scale, the exponent of its last digit, its cell and its tolerance."""
-    digit = (SCALE - F.col("decimals")).cast("int")
+    power = F.when(F.col("unit") == "k", 3).when(F.col("unit") == "m", 6).otherwise(0)
+    digit = (power - F.col("decimals")).cast("int")
     exponent = F.greatest(digit, F.lit(-FINEST))
-    number = F.col("value") * F.pow(F.lit(10.0), SCALE)
+    number = F.col("value") * F.pow(F.lit(10.0), power)
     return (
         tokens.withColumn("number", number)
         .withColumn("exponent", exponent)

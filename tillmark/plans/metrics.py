@@ -349,7 +349,7 @@ class MetricLayer:
     def conditional(
         self, requests: Mapping[str, tuple[str, str, str, Sequence[Filter]]], group_by: str | None = None
     ) -> DataFrame:
-        """Many (metric, start, end, filters) requests with one grouping, a column each, in one pass per fact."""
+        """Many (metric, start, end, filters) requests with one grouping, in one pass per fact: a column ``answer_<name>`` each."""
         metrics = {name: self.metric(r[0]) for name, r in requests.items()}
         dims = [self.resolve(group_by, list(metrics.values()))] if group_by else []
         facts: dict[str, dict[str, tuple[str, Column]]] = {}
@@ -385,7 +385,7 @@ class MetricLayer:
             return parts_[0] if len(parts_) == 1 else safe_ratio(*parts_)
 
         return joined.select(
-            *(F.col(d).alias(ALIAS_OF.get(d, d)) for d in dims), *(value(name).alias(name) for name in requests)
+            *(F.col(d).alias(ALIAS_OF.get(d, d)) for d in dims), *(value(name).alias(f"answer_{name}") for name in requests)
         )
 
     def _checked(self, f: Filter, metrics: Sequence[Metric]) -> tuple[str, Filter]:

@@ -17,9 +17,6 @@ from tillmark.operators.ranking import running, sequence_of, top_by_rank, with_s
 from tillmark.plans.marts import INFERRED_DESCRIPTION
 from tillmark.plans.staging import first_copies
 
-ZERO = F.lit(0)
-
-
 def monthly_sales(lines: DataFrame) -> DataFrame:
     """Month x channel x region, with the change on the prior month present and the running total.
 
@@ -74,8 +71,8 @@ def monthly_marketing(spend: DataFrame, orders: DataFrame) -> DataFrame:
     )
     return full_on(spent, earned, keys).select(
         *keys,
-        rounded(F.coalesce("spent", ZERO), 2).alias("ad_spend_nzd"),
-        rounded(F.coalesce("earned", ZERO), 2).alias("attributed_revenue_nzd"),
+        rounded(F.coalesce("spent", F.lit(0)), 2).alias("ad_spend_nzd"),
+        rounded(F.coalesce("earned", F.lit(0)), 2).alias("attributed_revenue_nzd"),
         round_double(safe_ratio(F.col("earned"), F.col("spent")), 4).alias("roas"),
     )
 
@@ -147,13 +144,13 @@ def ledger_reconciliation(lines: DataFrame, ledger: DataFrame, quarantined: Data
         F.sum("amount_nzd").alias("booked")
     )
     held = quarantined.groupBy("store_id", F.col("txn_date").alias("business_date")).agg(F.count("*").alias("held"))
-    till, booked_ = F.coalesce("till", ZERO), F.coalesce("booked", ZERO)
+    till, booked_ = F.coalesce("till", F.lit(0)), F.coalesce("booked", F.lit(0))
     return full_on(tills, booked, keys).join(held, keys, "left").select(
         *keys,
         rounded(till, 2).alias("pos_revenue_nzd"),
         rounded(booked_, 2).alias("ledger_amount_nzd"),
         rounded(till - booked_, 2).alias("difference_nzd"),
-        F.coalesce("held", ZERO).cast("long").alias("quarantined_lines"),
+        F.coalesce("held", F.lit(0)).cast("long").alias("quarantined_lines"),
     )
 
 
@@ -211,13 +208,11 @@ def customer_orders(orders: DataFrame, web_orders: DataFrame) -> DataFrame:
 def customer_activity(customer_orders_: DataFrame) -> DataFrame:
     """One row per customer and month with an order, counted from the customer's first month.
 
-    A customer's set of months is no longer than the calendar, so it is gathered in the same shuffle as the first
-    month instead of joining the orders back to their own minimum.
+    The orders are reduced to distinct months first, so a customer's window is no longer than the calendar.
     """
-    per_customer = customer_orders_.groupBy("customer_id").agg(
-        F.min("order_month").alias("cohort_month"), F.collect_set("order_month").alias("months")
-    )
-    return per_customer.select("cohort_month", "customer_id", F.explode("months").alias("order_month")).withColumn(
+    months = customer_orders_.select("customer_id", "order_month").distinct()
+    first = F.min("order_month").over(Window.partitionBy("customer_id"))
+    return months.withColumn("cohort_month", first).withColumn(
         "months_since_first", month_diff(F.col("cohort_month"), F.col("order_month"))
     )
 
@@ -234,7 +229,7 @@ def cohort_retention(orders: DataFrame, web_orders: DataFrame) -> DataFrame:
         .agg(*(count_if(since == k).alias(f"m{k}") for k in range(4)), F.max("order_month").alias("last"))
     )
     # one row per cohort month is left, so the single task of this window holds months, not customers
-    ended = cohorts.withColumn("last_month", F.max("last").over(Window.partitionBy()))
+    ended = cohorts.withColumn("last_month", F.max("last").over(Window.partitionBy(F.lit(0))))
 
     def retained(k: int) -> Column:
         seen = add_months(F.col("cohort_month"), k) <= F.col("last_month")

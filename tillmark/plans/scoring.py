@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tillmark.functions.money import round_double
 from tillmark.functions.text import normalise_label, parse_number
 from tillmark.operators.aggregates import count_if, label_of_extreme
+from tillmark.operators.joins import beside_scalars
 from tillmark.operators.percentiles import group_percentiles
 from tillmark.plans.metrics import Filter, MetricLayer
 
@@ -71,7 +72,7 @@ def cost_usd(prompt_tokens: Column, completion_tokens: Column) -> Column:
 def summary(rows: DataFrame) -> DataFrame:
     """Per system and split, and over all splits when there is more than one."""
     splits = rows.agg(F.countDistinct("split").alias("splits"))
-    counted = rows.filter(F.col("skipped").isNull()).crossJoin(F.broadcast(splits))
+    counted = beside_scalars(rows.filter(F.col("skipped").isNull()), splits)
     own = F.when(F.col("split").isin(*SPLITS), F.col("split"))
     groups = F.array_compact(F.array(own, F.when(F.col("splits") > 1, F.lit("all"))))
     grouped = counted.withColumn("part", F.explode(groups)).drop("split").withColumnRenamed("part", "split")
@@ -120,7 +121,7 @@ def _answer_group(layer: MetricLayer, label: str | None, questions: Sequence[Que
         },
         label,
     )
-    values = F.explode(F.array(*(F.struct(F.lit(q.id).alias("id"), F.col(f"`{q.id}`").alias("value")) for q in questions)))
+    values = F.explode(F.array(*(F.struct(F.lit(q.id).alias("id"), F.col(f"`answer_{q.id}`").alias("value")) for q in questions)))
     if label is None:
         return wide.select(values.alias("a")).select(
             "a.id", F.col("a.value").alias("number"), F.lit(None).cast("string").alias("label")

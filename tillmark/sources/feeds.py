@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +40,9 @@ CSV_OPTIONS = {"header": True, "inferSchema": False, "mode": "FAILFAST", "escape
 
 
 def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per file: its path and the column names in its first line, read by tasks, not by the driver."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path")
+    """One row per file: its path as a URL and the column names in its first line, read by tasks, not by the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
+    listed = files.select(F.col("_metadata.file_path").alias("path"))
 
     def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -52,10 +53,10 @@ def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
         for batch in batches:
             headers = []
             for path in batch["path"]:
-                # Spark writes a plain path as file:/x, which the file system library knows as file:///x
-                uri = "file://" + path[len("file:") :] if path.startswith("file:/") and path[6:7] != "/" else path
-                system, inner = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(unquote(inner)) as stream:
+                # Spark escapes little more than spaces and says s3a where the file system library says s3
+                url = quote(unquote(path), safe="/:@+=,~").replace("s3a://", "s3://", 1)
+                system, inner = fs.FileSystem.from_uri(url)
+                with system.open_input_stream(inner) as stream:
                     reader = io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8-sig", newline="")
                     headers.append(next(csv.reader(reader), []))
             yield pd.DataFrame({"path": batch["path"], "columns": headers})

@@ -56,14 +56,16 @@ def month_range(mart: DataFrame, date_column: str, start: str, end: str) -> Data
 
 
 def build_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str | None]] = MARTS) -> Models:
-    """Full refresh of the marts below ``root/<layer>/<name>``. Later relations read the stored ones."""
-    stored_lines = write_mart(models.priced_lines, f"{root}/intermediate/priced_lines")
-    models.replace("priced_lines", stored_lines)
-    models.replace("int_sales_orders", write_mart(models.int_sales_orders, f"{root}/intermediate/int_sales_orders"))
+    """Full refresh of the marts below ``root/<layer>/<name>``, from the feeds.
+
+    Returns models that read what is stored so far: a report is computed from the stored facts, not from the feeds.
+    """
+    built = Models(models.spark, models.feeds, models.as_of, models.calendar)
+    for name in ("priced_lines", "int_sales_orders"):
+        built.replace(name, write_mart(getattr(built, name), f"{root}/intermediate/{name}"))
     for name, (layer, date_column) in marts.items():
-        stored = write_mart(getattr(models, name), f"{root}/{layer}/{name}", date_column)
-        models.replace(name, stored)
-    return models
+        built.replace(name, write_mart(getattr(built, name), f"{root}/{layer}/{name}", date_column))
+    return built
 
 
 def store_failures(failures: Mapping[str, DataFrame], root: str) -> DataFrame:
