@@ -18,7 +18,7 @@ from tillmark.operators import aggregates, joins, ranking
 from tillmark.operators.percentiles import group_percentiles
 from tillmark.plans import as_delivered, checks, compare, declared, grounding, marts, reports, scoring, staging, weekly
 from tillmark.plans.metrics import Filter, Measure, MetricLayer, SemanticModel, Metric, MODELS, METRICS, Reference
-from tillmark.plans.models import Models
+from tillmark.plans.models import Models, StoredModels
 from tillmark.sources import feeds as feed_files
 from tillmark.sources import seeds, shared, sinks, star_schema
 from tillmark.sources.star_schema import AS_OF, CALENDAR, StarSchemaFeeds
@@ -44,27 +44,38 @@ def query(make: Callable[[Models], DataFrame]) -> Callable[[Models], DataFrame]:
 
 @lru_cache(maxsize=4)
 def models(spark: SparkSession, sf_dir: str) -> Models:
-    """The plans over one folder. They hold no rows: every query runs from the parquet files."""
-    return Models(spark, StarSchemaFeeds(spark, sf_dir), AS_OF, CALENDAR)
+    """Relations over one folder. Like the marts of a warehouse, the line and order tables are written on first use."""
+    return StoredModels(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
 
 
-def layer(m: Models) -> MetricLayer:
-    return MetricLayer(lambda name: getattr(m, name))
+@lru_cache(maxsize=4)
+def from_feeds(spark: SparkSession, sf_dir: str) -> Models:
+    """The same relations, each computed from the feeds."""
+    return Models(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
 
 
-def stored(m: Models, *names: str) -> Models:
-    """Relations that a query reads more than once are written first, as the marts are."""
-    m = Models(m.spark, m.feeds, m.as_of, m.calendar)
-    for name in names:
-        m.replace(name, shared.written(getattr(m, name), name))
-    return m
+@lru_cache(maxsize=4)
+def feeds_of(spark: SparkSession, sf_dir: str) -> StarSchemaFeeds:
+    return StarSchemaFeeds(spark, sf_dir)
 
 
-def relations(*names: str) -> None:
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Writes what the queries share, so that it can be timed on its own."""
+    m = models(spark, sf_dir)
+    for name in ("stg_pos_lines", "priced_lines", "int_sales_orders"):
+        getattr(m, name)
+    landing.landing(spark, sf_dir)
+
+
+def layer(m: Models) -> MetricLayer:
+    return MetricLayer(lambda name: getattr(m, name))
+
+
+def relations(source: Callable[[SparkSession, str], Models], *names: str) -> None:
     for name in names:
 
         def run(spark: SparkSession, sf_dir: str, name: str = name) -> DataFrame:
-            return plain(getattr(models(spark, sf_dir), name))
+            return plain(getattr(source(spark, sf_dir), name))
 
         QUERIES[name] = run
 
@@ -72,6 +83,7 @@ def relations(*names: str) -> None:
 # staging, intermediate relations, marts and reports
 
 relations(
+    from_feeds,
     "stg_materials",
     "stg_customers",
     "stg_stores",
@@ -88,10 +100,13 @@ relations(
     "int_sales_orders",
     "int_spend_nzd",
     "fct_sales_lines",
-    "fct_orders",
     "fct_ad_spend",
     "fct_shipments",
     "dim_products",
+)
+relations(
+    models,
+    "fct_orders",
     "rpt_monthly_sales",
     "rpt_monthly_category_margin",
     "rpt_monthly_marketing",
@@ -197,7 +212,7 @@ def mart_sink(m: Models) -> DataFrame:
 @query
 def failures_sink(m: Models) -> DataFrame:
     by_name = {c.name: c for c in declared.DECLARED}
-    relation = declared.relation_of(stored(m, "stg_pos_lines"))
+    relation = declared.relation_of(m)
     chosen = [
         "pos_transaction_line_is_unique",
         "pos_sale_quantity_is_positive",
@@ -547,7 +562,7 @@ def agg_measure_set(m: Models) -> DataFrame:
 @query
 def agg_argmax_argmin(m: Models) -> DataFrame:
     """The best and the weakest region of each month by revenue."""
-    monthly = layer(stored(m, "priced_lines")).frame(["revenue"], ["date", "region"])
+    monthly = layer(m).frame(["revenue"], ["date", "region"])
     best = aggregates.label_of_extreme(monthly, "region", "revenue", True, ["date"])
     worst = aggregates.label_of_extreme(monthly, "region", "revenue", False, ["date"])
     return best.select("date", F.col("region").alias("best"), F.col("revenue").alias("best_revenue")).join(
@@ -860,7 +875,6 @@ def metric_multi_fact(m: Models) -> DataFrame:
 @query
 def metric_by_grain(m: Models) -> DataFrame:
     """Orders and order value at all five grains."""
-    m = stored(m, "attributed_orders")
     parts = [
         layer(m).frame(["orders", "order_revenue", "average_order_value"], ["date"], grain).withColumn("grain", F.lit(grain))
         for grain in dates.GRAINS
@@ -954,18 +968,14 @@ def recon_orders_vs_shipments(m: Models) -> DataFrame:
     return declared.orders_vs_shipments(m.stg_web_orders, m.stg_shipments, cutoff)
 
 
-CHECKED = ("stg_pos_lines", "stg_ledger", "priced_lines", "attributed_orders")
-
-
-def _dq_results(m: Models) -> tuple[Models, DataFrame, DataFrame]:
-    m = stored(m, *CHECKED)
+def _dq_results(m: Models) -> tuple[DataFrame, DataFrame]:
     contract = _contract_failures(m)
-    return m, contract, declared.run(m, contract)
+    return contract, declared.run(m, contract)
 
 
 @query
 def dq_results(m: Models) -> DataFrame:
-    return _dq_results(m)[2]
+    return _dq_results(m)[1]
 
 
 def _incidents(m: Models) -> DataFrame:
@@ -974,7 +984,7 @@ def _incidents(m: Models) -> DataFrame:
 
 @query
 def dq_expected_vs_fired(m: Models) -> DataFrame:
-    m, contract, results = _dq_results(m)
+    contract, results = _dq_results(m)
     results = shared.written(results, "dq_results")
     return checks.expected_vs_fired(
         _incidents(m), declared.incident_mapping(m), results, declared.evidence(m, contract)
@@ -984,13 +994,13 @@ def dq_expected_vs_fired(m: Models) -> DataFrame:
 @query
 def dq_unexplained(m: Models) -> DataFrame:
     """Checks that fire without a known incident behind them."""
-    m, _, results = _dq_results(m)
+    _, results = _dq_results(m)
     return checks.unexplained(_incidents(m), declared.incident_mapping(m), results).select("name", "status", "failing_rows")
 
 
 @query
 def dq_alert_summary(m: Models) -> DataFrame:
-    m, _, results = _dq_results(m)
+    _, results = _dq_results(m)
     return checks.alert_summary(results, m.quarantined_pos_lines)
 
 
@@ -1035,7 +1045,7 @@ for _report in compare.REPORTS:
 
 @query
 def weekly_pair_facts(m: Models) -> DataFrame:
-    return weekly.pair_facts(layer(stored(m, "attributed_orders", "priced_lines")))
+    return weekly.pair_facts(layer(m))
 
 
 @query
@@ -1062,7 +1072,7 @@ def score_answers(m: Models) -> DataFrame:
 @query
 def score_oracle(m: Models) -> DataFrame:
     """Every question answered in shared passes and scored against asking it on its own."""
-    asked = layer(stored(m, "priced_lines", "attributed_orders"))
+    asked = layer(m)
     answers = scoring.answer_all(asked, QUESTIONS)
     references = scoring.reference_answers(asked, QUESTIONS)
     scored = scoring.score(scoring.as_text(answers), references).join(answers, ["id"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillmark.functions.dates import date_series
 from tillmark.plans import marts, reports, staging
 from tillmark.sources import seeds
+from tillmark.sources.shared import written
 
 FISCAL_YEAR = (date(2025, 4, 1), date(2026, 3, 31))
 TIME_SPINE = (date(2024, 1, 1), date(2027, 12, 31))
@@ -166,7 +167,7 @@ class Models:
     def time_spine(self) -> DataFrame:
         return date_series(self.spark, *TIME_SPINE)
 
-    # reports
+    # reports (they read the facts above, stored or not)
 
     @cached_property
     def rpt_monthly_sales(self) -> DataFrame:
@@ -191,3 +192,19 @@ class Models:
     @cached_property
     def rpt_ledger_reconciliation(self) -> DataFrame:
         return reports.ledger_reconciliation(self.fct_sales_lines, self.stg_ledger, self.quarantined_pos_lines)
+
+
+class StoredModels(Models):
+    """Models whose line and order tables are written on first use, as marts are, and read by everything after."""
+
+    @cached_property
+    def stg_pos_lines(self) -> DataFrame:
+        return written(Models.stg_pos_lines.func(self), "stg_pos_lines")
+
+    @cached_property
+    def priced_lines(self) -> DataFrame:
+        return written(Models.priced_lines.func(self), "priced_lines")
+
+    @cached_property
+    def int_sales_orders(self) -> DataFrame:
+        return written(Models.int_sales_orders.func(self), "int_sales_orders")

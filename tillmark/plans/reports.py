@@ -115,12 +115,9 @@ def product_months(lines: DataFrame) -> DataFrame:
 
 def top_products(lines: DataFrame, materials: DataFrame, n: int = 10) -> DataFrame:
     """The best sellers of each month. Only the winners are given their description."""
-    monthly = product_months(lines)
+    monthly = with_share(product_months(lines), ["month"], "revenue_nzd", "month_revenue")
     winners = top_by_rank(monthly, ["month"], "revenue_nzd", n, "revenue_rank", dense=True)
-    totals = monthly.groupBy("month").agg(F.sum("revenue_nzd").alias("month_revenue"))
-    same_month = F.col("w.month").eqNullSafe(F.col("t.month"))
-    shared = winners.alias("w").join(totals.alias("t"), same_month).select("w.*", "t.month_revenue")
-    return described(shared, materials).select(
+    return described(winners, materials).select(
         "month",
         "revenue_rank",
         "product_id",

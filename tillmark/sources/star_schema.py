@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillmark.functions.dates import date_series
 from tillmark.functions.money import to_nzd
 from tillmark.plans import staging
+from tillmark.sources.shared import written
 
 AS_OF = datetime(2001, 8, 3, 6, 0, 0)
 CALENDAR = (date(1995, 1, 1), date(2001, 12, 31))
@@ -27,7 +28,8 @@ MARKETING_OF = ["paid_search", "paid_social", "display", "email", "affiliate", "
 MATERIAL_GROUP_OF = {"ECONOMY": "CW", "STANDARD": "BW", "MEDIUM": "KT", "PROMO": "TW", "LARGE": "FS"}
 UNLISTED_GROUP = "ZZ"
 
-DAY, STAMP = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
+# The large tables, and the key by which a local run deals out their rows.
+FACT_TABLES = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -50,13 +52,24 @@ def _text(col: Column) -> Column:
     return col.cast("string")
 
 
+def _stamp(day: Column, time: str = "00:00:00") -> Column:
+    return F.concat(_text(day), F.lit(f" {time}"))
+
+
+def _compact(day: Column) -> Column:
+    return F.replace(_text(day), F.lit("-"), F.lit(""))
+
+
+def _month(day: Column) -> Column:
+    return F.substring(_text(day), 1, 7)
+
+
 def _extracted(day: Column, extra: Column | int = 0) -> Column:
-    later = F.date_add(day, (extra if isinstance(extra, Column) else F.lit(extra)) + 1)
-    return F.concat(F.date_format(later, DAY), F.lit(" 02:00:00"))
+    return _stamp(F.date_add(day, (extra if isinstance(extra, Column) else F.lit(extra)) + 1), "02:00:00")
 
 
 def _monthly_file(prefix: str, day: Column) -> Column:
-    return F.concat(F.lit(prefix), F.date_format(day, "yyyy-MM"), F.lit(".csv"))
+    return F.concat(F.lit(prefix), _month(day), F.lit(".csv"))
 
 
 class StarSchemaFeeds(Mapping[str, DataFrame]):
@@ -96,9 +109,20 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._tables[name] = self._spread(name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._tables[name]
 
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """A local test file is one row group, hence one task; its rows are dealt out to all cores.
+
+        On a cluster a table has many row groups and is read as it is.
+        """
+        context = self.spark.sparkContext
+        if name not in FACT_TABLES or not context.master.startswith("local"):
+            return df
+        cores = context.defaultParallelism
+        return df.repartition(cores, FACT_TABLES[name]) if df.rdd.getNumPartitions() < cores else df
+
     def orders(self, channel: int) -> DataFrame:
         """Orders of one channel: 0 store, 1 online, 2 wholesale."""
         day = F.col("o_orderdate").cast("date")
@@ -131,7 +155,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             _text(F.round(price * F.lit("0.40").cast("decimal(3,2)"), 2).cast("decimal(12,2)")).alias("STD_COST_NZD"),
             _text(price).alias("LIST_PRICE_NZD"),
             _text(F.round(price * F.lit("0.92").cast("decimal(3,2)"), 2).cast("decimal(12,2)")).alias("LIST_PRICE_AUD"),
-            F.date_format(created, "yyyyMMdd").alias("CREATED_ON"),
+            _compact(created).alias("CREATED_ON"),
             F.lit("2001-08-02 02:00:00").alias("_extracted_at"),
             F.lit("erp/materials.csv").alias("_source_file"),
         )
@@ -173,7 +197,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         )
         quoted = F.when(F.day(day) == 1, F.array(pair, back)).otherwise(F.array(pair))
         return days.filter(F.date_format(day, "MM-dd") != "12-25").withColumn("q", F.explode(quoted)).select(
-            F.date_format(day, "yyyyMMdd").alias("RATE_DATE"),
+            _compact(day).alias("RATE_DATE"),
             F.col("q.f").alias("FROM_CURR"),
             F.col("q.t").alias("TO_CURR"),
             _text(F.col("q.r")).alias("RATE"),
@@ -197,7 +221,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             store_id.alias("store_id"),
             F.concat(F.lit("T-"), "o_orderkey").alias("transaction_id"),
             _text(F.col("l_linenumber")).alias("line_no"),
-            F.date_format("day", STAMP).alias("txn_ts"),
+            _stamp(F.col("day")).alias("txn_ts"),
             F.when(is_return, "RETURN").otherwise("SALE").alias("txn_type"),
             F.concat(F.lit("SKU-"), "l_partkey").alias("sku"),
             F.when(~not_keyed, _text(F.col("l_quantity").cast("int") * sign)).alias("quantity"),
@@ -208,7 +232,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             F.col("o_orderpriority").alias("payment_method"),
             _extracted(F.col("day"), (F.col("l_suppkey") % 3).cast("int")).alias("_extracted_at"),
             F.concat(
-                F.lit("pos/"), store_id, F.lit("/pos_"), store_id, F.lit("_"), F.date_format("day", "yyyy-MM"), F.lit(".csv")
+                F.lit("pos/"), store_id, F.lit("/pos_"), store_id, F.lit("_"), _month(F.col("day")), F.lit(".csv")
             ).alias("_source_file"),
         )
 
@@ -224,8 +248,8 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             .agg(F.sum("line_total").alias("local"), F.sum(nzd).alias("nzd"))
         )
         surplus = F.when(F.day("txn_date") == 13, F.lit("1.00").cast("decimal(3,2)")).otherwise(F.lit(0))
-        return days.select(
-            F.date_format("txn_date", "yyyyMMdd").alias("POSTING_DATE"),
+        postings = days.select(
+            _compact(F.col("txn_date")).alias("POSTING_DATE"),
             F.col("store_id").alias("STORE_ID"),
             F.lit("400000").alias("GL_ACCOUNT"),
             F.col("currency").alias("CURRENCY"),
@@ -234,6 +258,8 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             _extracted(F.col("txn_date")).alias("_extracted_at"),
             _monthly_file("erp/gl_store_takings_", F.col("txn_date")).alias("_source_file"),
         )
+        # a feed is delivered, not recomputed by everyone who reads it
+        return written(postings, "ledger_feed")
 
     # web shop
 
@@ -243,7 +269,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         drifted = F.col("day") >= F.lit(date(2000, 1, 1))
         return self.orders(1).select(
             F.concat(F.lit("W-"), "o_orderkey").alias("order_id"),
-            F.date_format("day", STAMP).alias("order_ts"),
+            _stamp(F.col("day")).alias("order_ts"),
             F.concat(F.lit("U-"), "o_custkey").alias("customer_id"),
             _country(ship).alias("site"),
             _pick(REGION_OF, ship).alias("ship_region"),
@@ -269,7 +295,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             _text(F.col("listed") - F.col("amount")).alias("discount_amount"),
             _text(F.col("amount")).alias("line_total"),
             _extracted(F.col("l_shipdate").cast("date")).alias("_extracted_at"),
-            _monthly_file("ecommerce/order_lines_", F.col("l_shipdate")).alias("_source_file"),
+            _monthly_file("ecommerce/order_lines_", F.col("l_shipdate").cast("date")).alias("_source_file"),
         )
 
     # wholesale
@@ -281,8 +307,8 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             F.lit("1000").alias("VKORG"),
             F.lit("10").alias("VTWEG"),
             F.lit("00").alias("SPART"),
-            F.date_format("day", "yyyyMMdd").alias("AUDAT"),
-            F.date_format(F.date_add("day", 14), "yyyyMMdd").alias("VDATU"),
+            _compact(F.col("day")).alias("AUDAT"),
+            _compact(F.date_add("day", 14)).alias("VDATU"),
             F.concat(F.lit("C-"), "o_custkey").alias("KUNNR"),
             _currency(F.col("o_orderkey") % 5).alias("WAERK"),
             _text(F.col("o_totalprice").cast("decimal(14,2)")).alias("NETWR"),
@@ -303,7 +329,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             _text(F.col("amount").cast("decimal(14,2)")).alias("NETWR"),
             _currency(F.col("l_orderkey") % 5).alias("WAERK"),
             _extracted(F.col("l_shipdate").cast("date")).alias("_extracted_at"),
-            _monthly_file("erp/vbap_", F.col("l_shipdate")).alias("_source_file"),
+            _monthly_file("erp/vbap_", F.col("l_shipdate").cast("date")).alias("_source_file"),
         )
 
     # logistics
@@ -324,9 +350,9 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             F.concat(F.lit("carrier_"), F.col("l_suppkey") % 4).alias("carrier"),
             F.concat(F.lit("DC"), F.col("l_suppkey") % 2).alias("origin_dc"),
             _pick(REGION_OF, F.col("l_orderkey") % 5).alias("dest_region"),
-            F.date_format(F.date_add(shipped, 5), DAY).alias("promised_date"),
-            F.date_format(shipped, STAMP).alias("shipped_at"),
-            F.when(~in_transit, F.concat(F.date_format(delivered, DAY), F.lit(" 15:30:00"))).alias("delivered_at"),
+            _text(F.date_add(shipped, 5)).alias("promised_date"),
+            _stamp(shipped).alias("shipped_at"),
+            F.when(~in_transit, _stamp(delivered, "15:30:00")).alias("delivered_at"),
             F.when(in_transit, "in_transit").otherwise("delivered").alias("status"),
             _extracted(shipped).alias("_extracted_at"),
             _monthly_file("logistics/shipments_", shipped).alias("_source_file"),
@@ -352,7 +378,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
     def _search_ads(self) -> DataFrame:
         place = F.col("place")
         return self._clicks("click").select(
-            F.date_format("day", DAY).alias("date"),
+            _text(F.col("day")).alias("date"),
             F.concat(F.lit("cmp"), "campaign").alias("campaign_id"),
             F.concat(F.lit("search "), "campaign").alias("campaign_name"),
             F.concat(_country(place), F.lit("-"), _pick(REGION_OF, place)).alias("geo_target"),
@@ -387,7 +413,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             F.sum("spend").alias("spend")
         )
         return spend.select(
-            F.date_format("day", DAY).alias("date"),
+            _text(F.col("day")).alias("date"),
             channel.alias("channel"),
             _pick(REGION_OF, place).alias("region_code"),
             _text(F.col("spend").cast("decimal(12,2)")).alias("spend"),
@@ -485,7 +511,7 @@ def incidents(feeds: StarSchemaFeeds) -> DataFrame:
     drifted = feeds.orders(1).filter(F.col("day") >= F.lit(date(2000, 1, 1)))
     parts = [
         found("negative_quantity", negative, F.concat(F.lit("T-"), "o_orderkey")),
-        found("currency_mixup", mixed_up, store, F.date_format("day", "yyyy-MM")),
+        found("currency_mixup", mixed_up, store, _month(F.col("day"))),
         found("missing_foreign_key", missing, F.concat(F.lit("MAT-"), "l_partkey")),
         found("schema_drift", drifted, F.lit("promo_code")),
         found("late_file", feeds.orders(1).filter("o_orderstatus <> 'P'"), F.lit("logistics/shipments")),
