@@ -158,3 +158,10 @@ def test_smoothing_fills_missing_days_and_keeps_the_floor(spark):
     values = [round(r.smoothed, 4) for r in got.collect()]
     assert len(values) == 10 and values[0] == 17.5 and values[3] == 10.0 and values[4] == 5.0
     assert weekly.smoothed_daily_revenue(orders).count() == 10 * 25
+
+
+def test_anti_join_with_repeated_and_null_keys(spark):
+    rows = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    others = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, x string")
+    assert sorted(str(r.k) for r in joins.without_match(rows, others, ["k"]).collect()) == ["2", "2", "None"]
+    assert "HashAggregate" in plan(joins.without_match(rows, others, ["k"]))

@@ -31,8 +31,13 @@ def full_on_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(beside_scalars, frames)
 
 
-def without_match(rows: DataFrame, others: DataFrame, on: Sequence[str] | Column) -> DataFrame:
-    return rows.join(others, on, "left_anti")
+def without_match(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key the others do not have; a NULL key has no match.
+
+    The other side is reduced to distinct keys before it is shuffled: Spark can split a hot key of the rows, but not
+    one of the others.
+    """
+    return rows.join(others.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def beside_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:

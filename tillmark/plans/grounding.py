@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.text import number_tokens
-from tillmark.operators.joins import without_match
 
 SLACK = 1e-9
 # Tokens with more decimals than this have cells narrower than the slack; they are compared in cells of this width.
@@ -60,6 +59,6 @@ def ungrounded(texts: DataFrame, facts: DataFrame, key: str, text: str = "text",
     # a token with very many decimals does not; the few facts within its tiny cell are compared one by one
     within: Column = F.abs(F.col("t.number") - F.col("n.candidate")) <= F.col("t.tolerance")
     same = [F.col(f"t.{c}") == F.col(f"n.{c}") for c in place]
-    fine = without_match(tokens.filter("fine").alias("t"), near.alias("n"), [*same, within])
+    fine = tokens.filter("fine").alias("t").join(near.alias("n"), [*same, within], "left_anti")
     columns = [key, "position", "token"]
     return off.select(*columns).unionByName(fine.select(*columns))

@@ -19,7 +19,7 @@ REGIONS = [
 
 # Where a sale happens (channel, name, description).
 SALES_CHANNELS = [
-    ("store", "store", "Sales at the seven Acme Kitchen stores (POS)"),
+    ("store", "store", "Sales at the seven stores (POS)"),
     ("online", "online", "Orders placed on the NZ and AU web shops"),
     ("wholesale", "wholesale", "Orders from independent homeware retailers (ERP sales orders)"),
 ]
