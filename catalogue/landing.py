@@ -29,7 +29,7 @@ def landing(spark: SparkSession, sf_dir: str) -> str:
                 f"{root}/ecommerce/{name}"
             )
         rates = feeds["erp_fx_rates"].drop("_source_file")
-        rates.coalesce(1).write.option("header", True).csv(f"{root}/erp/fx_rates.csv")
+        rates.write.option("header", True).csv(f"{root}/erp/fx_rates.csv")
         _WRITTEN[key] = root
     return _WRITTEN[key]
 

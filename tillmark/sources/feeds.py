@@ -104,7 +104,7 @@ def ingest_log(feeds: dict[str, DataFrame], loaded_at: datetime) -> DataFrame:
         )
         for feed, df in feeds.items()
     ]
-    return reduce(DataFrame.unionByName, logs).withColumn("loaded_at", F.lit(loaded_at).cast("timestamp_ntz"))
+    return reduce(DataFrame.unionByName, logs).withColumn("loaded_at", F.lit(str(loaded_at)).cast("timestamp_ntz"))
 
 
 def load_summary(log: DataFrame) -> DataFrame:
