@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution merges small shuffle partitions, splits the partitions of hot join keys, and switches to a
@@ -24,3 +28,17 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "tillmark", **
     for key, value in {**SETTINGS, **local, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tillmark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tillmark-")) / "tillmark.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._tillmark_shipped = True
