@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillmark.llm import binary, bpe, mixing, quality
+from tillmark.llm import binary, bpe, mixing, quality, topk, vectors
 from tillmark.session import ship_package
 from tillmark.sources.shared import new_folder
 
@@ -28,6 +29,11 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.digests(spark, folder)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,14 +44,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "copy", "source", "lang", "n_chars", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
+    "op3_top_k": op3_top_k,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_near_vectors": op8_near_vectors,
     "op9_mix_sources": op9_mix_sources,
 }
 
