@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.operators.joins import beside_scalars
+from tillmark.sources.shared import written
 
 #: The largest mean that is inverted with one draw.
 PIECE = 500
@@ -78,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     there is a column of that name."""
     kept = docs.columns
     packed = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_own"), F.col(key).alias("_key"))
-    rates = source_rates(docs, weights, budget)
+    # Written, so that its size is known when the join is planned: few sources are broadcast, many are not.
+    rates = written(source_rates(docs, weights, budget), "rates")
     joined = packed.join(rates, F.col("_own").eqNullSafe(F.col("_source")), "inner")
     counted = joined.withColumn("_count", poisson_count(F.col("_key"), F.col("_rate"), seed)).filter("_count > 0")
     copies = counted.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_copy"))
