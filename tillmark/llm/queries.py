@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import binary, bpe, mixing, quality, topk, vectors
+from tillmark.llm import binary, bpe, jaccard, mixing, quality, topk, vectors
 from tillmark.session import ship_package
 from tillmark.sources.shared import new_folder
 
@@ -34,6 +34,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op3_top_k": op3_top_k,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_vectors": op8_near_vectors,
