@@ -1,18 +1,26 @@
-"""Components of similar items from buckets of candidates, without the pairs of a bucket.
+"""Components of similar sets from buckets of candidates, without the pairs of a bucket.
 
 Whoever shares a bucket may be similar and is to be compared. In a group of thousands of near copies that would be millions
-of pairs, nearly all between items that other links connect already. So pairs are tried in rounds. Each round takes the
-next pivots of every bucket, 1, 2, 4, ... of them, compares them exactly with the later members of another component,
-merges the components of what is similar, and leaves out buckets that lie in one component. At the end any two members
-of any bucket are in one component or were found not to be similar, as if all pairs had been compared.
-
-Buckets, links and components are written tables; the driver sees counts.
+of pairs, nearly all between sets that other links connect already, and sets that share a frequent passage meet in
+buckets without being similar. Hence two measures, neither of which loses a link:
+
+* An outline of 512 bits goes with each set: every element flips one bit. Two outlines differ in no more bits than the sets in
+  elements, so a pair whose outlines differ too much is not similar. This is a condition of the join that would make
+  the pair, and only pairs that pass leave it.
+* Pairs are tried in rounds. Each round takes the next pivots of every bucket, compares them with the later members of another
+  component, merges the components of what is similar, and leaves out buckets that lie in one component. The last
+  round takes all members that are left as pivots.
+
+At the end any two members of any bucket are in one component or were found not to be similar, as if all pairs had been
+compared. What passes the outlines is compared exactly, on whole bodies. Buckets, links and components are written
+tables; the driver sees counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +29,8 @@ from tillmark.sources.shared import written
 
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
+#: 64-bit words of an outline; the last pivot of each round but the last; pivots of a bucket that one task takes.
+WORDS, PIVOTS, BLOCK = 8, (1, 8), 2048
 
 
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -52,38 +62,65 @@ def _numbered(buckets: DataFrame) -> DataFrame:
     return placed.filter("place > 1 or _after is not null").drop("_after")
 
 
-def _compared(pairs: DataFrame, bodies: DataFrame, similar: Callable[[Column, Column], Column]) -> DataFrame:
+def outline(places: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words in which each element, a number below 64 * WORDS, flips a bit."""
+    odd = np.bincount(places, minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def outline_fields() -> list[str]:
+    return [f"bits{i}" for i in range(WORDS)]
+
+
+def _may(a: str, b: str, percent: int) -> Column:
+    """Neither the sizes nor the outlines of two sets rule out the similarity."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in outline_fields()), F.lit(0))
+    return (differ * (100 + percent) <= (x + y) * (100 - percent)) & (x * 100 >= y * percent) & (y * 100 >= x * percent)
+
+
+def _compared(pairs: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame:
     """a, b, similar. The pairs carry the body of one side only to the join with the other."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    bodies = written(bodies_of(ids), "bodies")
     left = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_b")), "b")
     both = left.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_a")), "a")
     return written(both.select("a", "b", similar(F.col("_a"), F.col("_b")).alias("similar")), "compared")
 
 
-def similar_components(buckets: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame | None:
+def similar_components(
+    buckets: DataFrame, outlines: DataFrame, percent: int, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]
+) -> DataFrame | None:
     """id, component (its smallest id) of every id that is similar to another; None if there is none.
 
-    ``buckets`` has rows (sig, id); ``bodies_of`` gives (id, body) for a table of ids; ``similar`` compares two bodies
-    exactly.
+    ``buckets`` has rows (sig, id) and ``outlines`` (id, size, bits0, ...) of all their ids; ``bodies_of`` gives (id, body) for
+    a table of ids; ``similar`` compares two bodies exactly.
     """
     active = written(_numbered(buckets), "buckets")
-    if active.isEmpty():
-        return None
-    bodies = written(bodies_of(active.select("id").distinct()), "bodies")
     # Before the rounds, each id is compared with the smallest id that opens one of its buckets.
     pairs = active.filter("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    tried = _compared(pairs, bodies, similar)
-    low, width = 1, 1
-    while True:
+    met = pairs.alias("p").join(outlines.alias("x"), F.col("p.a") == F.col("x.id")).join(outlines.alias("y"), F.col("p.b") == F.col("y.id"))
+    tried = _compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)
+    low = 1
+    for high in (*PIVOTS, None):
         labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
         current = active.select("sig", "id", "place").join(labels, "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("component"))
         spread = current.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("place").alias("_last"))
-        active = written(current.join(spread.filter((F.col("_low") != F.col("_high")) & (F.col("_last") > low)).select("sig"), "sig"), "buckets")
+        mixed = spread.filter((F.col("_low") != F.col("_high")) & (F.col("_last") > low)).select("sig")
+        active = written(current.join(mixed, "sig").join(outlines, "id"), "buckets")
         if active.isEmpty():
-            return None if labels.isEmpty() else labels
-        pivots = active.filter(F.col("place").between(low, low + width - 1))
-        pivots = pivots.select("sig", F.col("id").alias("a"), F.col("place").alias("_place"), F.col("component").alias("_component"))
-        pairs = active.join(pivots, "sig").filter("place > _place and component <> _component").select("a", F.col("id").alias("b")).distinct()
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = written(tried.union(_compared(pairs, bodies, similar)), "compared")
-        active = active.select("sig", "id", "place")
-        low, width = low + width, 2 * width
+            break
+        # The work of a large bucket is cut into blocks of pivots; the members travel to each of them.
+        block = F.floor((F.col("place") - low) / BLOCK)
+        pivots = active.filter((F.col("place") >= low) if high is None else F.col("place").between(low, high)).withColumn("block", block)
+        blocks = pivots.groupBy("sig").agg(F.max("block").alias("_blocks"))
+        members = active.join(blocks, "sig").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_blocks"), F.greatest(block, F.lit(0))))))
+        met = members.alias("y").join(pivots.alias("x"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.place") > F.col("x.place")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y", percent))
+        pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = written(tried.union(_compared(pairs, bodies_of, similar)), "compared")
+        if high is None:
+            labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
+        else:
+            low = high + 1
+    return None if labels.isEmpty() else labels
