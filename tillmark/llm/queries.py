@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import binary, bpe, jaccard, mixing, quality, topk, vectors
+from tillmark.llm import binary, bpe, jaccard, lines, mixing, quality, topk, vectors
 from tillmark.session import ship_package
 from tillmark.sources.shared import new_folder
 
@@ -23,6 +23,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-ids")
     binary.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -57,6 +61,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_ids": op2_token_ids,
     "op3_top_k": op3_top_k,
     "op5_jaccard_join": op5_jaccard_join,
