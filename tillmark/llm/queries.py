@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import binary, bpe, jaccard, lines, mixing, quality, topk, vectors
+from tillmark.llm import binary, bpe, jaccard, lines, mixing, pages, quality, topk, toxicity, vectors
 from tillmark.session import ship_package
 from tillmark.sources.shared import new_folder
 
@@ -38,6 +38,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -60,15 +64,21 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "copy", "source", "lang", "n_chars", "text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_ids": op2_token_ids,
     "op3_top_k": op3_top_k,
+    "op4_main_text": op4_main_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_vectors": op8_near_vectors,
     "op9_mix_sources": op9_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: What DuckDB makes of the same tables. The other operations are tested against brute force, see tests/llm.
