@@ -37,6 +37,8 @@ from tillmark.llm.words import slices
 FOLDS, HELD_OUT = 4, 2
 LABELLED, UNLABELLED, SEED = 10_000, 5_000, 23
 GOLD, PRIOR, ENTRIES, PREFIXES = 0.98, 0.05, 4000, (4, 5, 6)
+#: The share of toxic documents among the labelled ones that have an entry of a lexicon.
+PURE = 0.8
 
 # Insults that vote without any label.
 INSULTS = frozenset(
@@ -52,7 +54,7 @@ SIGNED = re.compile(r"[^\W_]*[013457@$!][\w@$!]*[^\W\d_][\w@$!]*|[^\W\d_][\w@$!]
 APART = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?!\w)")
 ADDRESSED = re.compile(r"\b(?:you|your|u|du|ihr|tu|vous|tú|eres|usted)\b(?:\W+\w+){0,3}?\W+([^\W\d_]+)")
 
-#: Parts of a learnt lexicon that vote apart, so that one bad entry does not spoil it all.
+#: Parts of a learnt lexicon that vote apart, from the surest entries to the least sure.
 SHARES = 3
 VOTERS = [
     *(f"words {i}" for i in range(SHARES)),
@@ -159,14 +161,13 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     both = F.col("toxic") + F.col("clean")
     part = lambda k, share: F.when(k > 0, 2 * k * F.log(k / (both * share))).otherwise(0.0)
     ratio = part(F.col("toxic"), base) + part(F.col("clean"), 1 - base)
-    scored = counts.filter(F.col("toxic") / both > max(0.5, min(0.9, 4 * base))).withColumn("ratio", ratio)
+    scored = counts.filter(F.col("toxic") / both >= PURE).withColumn("ratio", ratio)
     candidates = counts.count()
     best = scored.filter(F.col("ratio") > 2 * np.log(max(candidates, 50))).orderBy(F.col("ratio").desc(), "n", "token").limit(ENTRIES).collect()
-    shares: Counter = Counter()
-    for r in best:
-        own = empty.words if r["n"] == 0 else empty.beginnings[r["n"]]
-        own[r["token"]] = shares[r["n"]] % SHARES
-        shares[r["n"]] += 1
+    for n in (0, *PREFIXES):
+        ranked = [r["token"] for r in best if r["n"] == n]
+        own = empty.beginnings[n] if n else empty.words
+        own |= {token: i * SHARES // len(ranked) for i, token in enumerate(ranked)}
     return empty
 
 
