@@ -1,12 +1,11 @@
 """Tables written to the folder that all executors share.
 
-A written table cuts the lineage: if an executor is lost later, its rows are read again, not recomputed.
-The folder is ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary one.
+A written table cuts the lineage: if an executor is lost later, its rows are read again, not recomputed. The folder is
+``spark.checkpoint.dir``; a session without that setting uses a folder in its warehouse, which is shared as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +16,7 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"Set {SETTING} to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="tillmark-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -31,7 +24,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as parquet and read back."""
+    """The same rows, written once as parquet and read back. ``discard`` removes the files."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables from ``written`` that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_written_at")
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
