@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.sources.shared import written
+from tillmark.sources.shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "links")
+        last, edges = edges, written(_small_star(_large_star(edges)), "links")
+        discard(last)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tillmark.llm.jaccard import mixed
 from tillmark.llm.similar import WORDS, maybe_among, outline, outline_fields, shared_buckets, similar_components
 from tillmark.llm.words import slices
-from tillmark.sources.shared import written
+from tillmark.sources.shared import discard, written
 
 GRAM, MIN_CHARS, PERCENT = 5, 20, 80
 BANDS, ROWS = 22, 7
@@ -200,6 +200,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     shared = written(shared_buckets(line_signatures(rows)), "line-signatures")
     # Half a digest stands for a line until here; lines that share it by chance are more candidates, no more.
     buckets = written(shared.join(classes.select(F.col("low").alias("id"), "cls"), "id").select("sig", F.col("cls").alias("id")), "line-buckets")
+    discard(shared)
     ids = buckets.select("id").distinct()
     wanted = written(classes.select("low", "high", F.col("cls").alias("id")).join(ids, "id"), "line-candidates")
     texts = maybe_among(line_texts(rows), "low", wanted.select("low")).join(wanted, ["high", "low"])
@@ -219,6 +220,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
             yield pd.Series(out, dtype=bool)
 
     found = similar_components(buckets, candidates.drop("body"), PERCENT, lambda own: candidates.select("id", "body").join(own, "id"), similar)
+    discard(buckets, wanted, candidates)
     if found is not None:
         placed = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         firsts = placed.groupBy("component").agg(F.min("first").alias("first"))

@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.llm.components import connected
-from tillmark.sources.shared import written
+from tillmark.sources.shared import discard, written
 
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
 #: 64-bit words of an outline; the last pivot of each round but the last; pivots of a bucket that one task takes.
-WORDS, PIVOTS, BLOCK = 8, (1, 8), 2048
+WORDS, PIVOTS, BLOCK = 8, (1, 3, 8), 2048
 
 
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -86,7 +86,9 @@ def _compared(pairs: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], sim
     bodies = written(bodies_of(ids), "bodies")
     left = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_b")), "b")
     both = left.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_a")), "a")
-    return written(both.select("a", "b", similar(F.col("_a"), F.col("_b")).alias("similar")), "compared")
+    compared = written(both.select("a", "b", similar(F.col("_a"), F.col("_b")).alias("similar")), "compared")
+    discard(pairs, ids, bodies)
+    return compared
 
 
 def similar_components(
@@ -102,13 +104,15 @@ def similar_components(
     pairs = active.filter("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
     met = pairs.alias("p").join(outlines.alias("x"), F.col("p.a") == F.col("x.id")).join(outlines.alias("y"), F.col("p.b") == F.col("y.id"))
     tried = _compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)
-    low = 1
+    low, labels = 1, None
     for high in (*PIVOTS, None):
+        discard(labels)
         labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
         current = active.select("sig", "id", "place").join(labels, "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("component"))
         spread = current.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("place").alias("_last"))
         mixed = spread.filter((F.col("_low") != F.col("_high")) & (F.col("_last") > low)).select("sig")
-        active = written(current.join(mixed, "sig").join(outlines, "id"), "buckets")
+        last, active = active, written(current.join(mixed, "sig").join(outlines, "id"), "buckets")
+        discard(last)
         if active.isEmpty():
             break
         # The work of a large bucket is cut into blocks of pivots; the members travel to each of them.
@@ -118,8 +122,11 @@ def similar_components(
         members = active.join(blocks, "sig").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_blocks"), F.greatest(block, F.lit(0))))))
         met = members.alias("y").join(pivots.alias("x"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.place") > F.col("x.place")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y", percent))
         pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = written(tried.union(_compared(pairs, bodies_of, similar)), "compared")
+        more = _compared(pairs, bodies_of, similar)
+        last, tried = tried, written(tried.union(more), "compared")
+        discard(last, more)
         if high is None:
+            discard(labels)
             labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
         else:
             low = high + 1
