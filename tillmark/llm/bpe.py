@@ -13,7 +13,7 @@ are no special tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -115,26 +115,41 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, fields)
 
 
+def spelled_bytes(ids: Iterable[int], path: str) -> bytes:
+    spelled = _spelling(path)
+    return b"".join([spelled[i] for i in ids])
+
+
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of each row's ids (null ids: no bytes)."""
     kept = [f for f in encoded.schema.fields if f.name in (key, "ids")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = _spelling(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                rows = batch.column("ids")
-                out = [b"".join([spelled[i] for i in row.values.to_pylist()]) if row.is_valid else b"" for row in rows]
+                out = [spelled_bytes(row.values.to_pylist(), path) if row.is_valid else b"" for row in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.select(*(F.col(f.name) for f in kept)).mapInArrow(run, fields)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the decimal ids joined by commas and of the decoded bytes."""
-    both = decode(encode(docs, path, pattern), path)
+    """doc_id, n_tokens, and digests of the decimal ids joined by commas and of the bytes that the ids decode to. Both ways
+    are one pass of the Python workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, pattern)
+        for batch, texts in slices(batches):
+            found = [np.frombuffer(x, dtype="<i4") for x in encoder.ids(texts)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+            decoded = pa.array([spelled_bytes(x.tolist(), path) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -33,7 +33,7 @@ GRAM, MIN_CHARS, PERCENT = 5, 20, 80
 BANDS, ROWS = 22, 7
 BINS = BANDS * ROWS
 #: Characters of lines that are hashed at once, and classes that a task remembers.
-AT_ONCE, REMEMBERED = 400_000, 400_000
+AT_ONCE, REMEMBERED = 200_000, 300_000
 _EMPTY = np.uint32(0xFFFFFFFF)
 _PROBES = np.random.default_rng(7).integers(0, BINS, (64, BINS))
 
@@ -96,13 +96,14 @@ def bands_of(lines: list[str]) -> np.ndarray:
     return mixed(out)
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def digest(line: str) -> int:
+    return xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def digest(line: str) -> tuple[int, int]:
-    value = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return _signed(value >> 64), _signed(value & (1 << 64) - 1)
+def halves(digests: list[int]) -> list[pa.Array]:
+    """The upper and the lower half of 128-bit numbers, as signed 64-bit columns."""
+    raw = np.frombuffer(b"".join(d.to_bytes(16, "big") for d in digests), ">i8").reshape(-1, 2).astype(np.int64)
+    return [pa.array(raw[:, 0]), pa.array(raw[:, 1])]
 
 
 def line_digests(rows: DataFrame) -> DataFrame:
@@ -119,8 +120,7 @@ def line_digests(rows: DataFrame) -> DataFrame:
                     batch.column(0).take(owners),
                     batch.column(1).take(owners),
                     pa.array([i for x in found for i, _ in x], pa.int32()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
+                    *halves(prints),
                 ],
                 names=["doc", "mark", "place", "high", "low"],
             )
@@ -128,7 +128,7 @@ def line_digests(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, mark long, place int, high long, low long")
 
 
-def _fresh(texts: list[str], seen: set[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], str]]:
+def _fresh(texts: list[str], seen: set[int]) -> Iterator[tuple[int, str]]:
     """Lines that this task has not met yet, as far as it remembers."""
     for text in texts:
         for _, line in long_lines(text):
@@ -143,12 +143,12 @@ def line_signatures(rows: DataFrame) -> DataFrame:
     """sig, id: the bands of each line under the lower half of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held, size = [], 0
 
         def signed() -> pa.RecordBatch:
             bands = bands_of([line for _, line in held]).view(np.int64).ravel()
-            ids = np.repeat(np.array([mark[1] for mark, _ in held], np.int64), BANDS)
+            ids = np.repeat(halves([mark for mark, _ in held])[1].to_numpy(), BANDS)
             return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(ids)], names=["sig", "id"])
 
         for _, texts in slices(batches):
@@ -168,13 +168,10 @@ def line_texts(rows: DataFrame) -> DataFrame:
     """high, low, line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for _, texts in slices(batches):
             found = list(_fresh(texts, seen))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m, _ in found], pa.int64()), pa.array([m[1] for m, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())],
-                names=["high", "low", "line"],
-            )
+            yield pa.RecordBatch.from_arrays([*halves([m for m, _ in found]), pa.array([x for _, x in found], pa.string())], names=["high", "low", "line"])
 
     return rows.mapInArrow(run, "high long, low long, line string")
 

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks that a worker remembers, and the characters that are encoded at once.
-REMEMBERED = 300_000
-JOINED = 200_000
+REMEMBERED = 200_000
+JOINED = 100_000
 #: Characters of the texts that are cut up at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _BESIDE = re.compile(r"\s | \s|^ | $")
 
