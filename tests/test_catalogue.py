@@ -11,6 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from catalogue.oracle import ORACLES
+from catalogue.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -39,14 +41,15 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry(spark):
     assert driver.entry(spark).limit(5).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = driver.queries()[name](spark, FOLDER)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
