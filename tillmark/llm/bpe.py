@@ -111,6 +111,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 starts = [character_starts(t, sizes[np.frombuffer(x, dtype="<i4")]) for t, x in zip(texts, found, strict=True)]
                 columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(starts))))
             yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "starts"][: len(columns)])
+        encoder.forget()
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, fields)
 
@@ -147,6 +148,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
             decoded = pa.array([spelled_bytes(x.tolist(), path) for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks that a worker remembers, and the characters that are encoded at once.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 JOINED = 100_000
 #: Characters of the texts that are cut up at once.
 SLICE = 500_000
@@ -58,6 +58,10 @@ class Encoder:
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """At a task's end: a worker lives on for tasks that need its memory for other things."""
+        self.known.clear()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -82,14 +86,18 @@ class Encoder:
 
 
 def slices(batches: Iterator[pa.RecordBatch], field: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches with their texts (null: empty), of SLICE characters or one row."""
+    """Parts of the batches with their texts (null: empty), of SLICE characters or one row; only one part's texts are
+    Python strings at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(field).to_pylist()]
+        column = batch.column(field)
+        texts: list[str] = []
         at = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > SLICE:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+        for i in range(batch.num_rows):
+            text = column[i].as_py() or ""
+            if size and size + len(text) > SLICE:
+                yield batch.slice(at, i - at), texts
+                at, size, texts = i, 0, []
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield batch.slice(at), texts
