@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillmark.llm.words import Encoder, loose_chunks, slices
+from tillmark.llm.words import Encoder, frees, loose_chunks, slices
 
 SHARD_DOCS, SHARD_BYTES = 4096, 4 << 20
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 16_384, 64 << 10, 3
@@ -117,7 +117,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    rows.mapInArrow(run, fields).write.parquet(f"{folder}/shards")
+    rows.mapInArrow(frees(run), fields).write.parquet(f"{folder}/shards")
 
 
 def _unpack(blob: bytes, dictionary: bytes) -> tuple[np.ndarray, np.ndarray, memoryview, object, str]:
@@ -166,7 +166,7 @@ def read_ids(spark: SparkSession, folder: str, doc_id: int | None = None) -> Dat
                         names=["part", "seq", "doc_id", "before", "ids"],
                     )
 
-    return shards.select("part", "seq", "blob").mapInArrow(run, fields)
+    return shards.select("part", "seq", "blob").mapInArrow(frees(run), fields)
 
 
 def shard_starts(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +188,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             sums = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sums], names=[*batch.schema.names[:4], "n_tokens", "ids_crc32"])
 
-    found = read_ids(spark, folder).mapInArrow(run, "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    found = read_ids(spark, folder).mapInArrow(frees(run), "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return found.join(shard_starts(spark, folder), ["part", "seq"]).select(
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

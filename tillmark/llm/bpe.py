@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.words import Encoder, slices, spaced_chunks
+from tillmark.llm.words import Encoder, frees, slices, spaced_chunks
 
 
 @cache
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "starts"][: len(columns)])
         encoder.forget()
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, fields)
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(frees(run), fields)
 
 
 def spelled_bytes(ids: Iterable[int], path: str) -> bytes:
@@ -133,7 +133,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 out = [spelled_bytes(row.values.to_pylist(), path) if row.is_valid else b"" for row in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.select(*(F.col(f.name) for f in kept)).mapInArrow(run, fields)
+    return encoded.select(*(F.col(f.name) for f in kept)).mapInArrow(frees(run), fields)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -151,7 +151,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    both = docs.select("doc_id", "text").mapInArrow(frees(run), f"doc_id {kind}, ids array<int>, decoded binary")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

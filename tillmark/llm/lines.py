@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillmark.llm.jaccard import mixed
 from tillmark.llm.similar import WORDS, maybe_among, outline, outline_fields, shared_buckets, similar_components
-from tillmark.llm.words import slices
+from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
 GRAM, MIN_CHARS, PERCENT = 5, 20, 80
@@ -125,7 +125,7 @@ def line_digests(rows: DataFrame) -> DataFrame:
                 names=["doc", "mark", "place", "high", "low"],
             )
 
-    return rows.mapInArrow(run, "doc long, mark long, place int, high long, low long")
+    return rows.mapInArrow(frees(run), "doc long, mark long, place int, high long, low long")
 
 
 def _fresh(texts: list[str], seen: set[int]) -> Iterator[tuple[int, str]]:
@@ -161,7 +161,7 @@ def line_signatures(rows: DataFrame) -> DataFrame:
         if held:
             yield signed()
 
-    return rows.mapInArrow(run, "sig long, id long")
+    return rows.mapInArrow(frees(run), "sig long, id long")
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def line_texts(rows: DataFrame) -> DataFrame:
             found = list(_fresh(texts, seen))
             yield pa.RecordBatch.from_arrays([*halves([m for m, _ in found]), pa.array([x for _, x in found], pa.string())], names=["high", "low", "line"])
 
-    return rows.mapInArrow(run, "high long, low long, line string")
+    return rows.mapInArrow(frees(run), "high long, low long, line string")
 
 
 def line_outlines(texts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def line_outlines(texts: DataFrame) -> DataFrame:
             outlines = np.array([outline((s & np.uint64(64 * WORDS - 1)).astype(np.int64)) for s in sets], np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, outlines.T)], names=["id", "body", "size", *outline_fields()])
 
-    return texts.select("id", "body").mapInArrow(run, "id long, body string, size long, " + ", ".join(f"{w} long" for w in outline_fields()))
+    return texts.select("id", "body").mapInArrow(frees(run), "id long, body string, size long, " + ", ".join(f"{w} long" for w in outline_fields()))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:

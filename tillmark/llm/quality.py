@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillmark.llm.words import frees
+
 DOCUMENTS, CHUNKS, CHUNK = 1500, 6000, 2000
 DICTIONARY_BYTES, LEVEL, SEED = 48 << 10, 3, 11
 FOLDS, HELD_OUT = 3, 1
@@ -154,6 +156,9 @@ def score(docs: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frees(numbers)(texts)
+
+    def numbers(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = Sizes(model.good, model.bad) if model.weights else None
         weights = np.array(model.weights)
         for batch in texts:

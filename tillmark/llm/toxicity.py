@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm.quality import fold, held_out, logistic
-from tillmark.llm.words import slices
+from tillmark.llm.words import frees, slices
 
 FOLDS, HELD_OUT = 4, 2
 LABELLED, UNLABELLED, SEED = 10_000, 5_000, 23
@@ -148,7 +148,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                 names=["n", "token", "toxic", "clean"],
             )
 
-    rows = sample.filter("label >= 0").select("doc_id", "label", "text").mapInArrow(run, "n int, token string, toxic long, clean long")
+    rows = sample.filter("label >= 0").select("doc_id", "label", "text").mapInArrow(frees(run), "n int, token string, toxic long, clean long")
     return rows.groupBy("n", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([hits(t, lexicon) for t in texts], pa.list_(pa.int32()))], names=["label", "hits"])
 
     # Equal rows of votes are one row with its number; their kinds, not the documents, reach the driver.
-    voted = sample.select("doc_id", "label", "text").mapInArrow(run, "label int, hits array<int>")
+    voted = sample.select("doc_id", "label", "text").mapInArrow(frees(run), "label int, hits array<int>")
     rows = voted.groupBy("label", "hits").agg(F.count("*").alias("n")).orderBy("label", "hits").collect()
     if not rows:
         return Model(lexicon, tuple(np.zeros(2 * len(VOTERS) + 2)))

@@ -7,8 +7,12 @@ new chunks joined to one string, and its offsets say which ids belong to which c
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +89,21 @@ class Encoder:
         return [b"".join([known[c] for c in cs]) for cs in cut]
 
 
+def frees(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a worker that lives on: what a task has used goes back to the system at its end, so that the workers of
+    earlier stages do not add up beside the executor's heap."""
+
+    @wraps(run)
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return own
+
+
 def slices(batches: Iterator[pa.RecordBatch], field: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with their texts (null: empty), of SLICE characters or one row; only one part's texts are
     Python strings at a time."""
