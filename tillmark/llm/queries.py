@@ -12,8 +12,14 @@ from tillmark.session import ship_package
 from tillmark.sources.shared import new_folder
 
 
+#: Rows that Spark sends to a Python worker at once, instead of 10,000: texts can be long.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    if spark.conf.get(BATCH[0]) == "10000":  # a session's own choice stays
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
