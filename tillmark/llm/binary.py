@@ -46,7 +46,7 @@ def _encoder(path: str) -> Encoder:
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Encoder(made, loose_chunks, " ")
+    return Encoder(made, loose_chunks, " ", remembered=400_000)
 
 
 @cache
@@ -110,7 +110,6 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
                     entries, frames, before, size, raw = [], [], 0, 0, 0
         if entries:
             yield shard()
-        encoder.forget()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
     fields = "part int, seq int, first_doc long, last_doc long, n_docs long, n_tokens long, blob binary"

@@ -26,8 +26,18 @@ SLICE = 500_000
 _BESIDE = re.compile(r"\s | \s|^ | $")
 
 
+#: A stop or comma between a letter and white space is a piece of its own for every pattern that splits off signs.
+_STOP = re.compile(r"(?<=[a-z])[.,](?=[ \n]|$)")
+
+
 def loose_chunks(text: str) -> list[str]:
-    """Chunks for a tokenizer that drops white space: what stands between spaces and line ends."""
+    """Chunks for a tokenizer that drops white space and case: what stands between spaces and line ends. Texts of Latin-1
+    characters are put in lower case, which the tokenizer would do alike, so that more chunks are the same."""
+    try:
+        text.encode("latin-1")
+        text = _STOP.sub(" \\g<0>", text.lower())
+    except UnicodeEncodeError:
+        pass
     return [c for c in text.replace("\n", " ").split(" ") if c]
 
 
@@ -42,8 +52,8 @@ def spaced_chunks(text: str) -> list[str]:
 class Encoder:
     """ids(texts): the ids of each text as unsigned 32-bit little-endian bytes, as the library encodes whole texts."""
 
-    def __init__(self, tokenizer, chunks: Callable[[str], list[str]], between: str):
-        self.tokenizer, self.chunks, self.between = tokenizer, chunks, between
+    def __init__(self, tokenizer, chunks: Callable[[str], list[str]], between: str, remembered: int = REMEMBERED):
+        self.tokenizer, self.chunks, self.between, self.remembered = tokenizer, chunks, between, remembered
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
@@ -67,7 +77,7 @@ class Encoder:
         self.known.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         cut = [self.chunks(t) for t in texts]
         new: list[str] = []
