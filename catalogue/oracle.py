@@ -528,7 +528,7 @@ oracle(
     "limit_clamp",
     "select order_date as date, region_name as region, product_category, cast(sum(revenue_nzd) as double) as revenue from"
     " fct_lines f left join regions r on f.region_code = r.region_code group by 1, 2, 3 order by 1 nulls last, 2 nulls last,"
-    " 3 nulls last limit 5000",
+    " 3 nulls last limit 2500",
 )
 oracle(
     "topn_per_group_dense",

@@ -101,9 +101,13 @@ def test_null_groups_of_two_facts_stay_apart_and_sort_last(spark, tmp_path):
     assert {(r.attributed_revenue, r.ad_spend) for r in rows if r.region is None} == {(30.0, None), (None, 11.0)}
 
 
-def test_limit_is_clamped(layer):
-    assert layer.query(["revenue"], ["region"], limit=0).count() == 1
-    assert layer.query(["revenue"], ["region"], limit=10**9).count() == 4
+def test_limit_is_what_the_caller_gives(layer):
+    assert layer.query(["revenue"], ["region"]).count() == layer.frame(["revenue"], ["region"]).count() == 4
+    assert layer.query(["revenue"], ["region"], limit=3).count() == 3
+    assert layer.query(["revenue"], ["region"], limit=1000).count() == 4
+    for wrong in (0, -1, 2.5, "3", True):
+        with pytest.raises(MetricError, match="limit"):
+            layer.query(["revenue"], ["region"], limit=wrong)
 
 
 @pytest.mark.parametrize(

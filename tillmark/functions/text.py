@@ -20,6 +20,14 @@ ANY_DIGIT = r"(?U)\d"
 # Names that mean the same as a region code or a country code.
 COUNTRY_ALIASES = {"newzealand": "nz", "australia": "au"}
 
+#: An answer's first number by parts: sign, whole digits, decimals, suffix. Commas and currency marks may stand anywhere.
+_MARKS = r"(?:[,$]|nzd)*"
+ANSWER = rf"(?is)(-?){_MARKS}(\d(?:[\d,$]|nzd)*)(?:\.{_MARKS}(\d(?:[\d,$]|nzd)*))?(?:\s|[,$]|nzd)*(%|k|thousand|m)?"
+#: A number of a report by parts: whole digits, decimals, unit.
+SHOWN = r"(?iU)^[-+]?(\d[\d,]*)(?:\.(\d+))?\s?([%km]?)$"
+#: What a suffix multiplies and divides a number by.
+SCALES = {"%": (1.0, 100.0), "k": (1e3, 1.0), "thousand": (1e3, 1.0), "m": (1e6, 1.0)}
+
 
 def label_aliases() -> dict[str, str]:
     regions = {code.lower(): name.lower() for code, name, _ in seeds.REGIONS}
@@ -35,23 +43,23 @@ def normalise_label(label: Column) -> Column:
     return out
 
 
+def _assembled(whole: Column, decimals: Column) -> Column:
+    """The number that two runs of digits write; NULL without a whole part."""
+    digits = F.concat_ws(".", *(F.regexp_replace(part, r"(?i)[,$nzd]", "") for part in (whole, F.concat(decimals, F.lit("0")))))
+    return F.when(whole != "", digits).try_cast("double")
+
+
 def parse_number(text: Column) -> Column:
     """The first number in an answer: ``NZD 139,973.90``, ``47.2%`` (0.472), ``12k``, ``1.2M``; NULL without digits.
 
     Whatever follows the number decides its scale by its first letters, so ``5 kg`` is 5000.
     """
-    bare = F.trim(F.lower(F.trim(text)))
-    for noise in (",", "nzd", "$"):
-        bare = F.replace(bare, F.lit(noise), F.lit(""))
-    digits = F.regexp_extract(bare, r"-?\d+(?:\.\d+)?", 0)
-    tail = F.regexp_extract(bare, r"(?s)-?\d+(?:\.\d+)?\s*(.*)", 1)
-    value = F.when(digits != "", digits).cast("double")
-    return (
-        F.when(tail.startswith("%"), value / 100)
-        .when(tail.startswith("k") | tail.startswith("thousand"), value * 1e3)
-        .when(tail.startswith("m"), value * 1e6)
-        .otherwise(value)
-    )
+    sign, whole, decimals, suffix = (F.regexp_extract(text, ANSWER, i) for i in range(1, 5))
+    size = _assembled(whole, decimals)
+    scaled = size
+    for name, (times, over) in SCALES.items():
+        scaled = F.when(F.lower(suffix) == name, size * times / over).otherwise(scaled)
+    return F.when(sign == "-", -scaled).otherwise(scaled)
 
 
 def number_texts(text: Column) -> Column:
@@ -63,14 +71,13 @@ def number_texts(text: Column) -> Column:
 def number_tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per number in each text: the text as written, its absolute value, decimals shown and unit."""
     found = texts.select(F.col(key), F.posexplode(number_texts(F.col(text))).alias("position", "raw"))
-    token = F.trim(F.col("raw"))
-    unit = F.lower(F.regexp_extract(token, r"[%kKmM]$", 0))
-    plain = F.replace(F.regexp_replace(token, r"[%kKmM\s]+$", ""), F.lit(","), F.lit(""))
-    return found.select(
+    written = found.withColumn("token", F.trim("raw"))
+    whole, decimals, unit = (F.regexp_extract("token", SHOWN, i) for i in range(1, 4))
+    return written.select(
         key,
         "position",
-        token.alias("token"),
-        F.abs(plain.try_cast("double")).alias("value"),
-        F.length(F.regexp_extract(plain, r"\.(\d+)", 1)).alias("decimals"),
-        unit.alias("unit"),
+        "token",
+        _assembled(whole, decimals).alias("value"),
+        F.length(decimals).alias("decimals"),
+        F.lower(unit).alias("unit"),
     )

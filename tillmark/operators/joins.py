@@ -1,7 +1,7 @@
 """Join shapes used by the models.
 
-No side is broadcast by hint except the constant seed tables: Spark broadcasts a side when its size, known from
-the files or measured at run time, is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise shuffles, where
+No side is broadcast by hint: Spark broadcasts a side when its size, known from the plan (the seed tables), from the
+files or measured at run time, is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise shuffles, where
 adaptive execution splits the partition of a hot key.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 
 def lookup(facts: DataFrame, seed: DataFrame, on: Sequence[str] | Column) -> DataFrame:
-    """Optional attributes from one of the constant seed tables."""
-    return facts.join(F.broadcast(seed), on, "left")
+    """Optional attributes, for example from one of the constant seed tables."""
+    return facts.join(seed, on, "left")
 
 
 def full_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,18 +2,19 @@
 
 A number is explained when some fact lies within half a unit of its last shown digit (``3.7k`` covers 3650 to 3750);
 a percentage may also stand for a fraction. Tokens and facts meet on (report, precision, cell), never as all pairs of a
-report: a cell is one unit of the last digit, the facts of a cell are reduced to the nearest one before the join.
+report: a cell is one unit of the last digit, and what a cell's facts come to is the smallest distance from each number
+written there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.text import number_tokens
 
 SLACK = 1e-9
-# Tokens with more decimals than this have cells narrower than the slack; they are compared in cells of this width.
+#: Decimals of the narrowest cell, which is still wider than the slack. Numbers with more decimals share these cells.
 FINEST = 8
 
 
@@ -29,36 +30,27 @@ def _cells(tokens: DataFrame) -> DataFrame:
         .withColumn("cell", F.round(number / F.pow(F.lit(10.0), exponent)))
         .withColumn("tolerance", F.pow(F.lit(10.0), digit) * 0.5 + SLACK)
         .withColumn("percent", F.col("unit") == "%")
-        .withColumn("fine", digit < -FINEST)
     )
 
 
 def ungrounded(texts: DataFrame, facts: DataFrame, key: str, text: str = "text", value: str = "value") -> DataFrame:
     """One row per ungrounded number: report key, position and the number as written."""
     tokens = _cells(number_tokens(texts, key, text))
+    place = [key, "exponent", "percent", "cell"]
+    shown = tokens.select(*place, "number").distinct()
     # which precisions a report uses: a handful per report
-    shown = tokens.select(key, "exponent", "percent").distinct()
+    used = shown.select(key, "exponent", "percent").distinct()
     size = F.abs(F.col(value).cast("double"))
     known = facts.select(key, size.alias("fact")).filter(F.col("fact").isNotNull()).distinct()
     # a percentage is compared with the fact itself and with the fact as a fraction
     as_shown = F.when(F.col("percent"), F.array(F.col("fact"), F.col("fact") * 100)).otherwise(F.array(F.col("fact")))
-    width = F.pow(F.lit(10.0), F.col("exponent"))
-    middle = F.round(F.col("candidate") / width)
+    middle = F.round(F.col("candidate") / F.pow(F.lit(10.0), F.col("exponent")))
     near = (
-        known.join(shown, [key])
+        known.join(used, [key])
         .withColumn("candidate", F.explode(as_shown))
         .withColumn("cell", F.explode(F.array(middle - 1, middle, middle + 1)))
-        .withColumn("distance", F.abs(F.col("candidate") - F.col("cell") * width))
+        .join(shown, place)
     )
-    place = [key, "exponent", "percent", "cell"]
-    nearest = near.groupBy(*place).agg(F.min("distance").alias("distance"))
-
-    # a token of ordinary precision sits in the middle of its cell, so the nearest fact decides
-    usual = tokens.filter(~F.col("fine")).join(nearest, place, "left")
-    off = usual.filter(F.col("distance").isNull() | (F.col("distance") > F.col("tolerance")))
-    # a token with very many decimals does not; the few facts within its tiny cell are compared one by one
-    within: Column = F.abs(F.col("t.number") - F.col("n.candidate")) <= F.col("t.tolerance")
-    same = [F.col(f"t.{c}") == F.col(f"n.{c}") for c in place]
-    fine = tokens.filter("fine").alias("t").join(near.alias("n"), [*same, within], "left_anti")
-    columns = [key, "position", "token"]
-    return off.select(*columns).unionByName(fine.select(*columns))
+    nearest = near.groupBy(*place, "number").agg(F.min(F.abs(F.col("candidate") - F.col("number"))).alias("distance"))
+    met = tokens.join(nearest, [*place, "number"], "left")
+    return met.filter(F.col("distance").isNull() | (F.col("distance") > F.col("tolerance"))).select(key, "position", "token")

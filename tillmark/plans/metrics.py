@@ -20,7 +20,6 @@ from tillmark.functions.ordering import by
 from tillmark.operators import aggregates
 from tillmark.operators.joins import full_on_all
 
-DEFAULT_LIMIT, MAX_LIMIT = 1000, 5000
 DATE_FIELDS = ("date", "metric_time")
 ISO_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
@@ -334,17 +333,19 @@ class MetricLayer:
         end: str | None = None,
         filters: Sequence[Filter] = (),
         order_by: Sequence[tuple[str, bool]] = (),
-        limit: int = DEFAULT_LIMIT,
+        limit: int | None = None,
     ) -> DataFrame:
-        """``frame`` for a reader: ordered (NULL last) and limited to 1..5000 rows."""
+        """``frame`` for a reader: ordered (NULL last), all rows or the first ``limit``."""
+        if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+            raise MetricError(f"limit must be a whole number of at least 1, got {limit!r}")
         out = self.frame(metrics, group_by, grain, start, end, filters)
         for name, _ in order_by:
             if name not in out.columns:
                 raise MetricError(f"order_by field '{name}' must be one of {', '.join(out.columns)}")
         keys = [c for c in out.columns if c not in metrics]
         order = list(order_by) or [(k, False) for k in keys]
-        rows = min(max(1, int(limit)), MAX_LIMIT)
-        return (out.orderBy(*by(order)) if order else out).limit(rows)
+        ordered = out.orderBy(*by(order)) if order else out
+        return ordered if limit is None else ordered.limit(limit)
 
     def conditional(
         self, requests: Mapping[str, tuple[str, str, str, Sequence[Filter]]], group_by: str | None = None

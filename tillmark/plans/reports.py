@@ -12,7 +12,7 @@ from tillmark.functions.dates import add_months, month_diff, month_label, month_
 from tillmark.functions.money import exact_sum, money, round_double, rounded, safe_ratio
 from tillmark.functions.ordering import ascending, descending
 from tillmark.operators.aggregates import avg_if, count_if, distinct_if, sum_if
-from tillmark.operators.joins import full_on
+from tillmark.operators.joins import beside_scalars, full_on
 from tillmark.operators.ranking import running, sequence_of, top_by_rank, with_share
 from tillmark.plans.marts import INFERRED_DESCRIPTION
 from tillmark.plans.staging import first_copies
@@ -225,8 +225,7 @@ def cohort_retention(orders: DataFrame, web_orders: DataFrame) -> DataFrame:
         .groupBy("cohort_month")
         .agg(*(count_if(since == k).alias(f"m{k}") for k in range(4)), F.max("order_month").alias("last"))
     )
-    # one row per cohort month is left, so the single task of this window holds months, not customers
-    ended = cohorts.withColumn("last_month", F.max("last").over(Window.partitionBy(F.lit(0))))
+    ended = beside_scalars(cohorts, cohorts.agg(F.max("last").alias("last_month")))
 
     def retained(k: int) -> Column:
         seen = add_months(F.col("cohort_month"), k) <= F.col("last_month")
