@@ -46,7 +46,7 @@ def _encoder(path: str) -> Encoder:
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Encoder(made, loose_chunks, " ", remembered=400_000)
+    return Encoder(made, loose_chunks, " ", remembered=400_000, stops=".,")
 
 
 @cache

@@ -26,19 +26,16 @@ SLICE = 500_000
 _BESIDE = re.compile(r"\s | \s|^ | $")
 
 
-#: A stop or comma between a letter and white space is a piece of its own for every pattern that splits off signs.
-_STOP = re.compile(r"(?<=[a-z])[.,](?=[ \n]|$)")
-
-
 def loose_chunks(text: str) -> list[str]:
-    """Chunks for a tokenizer that drops white space and case: what stands between spaces and line ends. Texts of Latin-1
-    characters are put in lower case, which the tokenizer would do alike, so that more chunks are the same."""
+    """Chunks for a tokenizer that drops white space and case: what stands between spaces and line ends, empty between
+    two of them. Texts of Latin-1 characters are put in lower case, which the tokenizer would do alike, so that more chunks
+    are the same."""
     try:
         text.encode("latin-1")
-        text = _STOP.sub(" \\g<0>", text.lower())
+        text = text.lower()
     except UnicodeEncodeError:
         pass
-    return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.replace("\n", " ").split(" ")
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -52,9 +49,10 @@ def spaced_chunks(text: str) -> list[str]:
 class Encoder:
     """ids(texts): the ids of each text as unsigned 32-bit little-endian bytes, as the library encodes whole texts."""
 
-    def __init__(self, tokenizer, chunks: Callable[[str], list[str]], between: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.chunks, self.between, self.remembered = tokenizer, chunks, between, remembered
-        self.known: dict[str, bytes] = {}
+    def __init__(self, tokenizer, chunks: Callable[[str], list[str]], between: str, remembered: int = REMEMBERED, stops: str = ""):
+        """``stops``: signs that, between a letter a to z and the chunk's end, are a piece of their own."""
+        self.tokenizer, self.chunks, self.between, self.remembered, self.stops = tokenizer, chunks, between, remembered, stops
+        self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: list[str]) -> None:
         """``between`` joins chunks without a new id: nothing where chunks bring their space, else a space."""
@@ -74,29 +72,34 @@ class Encoder:
 
     def forget(self) -> None:
         """At a task's end: a worker lives on for tasks that need its memory for other things."""
-        self.known.clear()
+        self.known = {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
-            self.known.clear()
+            self.forget()
+        known = self.known
         cut = [self.chunks(t) for t in texts]
+        fresh = set().union(*cut).difference(known)
+        stopped = [c for c in fresh if c[-1] in self.stops and "a" <= c[-2:-1] <= "z"]
+        fresh.difference_update(stopped)
+        for c in stopped:
+            fresh.update(part for part in (c[:-1], c[-1]) if part not in known)
         new: list[str] = []
         size = 0
-        for c in {c for cs in cut for c in cs}:
-            if c in self.known:
-                continue
+        for c in fresh:
             if self.between or (c[0] == " " and not c[1:2].isspace() and not c[-1].isspace()):
                 new.append(c)
                 size += len(c)
             else:
-                self.known[c] = self._alone(c)
+                known[c] = self._alone(c)
             if size > JOINED:
                 self._learn(new)
                 new, size = [], 0
         if new:
             self._learn(new)
-        known = self.known
-        return [b"".join([known[c] for c in cs]) for cs in cut]
+        for c in stopped:
+            known[c] = known[c[:-1]] + known[c[-1]]
+        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
 
 
 def frees(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
