@@ -199,8 +199,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     buckets = written(shared.join(classes.select(F.col("low").alias("id"), "cls"), "id").select("sig", F.col("cls").alias("id")), "line-buckets")
     discard(shared)
     ids = buckets.select("id").distinct()
-    wanted = written(classes.select("low", "high", F.col("cls").alias("id")).join(ids, "id"), "line-candidates")
-    texts = maybe_among(line_texts(rows), "low", wanted.select("low")).join(wanted, ["high", "low"])
+    wanted = written(classes.select("low", "high", "first.mark", F.col("cls").alias("id")).join(ids, "id"), "line-candidates")
+    # Only the texts are read again in which a wanted line stands first.
+    owners = maybe_among(rows, "mark", wanted.select("mark"))
+    texts = maybe_among(line_texts(owners), "low", wanted.select("low")).join(wanted.drop("mark"), ["high", "low"])
     candidates = written(line_outlines(texts.groupBy("id").agg(F.min("line").alias("body"))), "line-bodies")
 
     @F.pandas_udf("boolean")

@@ -18,13 +18,15 @@ tables; the driver sees counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.llm.components import connected
+from tillmark.llm.words import frees
 from tillmark.sources.shared import discard, written
 
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
@@ -46,11 +48,26 @@ def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def shared_buckets(signatures: DataFrame) -> DataFrame:
-    """The rows (sig, id) whose signature several ids have, each once. One sort by signature, nothing collected."""
-    order = Window.partitionBy("sig").orderBy("id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    beside = signatures.select("sig", "id", F.lag("id").over(order).alias("_before"), F.first("id").over(whole).alias("_low"), F.last("id").over(whole).alias("_high"))
-    return beside.filter("_low <> _high and (_before is null or _before <> id)").select("sig", "id")
+    """The rows (sig, id) whose signature several ids have, each once. Nearly all signatures stand alone: sorted by signature,
+    the rows pass by in batches, and a task holds one batch and the last row of the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, beside = [np.zeros(0, np.int64)] * 2, np.zeros(0, bool)  # the last row, and whether the one before shares its signature
+        for batch in batches:
+            sig, own = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            if not len(sig):
+                continue
+            new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
+            sig, own = sig[new], own[new]
+            same = sig[1:] == sig[:-1]
+            before = np.append(beside if len(beside) else False, same)
+            held, beside = [sig[-1:], own[-1:]], before[-1:]
+            wanted = before[:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][wanted]), pa.array(own[:-1][wanted])], names=["sig", "id"])
+        if len(beside) and beside[0]:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, held)], names=["sig", "id"])
+
+    return signatures.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(frees(run), "sig long, id long")
 
 
 def _numbered(buckets: DataFrame) -> DataFrame:
