@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from catalogue.base import AS_OF, build, country, currency, region
 from catalogue.questions import QUESTIONS
+from tillmark.sources.star_schema import CALENDAR
 
 ORACLES: dict[str, str] = {}
 
@@ -212,6 +213,7 @@ oracle(
     " product_category, null, (select count(*) from stg_materials s where s.material_group = g.material_group) from material_groups g",
 )
 MARTS = {
+    "dim_date": f"generate_series(date '{CALENDAR[0]}', date '{CALENDAR[1]}', interval 1 day)",
     "dim_regions": "regions",
     "dim_stores": "stg_stores",
     "dim_sales_channels": "(values (1), (2), (3)) t(x)",
@@ -998,7 +1000,9 @@ oracle("naive_delivery", "select * from naive_del", NAIVE)
 oracle(
     "report_csv_sink",
     "select 'monthly_delivery' as report, month, sales_channel as key, on_time_rate as value from naive_del union all select"
-    " 'monthly_marketing', month, marketing_channel, ad_spend_nzd from naive_mkt",
+    " 'monthly_marketing', month, marketing_channel, ad_spend_nzd from naive_mkt union all select 'monthly_sales', month,"
+    " concat_ws('/', sales_channel, region_code), revenue_nzd from naive_sales union all select 'monthly_category_margin', month,"
+    " product_category, gross_profit_nzd from naive_margin",
     NAIVE,
 )
 KEYS = {

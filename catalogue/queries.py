@@ -204,7 +204,6 @@ def mart_sink(m: Models) -> DataFrame:
     counts = [
         getattr(built, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("mart"), "rows")
         for name in sinks.MARTS
-        if name != "dim_date"
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -231,20 +230,21 @@ def _as_delivered(m: Models) -> as_delivered.AsDelivered:
 
 @query
 def report_csv_sink(m: Models) -> DataFrame:
-    """The as-delivered delivery and marketing reports, written as CSV and read back."""
+    """The four as-delivered reports, written as CSV and read back: keys and one figure of each."""
     made = _as_delivered(m).reports()
     root = shared.new_folder(m.spark, "reports")
-    read = {}
-    for name in ("monthly_delivery", "monthly_marketing"):
+    shown = {
+        "monthly_sales": (F.concat_ws("/", "sales_channel", "region_code"), "revenue_nzd"),
+        "monthly_category_margin": (F.col("product_category"), "gross_profit_nzd"),
+        "monthly_marketing": (F.col("marketing_channel"), "ad_spend_nzd"),
+        "monthly_delivery": (F.col("sales_channel"), "on_time_rate"),
+    }
+    parts = []
+    for name, (key, value) in shown.items():
         sinks.write_report_csv(made[name], f"{root}/{name}.csv")
-        read[name] = sinks.read_report_csv(made[name], f"{root}/{name}.csv")
-    delivery = read["monthly_delivery"].select(
-        F.lit("monthly_delivery").alias("report"), "month", F.col("sales_channel").alias("key"), F.col("on_time_rate").alias("value")
-    )
-    marketing = read["monthly_marketing"].select(
-        F.lit("monthly_marketing").alias("report"), "month", F.col("marketing_channel").alias("key"), F.col("ad_spend_nzd").alias("value")
-    )
-    return delivery.unionByName(marketing)
+        read = sinks.read_report_csv(made[name], f"{root}/{name}.csv")
+        parts.append(read.select(F.lit(name).alias("report"), "month", key.alias("key"), F.col(value).cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # projections, filters, predicates

@@ -34,10 +34,9 @@ def top_by_rank(
 def with_share(df: DataFrame, group: Sequence[str], field: str, total: str) -> DataFrame:
     """Adds the group total of ``field``. Totals are summed before the shuffle and joined back by key.
 
-    The rows are needed twice, for the totals and for themselves, so what led to them is computed once and written.
+    The rows are needed twice, for the totals and for themselves; where an aggregate made them, Spark reuses its shuffle.
     """
     keys = list(group)
-    df = written(df, "shares")
     totals = df.groupBy(*keys).agg(F.sum(field).alias(total))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     return df.alias("r").join(totals.alias("t"), same).select("r.*", F.col(f"t.{total}"))

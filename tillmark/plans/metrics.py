@@ -19,6 +19,7 @@ from tillmark.functions.money import safe_ratio
 from tillmark.functions.ordering import by
 from tillmark.operators import aggregates
 from tillmark.operators.joins import full_on_all
+from tillmark.sources.sinks import MONTH, split_by
 
 DATE_FIELDS = ("date", "metric_time")
 ISO_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -417,6 +418,11 @@ class MetricLayer:
             fact = fact.filter(time >= F.lit(start).cast("date"))
         if end:
             fact = fact.filter(time <= F.lit(end).cast("date"))
+        if MONTH in fact.columns and model.time == split_by(model.relation):  # skips whole folders of a stored fact
+            if start:
+                fact = fact.filter(F.col(MONTH) >= F.trunc(F.lit(start).cast("date"), "month"))
+            if end:
+                fact = fact.filter(F.col(MONTH) <= F.trunc(F.lit(end).cast("date"), "month"))
         attributes = self.attributes(model)
         used = [attributes[q] for q in qualified]
         own = [F.col(a.column).alias(a.qualified) for a in used if a.model is None]

@@ -34,6 +34,11 @@ MARTS = {
 MONTH = "_month"
 
 
+def split_by(relation: str) -> str | None:
+    """The date whose month a stored relation is split by; attributed orders are the orders with one more column."""
+    return MARTS.get("fct_orders" if relation == "attributed_orders" else relation, ("", None))[1]
+
+
 def write_mart(df: DataFrame, path: str, date_column: str | None = None) -> DataFrame:
     """Replaces the stored mart and returns it as read back. Facts are split by month, so date ranges prune files.
 
