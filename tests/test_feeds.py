@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillmark.plans import checks, declared
 from tillmark.sources import feeds, sinks
+from tillmark.plans.metrics import MetricLayer
 from tillmark.sources.feeds import FEEDS, file_headers, ingest_log, load_feed, load_summary
 
 
@@ -78,6 +79,17 @@ def test_marts_are_stored_by_month_and_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_month" in plan
 
 
+def test_dated_metrics_read_the_months_they_need(spark, tmp_path):
+    m = shop.models(spark, tmp_path / "raw")
+    ask = {"metrics": ["revenue", "ad_spend"], "group_by": ["region"], "start": "2026-03-04", "end": "2026-03-05"}
+    want = sorted(map(str, MetricLayer(lambda name: getattr(m, name)).query(**ask).collect()))
+    for name, day in (("fct_sales_lines", "order_date"), ("fct_ad_spend", "spend_date")):
+        m.replace(name, sinks.write_mart(getattr(m, name), str(tmp_path / name), day))
+    pruned = MetricLayer(lambda name: getattr(m, name)).query(**ask)
+    assert sorted(map(str, pruned.collect())) == want
+    assert pruned._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(_month") >= 2
+
+
 def test_full_refresh_replaces_what_was_there(spark, tmp_path):
     m = shop.models(spark, tmp_path / "raw")
     for _ in range(2):
