@@ -189,7 +189,7 @@ def line_outlines(texts: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc, mark (the text's 64-bit hash) and places: the lines to drop of each document that has any."""
+    """doc, mark (the text's 64-bit hash) and places: the lines to drop of each document that has any, a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.col("text"))
     lines = written(line_digests(rows), "line-digests")
     first = F.min(F.struct("doc", "mark", "place")).alias("first")
@@ -218,7 +218,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 out.append(100 * both >= PERCENT * (len(held) + len(other) - both))
             yield pd.Series(out, dtype=bool)
 
-    found = similar_components(buckets, candidates.drop("body"), PERCENT, lambda own: candidates.select("id", "body").join(own, "id"), similar)
+    found, stored = similar_components(buckets, candidates.drop("body"), PERCENT, lambda own: candidates.select("id", "body").join(own, "id"), similar), classes
     discard(buckets, wanted, candidates)
     if found is not None:
         placed = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -226,7 +226,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         classes = placed.drop("first").join(firsts, "component")
     kept = F.struct(F.col("doc"), F.col("mark"), F.col("place"))
     dropped = lines.join(classes.select("high", "low", "first"), ["high", "low"]).filter(~kept.eqNullSafe(F.col("first")))
-    return dropped.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
+    places = written(dropped.groupBy("doc", "mark").agg(F.collect_set("place").alias("places")), "dropped-lines")
+    discard(lines, stored, found)
+    return places
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
                 out.append("\n".join([line for i, line in enumerate(text.split("\n")) if i not in away]))
             yield pd.Series(out, dtype=object)
 
-    gone = written(duplicate_lines(docs), "dropped-lines")
+    gone = duplicate_lines(docs)
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_mark"))
     joined = packed.join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
     text = without(F.col("row.text"), F.col("places"))
