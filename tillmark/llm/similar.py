@@ -147,4 +147,5 @@ def similar_components(
             labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
         else:
             low = high + 1
+    discard(active, tried)
     return None if labels.isEmpty() else labels
