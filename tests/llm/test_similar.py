@@ -135,6 +135,36 @@ def test_lines_against_brute_force(documents, prose):
     assert report[2]["n_lines"] == report[2]["n_kept"] == 3 and report[0]["n_lines"] == 0
 
 
+def test_short_lines_against_brute_force(documents):
+    """Every line but blank ones takes part; lines are cut and compared here, without the module."""
+    notice = "subscribe to news!"
+    shown = [None, "", " \n\t\n", "Menu", "menu\nhome", "of\nof\nOF \n  of", f"{notice}\n{notice}!", notice[:-1], "ok", "日本語の文です。", "日本語の文です。\n中文", "-----\n--------"]
+    texts = shown + ["\n".join([f"call us {i:02d}", "back to top", "Back  to top", "", "x" * (i % 9)]) for i in range(30)]
+
+    def sets(line):
+        return {line[i : i + 5] for i in range(len(line) - 4)} or {line}
+
+    cut = [(i, p, " ".join(x.lower().split())) for i, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n"))]
+    cut = [(i, p, sets(n)) for i, p, n in cut if n]
+    root = roots(len(cut), lambda a, b: 100 * len(cut[a][2] & cut[b][2]) >= 80 * len(cut[a][2] | cut[b][2]))
+    gone = {cut[i][:2] for i, r in enumerate(root) if r != i}
+    want = [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)]
+    got = lines.deduplicate(documents(list(enumerate(texts))).repartition(3))
+    assert [r["text"] for r in sorted(got.collect(), key=lambda r: r["doc_id"])] == want
+
+
+def test_bands_find_similar_short_lines():
+    """Pairs of 8 to 24 characters at a similarity of 0.8 to 0.9: one is the other and one or two characters more."""
+    rng, pairs = random.Random(5), []
+    while len(pairs) < 600:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(8, 22)))
+        b = a + "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 2)))
+        if 100 * len(lines.grams(a)) >= 80 * len(lines.grams(b)):
+            pairs.append((a, b))
+    one, two = lines.bands_of([a for a, _ in pairs]), lines.bands_of([b for _, b in pairs])
+    assert np.mean((one == two).any(1)) > 0.985
+
+
 def test_lines_odd_rows(documents):
     line = "a line of more than twenty characters"
     docs = documents([(5, line), (5, line), (None, line), (6, f"{line}\n{line}")])

@@ -1,13 +1,13 @@
 """Fuzzy line deduplication.
 
 A document's lines are what stands between its line feeds. Lines are compared in lower case with runs of white space as one
-space, by the sets of their character 5-grams; lines that are equal then are one class. MinHash signatures by one permutation
+space, by the sets of their character 5-grams; a line of fewer characters is one gram. Lines that are equal then are one class. MinHash signatures by one permutation
 (one hash a 5-gram, the least of each of BANDS x ROWS bins, empty bins filled from others by a fixed order of probes) are
 cut into bands. At a Jaccard similarity of 0.8 a pair shares a band with a probability of over 0.99, at 0.85 of over 0.999.
 Candidates are compared on their whole sets, and a distributed union-find joins what is similar; see ``similar``. Of
 each component the first line stays, by document id and place, and the others are dropped.
 
-Cases: lines of under MIN_CHARS characters, blank ones among them, say too little to be copies of each other; they stay. A
+Cases: every line takes part, however short, but blank ones, which stay. A
 null text stays null and an empty one empty; a document may lose all of its lines and then has an empty text. Null ids
 come first. Rows that repeat id and text are one document and keep the same lines. All columns of ``docs`` stay, whatever
 their names. An empty table gives an empty table.
@@ -29,13 +29,14 @@ from tillmark.llm.similar import WORDS, maybe_among, outline, outline_fields, sh
 from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
-GRAM, MIN_CHARS, PERCENT = 5, 20, 80
+GRAM, PERCENT = 5, 80
 BANDS, ROWS = 22, 7
 BINS = BANDS * ROWS
 #: Characters of lines that are hashed at once, and classes that a task remembers.
 AT_ONCE, REMEMBERED = 200_000, 300_000
 _EMPTY = np.uint32(0xFFFFFFFF)
-_PROBES = np.random.default_rng(7).integers(0, BINS, (64, BINS))
+#: So many that even a line of one gram fills nearly all bins by them; the bins of long lines are full after a few.
+_PROBES = np.random.default_rng(7).integers(0, BINS, (1024, BINS))
 
 
 def normal(line: str) -> str:
@@ -43,12 +44,12 @@ def normal(line: str) -> str:
 
 
 def long_lines(text: str) -> list[tuple[int, str]]:
-    """Place and normal form of the lines that take part."""
-    return [(i, n) for i, line in enumerate(text.split("\n")) if len(line) >= MIN_CHARS and len(n := normal(line)) >= MIN_CHARS]
+    """Place and normal form of the lines that take part: all that are not blank."""
+    return [(i, n) for i, line in enumerate(text.split("\n")) if (n := normal(line))]
 
 
 def grams(line: str) -> set[str]:
-    return {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
+    return {line[i : i + GRAM] for i in range(max(1, len(line) - GRAM + 1))}
 
 
 def gram_hashes(lines: list[str]) -> np.ndarray:
@@ -140,7 +141,8 @@ def _fresh(texts: list[str], seen: set[int]) -> Iterator[tuple[int, str]]:
 
 
 def line_signatures(rows: DataFrame) -> DataFrame:
-    """sig, id: the bands of each line under the lower half of its digest."""
+    """sig, id: the bands of each line under the lower half of its digest. A line of under GRAM characters is similar to its
+    equals only, which are one class, and has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -153,6 +155,8 @@ def line_signatures(rows: DataFrame) -> DataFrame:
 
         for _, texts in slices(batches):
             for mark, line in _fresh(texts, seen):
+                if len(line) < GRAM:
+                    continue
                 held.append((mark, line))
                 size += len(line)
                 if size >= AT_ONCE:
