@@ -202,6 +202,38 @@ def test_label_model_finds_accuracies_and_clusters():
     assert weight[:3].max() < 0.5 < weight[3:].min()
 
 
+def test_label_model_counts_every_document():
+    """Rows with a number give what as many rows give, however large the number of the clean row without a hit."""
+    rng = np.random.default_rng(3)
+    fires = (rng.random((300, 6)) < 0.3).astype(float)
+    fires[0] = 0
+    labels, number = rng.integers(-1, 2, 300), rng.integers(1, 4, 300)
+    labels[0], number[0] = 0, 20_000
+    q, theta, weight = toxicity.label_model(fires, labels, 0.05, number=number.astype(float))
+    each = toxicity.label_model(np.repeat(fires, number, 0), np.repeat(labels, number), 0.05)
+    assert np.allclose(q, each[0][np.cumsum(number) - number]) and np.allclose(theta, each[1]) and np.allclose(weight, each[2])
+    assert theta[0].max() < 0.02
+
+
+def test_fit_weighs_every_document(spark, documents, monkeypatch):
+    """9,900 equal clean documents and 120 others of as many kinds: the label model gets all of them."""
+    seen = []
+    model = toxicity.label_model
+
+    def spied(fires, labels, prior, **more):
+        number = more.get("number")
+        seen.append(len(labels) if number is None else number.sum())
+        return model(fires, labels, prior, **more)
+
+    monkeypatch.setattr(toxicity, "label_model", spied)
+    words = sorted(toxicity.INSULTS)
+    rows = [(i, "a fine day") for i in range(9900)] + [(20_000 + i, " ".join(words[: 1 + i % 40])) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 20_000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    toxicity.fit(documents(rows), labels)
+    learnt = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows)
+    assert seen == [pytest.approx(learnt)]
+
+
 def test_held_out_matches_sql(spark):
     ids = [0, 5, 17, 12345678901]
     rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", quality.held_out(quality.F.col("doc_id"))).collect()

@@ -171,22 +171,23 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     return empty
 
 
-def label_model(fires: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(fires: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 25, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row, voters' probabilities to fire by class, and their weights.
 
-    ``labels`` are 0, 1 or -1 for unknown. A voter's weight is one over the size of its cluster: one plus the positive
+    ``labels`` are 0, 1 or -1 for unknown. ``number`` says how many documents each row stands for, one by default. A voter's weight is one over the size of its cluster: one plus the positive
     correlations with other voters that the class does not explain.
     """
     gold = np.where(labels == 1, 1.0, np.where(labels == 0, -1.0, 0.0)) * np.log(GOLD / (1 - GOLD))
     weight = np.ones(fires.shape[1])
+    number = np.ones(len(fires)) if number is None else number
     q = np.where(labels >= 0, labels, np.where(fires.any(1), 0.5, prior / 2)).astype(float)
     theta = np.zeros((2, fires.shape[1]))
     for _ in range(rounds):
-        for y, own in ((0, 1 - q), (1, q)):
+        for y, own in ((0, number * (1 - q)), (1, number * q)):
             theta[y] = (own @ fires + (0.2 if y else 0.02)) / (own.sum() + 1)
         theta = np.clip(theta, 1e-5, 1 - 1e-5)
         rest = [fires - theta[y] for y in (0, 1)]
-        inside = sum((r * own[:, None]).T @ r for r, own in zip(rest, (1 - q, q), strict=True))
+        inside = sum((r * own[:, None]).T @ r for r, own in zip(rest, (number * (1 - q), number * q), strict=True))
         scale = np.sqrt(np.maximum(np.diag(inside), 1e-12))
         together = inside / np.outer(scale, scale)
         np.fill_diagonal(together, 0)
@@ -224,10 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # Classes were sampled up to the same number; this brings back their shares.
     share = {1: totals.get(1, 0) / max(toxic, 1), 0: totals.get(0, 0) / max(clean, 1), -1: 1.0}
     number = number * np.array([share[k] for k in known.tolist()])
-    repeat = np.maximum(1, np.rint(number / number.min())).astype(int) if number.min() > 0 else np.ones(len(number), int)
-    repeat = np.minimum(repeat, 1 + 200_000 // len(repeat))
-    q, _, _ = label_model(np.repeat(counts > 0, repeat, 0).astype(float), np.repeat(known, repeat), prior)
-    q = q[np.cumsum(repeat) - repeat]  # equal rows have equal posteriors
+    q, _, _ = label_model((counts > 0).astype(float), known, prior, number=number)
     return Model(lexicon, tuple(logistic(features(counts), q, number / number.mean(), ridge=2e-4)))
 
 
