@@ -130,6 +130,44 @@ def test_simple_tree_matching():
     assert sorted(x.tag for x, _ in pairs) == ["#", "div", "div", "p"]
 
 
+def plain_alignment(a, b):
+    """Simple tree matching as published, one pair of children at a time."""
+    xs, ys = a.elements(), b.elements()
+    best = [[(0, [])] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], key=lambda e: e[0])
+            if x.tag == y.tag:
+                size, own = plain_alignment(x, y)
+                if best[i][j][0] + size > best[i + 1][j + 1][0]:
+                    best[i + 1][j + 1] = best[i][j][0] + size, [*best[i][j][1], *own]
+    return 1 + best[-1][-1][0], [(a, b), *best[-1][-1][1]]
+
+
+def test_tree_matching_as_published():
+    rng = random.Random(8)
+
+    def tree(depth):
+        tag = rng.choice("abi")
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(60):
+        a, b = (pages.parse("".join(tree(3) for _ in range(3))) for _ in range(2))
+        pairs = []
+        assert pages.align(a, b, pairs) == plain_alignment(a, b)[0] == len(pairs)
+        assert all(x.tag == y.tag for x, y in pairs)
+
+
+def test_wide_levels_are_aligned_whole():
+    """700 children, one more in front and a constant node in the middle."""
+    page = lambda n, front: front + "".join("<h5>house rules</h5>" if i == 350 else f"<div>{n} {i}</div>" for i in range(700))
+    a, b = pages.parse(page(1, "")), pages.parse(page(2, "<ul><li>new</ul>"))
+    pairs = []
+    assert pages.align(a, b, pairs) == 701
+    assert ("house rules", "house rules") in {(x.own(), y.own()) for x, y in pairs}
+    assert pages.mark("/h5", "house rules") in pages.induce([page(1, ""), page(2, "<ul><li>new</ul>")])
+
+
 def test_pages_empty(spark):
     assert pages.extract(page_rows(spark, [])).count() == 0
 

@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,6 @@ from pyspark.sql import functions as F
 from tillmark.sources.shared import written
 
 SAMPLE, MANY, AGREE = 8, 4, 0.8
-#: Levels with more pairs of children than this are aligned at their ends only.
-LEVEL = 40_000
 
 # Elements by their use in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,35 +163,69 @@ def mark(path: str, text: str) -> int:
     return (crc32(path.encode()) >> 1) << 31 | crc32(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching of two trees with the same root tag: the size of the largest matching, its pairs added."""
-    pairs.append((a, b))
-    xs, ys = a.elements(), b.elements()
-    if len(xs) * len(ys) > LEVEL:
-        n = min(len(xs), len(ys), 100)
-        matched = [(x, y) for x, y in [*zip(xs[:n], ys[:n], strict=True), *zip(xs[-n:], ys[-n:], strict=True)] if x.tag == y.tag]
-        seen: set[int] = set()
-        return 1 + sum(align(x, y, pairs) for x, y in matched if not (id(x) in seen or seen.add(id(x))))
-    kept: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            size = 0
-            if x.tag == y.tag:
-                own: list[tuple[Node, Node]] = []
-                size = align(x, y, own)
-                kept[i, j] = size, own
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size if size else 0)
-    i, j = len(xs), len(ys)
+def _shapes(roots: list[Node]) -> tuple[dict[int, int], list[tuple[str, tuple[int, ...]]]]:
+    """The shape of each node by its id(), and of each shape the tag and the shapes of the children."""
+    found: dict[tuple[str, tuple[int, ...]], int] = {}
+    of: dict[int, int] = {}
+    for root in roots:
+        order, stack = [], [root]
+        while stack:
+            order.append(stack.pop())
+            stack.extend(order[-1].elements())
+        for node in reversed(order):
+            of[id(node)] = found.setdefault((node.tag, tuple(of[id(c)] for c in node.elements())), len(found))
+    return of, list(found)
+
+
+def _matching(xs: tuple[int, ...], ys: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The size of the largest order-preserving matching of two levels, and its places. Two bits a pair are held."""
+    if not xs or not ys:
+        return 0, []
+    distinct, place = np.unique(np.array(ys), return_inverse=True)
+    rows = {x: np.array([sizes.get((x, y), 0) for y in distinct.tolist()], np.int64) for x in set(xs)}
+    best, above, beside = np.zeros(len(ys) + 1, np.int64), [], []
+    for x in xs:
+        last, best = best, best.copy()
+        best[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + rows[x][place]))
+        above.append(np.packbits(best[1:] == last[1:]))
+        beside.append(np.packbits(best[1:] == best[:-1]))
+    i, j, out = len(xs), len(ys), []
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        at, bit = (j - 1) >> 3, 128 >> ((j - 1) & 7)
+        if above[i - 1][at] & bit:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif beside[i - 1][at] & bit:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.extend(kept[i, j][1])
-    return 1 + best[len(xs)][len(ys)]
+            out.append((i, j))
+    return int(best[-1]), out
+
+
+def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
+    """Simple tree matching of two trees with the same root tag: the size of the largest matching, its pairs added. Sizes
+    depend on the tags alone, so those of two shapes are found once, however many nodes have them."""
+    of, shapes = _shapes([a, b])
+    sizes: dict[tuple[int, int], int] = {}
+    todo = [(of[id(a)], of[id(b)])]
+    while todo:
+        x, y = todo[-1]
+        if (x, y) not in sizes:
+            xs, ys = shapes[x][1], shapes[y][1]
+            open_ = [(p, q) for p in set(xs) for q in set(ys) if shapes[p][0] == shapes[q][0] and (p, q) not in sizes]
+            if open_:
+                todo.extend(open_)
+                continue
+            sizes[x, y] = 1 + _matching(xs, ys, sizes)[0]
+        todo.pop()
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        xs, ys = x.elements(), y.elements()
+        places = _matching(shapes[of[id(x)]][1], shapes[of[id(y)]][1], sizes)[1]
+        stack.extend((xs[i], ys[j]) for i, j in places)
+    return sizes[of[id(a)], of[id(b)]]
 
 
 def induce(pages: list[str]) -> list[int]:
