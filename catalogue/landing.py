@@ -5,40 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.sources.feeds import load_feed
+from tillmark.sources.feeds import FEEDS, load_feed, load_manifest
 from tillmark.sources.shared import new_folder
 from tillmark.sources.star_schema import StarSchemaFeeds
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
-PATTERNS = {"ecom_orders": "ecommerce/orders_*/*/*.csv", "erp_fx_rates": "erp/fx_rates.csv/*.csv"}
+PATTERNS = {feed: f"{feed}/*/*/*.csv" for feed in FEEDS}
 
 
-def landing(spark: SparkSession, sf_dir: str) -> str:
-    """Web orders in a file per month, with ``promo_code`` between two columns from 2000 on, and the FX rates."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def landing(spark: SparkSession, sf_dir: str, feed: str) -> str:
+    """The root below which the files of a feed lie, one a year (and store); written when first asked for.
+
+    Web orders come under three headers: ``promo_code`` is new in 2000, and until 1996 the currency stood first.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, feed)
     if key not in _WRITTEN:
         root = new_folder(spark, "landing")
-        feeds = StarSchemaFeeds(spark, sf_dir)
-        orders = feeds["ecom_orders"].drop("_source_file").withColumn("month", F.substring("order_ts", 1, 7))
-        for name, df in (
-            ("orders_a", orders.filter("month < '2000-01'").drop("promo_code")),
-            ("orders_b", orders.filter("month >= '2000-01'")),
-        ):
-            df.hint("rebalance", "month").write.partitionBy("month").option("header", True).csv(
-                f"{root}/ecommerce/{name}"
-            )
-        rates = feeds["erp_fx_rates"].drop("_source_file")
-        rates.write.option("header", True).csv(f"{root}/erp/fx_rates.csv")
+        rows = StarSchemaFeeds(spark, sf_dir)[feed]
+        delivered = rows.withColumn("file", F.regexp_replace("_source_file", r"-\d\d\.csv$", ".csv")).drop("_source_file")
+        versions = [("all", delivered)]
+        if feed == "ecom_orders":
+            year = F.substring("order_ts", 1, 4)
+            plain = delivered.drop("promo_code")
+            versions = [
+                ("a", plain.select("currency", *(c for c in plain.columns if c != "currency")).filter(year < "1996")),
+                ("b", plain.filter(year.between("1996", "1999"))),
+                ("c", delivered.filter(year >= "2000")),
+            ]
+        for name, df in versions:
+            df.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{root}/{feed}/{name}")
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
 
 def read(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
-    df = load_feed(spark, landing(spark, sf_dir), PATTERNS[feed])
-    return df.withColumn("_source_file", without_part_name(F.col("_source_file")))
+    df = load_feed(spark, landing(spark, sf_dir, feed), PATTERNS[feed])
+    return df.withColumn("_source_file", delivered_as(F.col("_source_file")))
+
+
+def manifest(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
+    found = load_manifest(spark, landing(spark, sf_dir, feed), {feed: PATTERNS[feed]})
+    return found.withColumn("source_file", delivered_as(F.col("source_file")))
 
 
-def without_part_name(path: Column) -> Column:
-    """Spark names the files inside a folder itself; the folder is what was delivered."""
-    return F.regexp_replace(path, "/part-[^/]*$", "")
+def delivered_as(path: Column) -> Column:
+    """Spark names the files inside a folder itself; the folder is named after the file that was delivered."""
+    return F.url_decode(F.regexp_extract(path, "file=([^/]*)/", 1))

@@ -190,17 +190,46 @@ RAW_WEB = (
     " marketing_channel, case when order_date >= date '2000-01-01' and cast(substr(order_id, 3) as bigint) % 4 = 1 then 'SUMMER15' end"
     " as promo_code, currency, order_status, cast(items_subtotal as varchar) as items_subtotal, '0.00' as discount_total, '9.90' as"
     " shipping_fee, cast(order_total as varchar) as order_total, strftime(order_date + 1, '%Y-%m-%d') || ' 02:00:00' as _extracted_at,"
-    " 'ecommerce/orders_' || case when order_date >= date '2000-01-01' then 'b' else 'a' end || '/month=' ||"
-    " strftime(order_date, '%Y-%m') as _source_file from stg_web_orders)"
+    " 'ecommerce/orders_' || strftime(order_date, '%Y') || '.csv' as _source_file from stg_web_orders)"
 )
 oracle("scan_union_by_name", "select * from raw_web", RAW_WEB)
-oracle("scan_source_file", "select _source_file, count(*) as rows from raw_web group by 1", RAW_WEB)
+
+
+def delivered(feed: str, file: str, day: str, source: str) -> str:
+    """Rows and newest extract of each file of a feed: one a year of ``day`` where the name has a year."""
+    named = f"'{file}'".replace("YYYY", f"' || strftime({day}, '%Y') || '")
+    return f"select '{feed}' as feed, {named} as source_file, count(*) as rows, max(cast({day} as timestamp)) as newest from {source} group by 2"
+
+
+def by_day(kinds: str, *keys: str) -> str:
+    return f"(select day from ev where event_type in ({kinds}) group by day, {', '.join(keys)}) t"
+
+
+# the day before which a file's rows were extracted; master data has one fixed day
+DELIVERED = [
+    ("erp_materials", "erp/materials.csv", "date '2001-08-01'", "mats_raw"),
+    ("erp_customers", "erp/customers.csv", "date '2001-07-31'", "stg_customers"),
+    ("erp_stores", "erp/stores.csv", "date '2001-08-01'", "stg_stores"),
+    ("erp_fx_rates", "erp/fx_rates.csv", "d", "fx_raw"),
+    ("erp_gl_store_takings", "erp/gl_store_takings_YYYY.csv", "posting_date", "ledger"),
+    ("erp_sales_order_headers", "erp/vbak_YYYY.csv", "od", "o where ch = 2"),
+    ("erp_sales_order_items", "erp/vbap_YYYY.csv", "sd", "li where ch = 2"),
+    ("ecom_orders", "ecommerce/orders_YYYY.csv", "order_date", "stg_web_orders"),
+    ("ecom_order_lines", "ecommerce/order_lines_YYYY.csv", "sd", "li where ch = 1"),
+    ("logistics_shipments", "logistics/shipments_YYYY.csv", "shipped_date", "stg_shipments"),
+    ("mkt_search_ads", "marketing/search_ads_YYYY.csv", "day", by_day("'click'", "place", "campaign")),
+    ("mkt_social_ads", "marketing/social_ads_YYYY.csv", "day", by_day("'view'", "place", "campaign")),
+    ("mkt_other_channels", "marketing/other_channels_YYYY.csv", "day", by_day("'purchase', 'signup', 'error'", "event_type", "place")),
+]
+TILLS = (
+    "select 'pos_transactions', regexp_replace(_source_file, '-[0-9][0-9][.]csv$', '.csv'), count(*), max(cast(extracted - 1 as timestamp))"
+    " from pos_raw group by 2"
+)
 LOG = (
-    RAW_WEB + ", log as (select 'ecom_orders' as feed, _source_file as source_file, count(*) as rows,"
-    " max(cast(_extracted_at as timestamp)) as extracted_at, timestamp '2001-08-03 06:00:00' as loaded_at from raw_web group by 2"
-    " union all select 'erp_fx_rates', 'erp/fx_rates.csv', count(*), max(cast(d + 1 as timestamp) + interval 2 hour),"
-    " timestamp '2001-08-03 06:00:00' from fx_raw)"
+    "log as (select feed, source_file, rows, newest + interval 26 hour as extracted_at, timestamp '2001-08-03 06:00:00' as loaded_at"
+    f" from ({' union all '.join([*(delivered(*x) for x in DELIVERED), TILLS])}) x)"
 )
+oracle("scan_source_file", "select feed, source_file as _source_file, rows from log", LOG)
 oracle("ingest_log", "select * from log", LOG)
 oracle("feed_load_summary", "select feed, count(distinct source_file) as files, cast(sum(rows) as bigint) as rows from log group by 1", LOG)
 oracle(
@@ -758,7 +787,7 @@ oracle("dq_expression", "select store_id, transaction_id, line_no, sku, quantity
 oracle(
     "dq_column_contract",
     "select distinct _source_file as source_file, 'promo_code' as column_name, 'unexpected column (not in the contract)' as issue from"
-    " raw_web where _source_file like 'ecommerce/orders_b/%'",
+    " raw_web where _source_file >= 'ecommerce/orders_2000'",
     RAW_WEB,
 )
 NEWEST = {
@@ -908,7 +937,7 @@ COUNTS: list[tuple[str, str]] = [
     ("recon_pos_mart_vs_finance", "select count(*) from recon where abs(difference_nzd) > 0.05 and quarantined_lines = 0"),
     ("recon_online_orders_vs_shipments", "select count(*) from unshipped"),
     ("assert_pos_currency_matches_store", "select count(*) from label"),
-    ("ecom_orders_columns_match_contract", "select count(distinct strftime(order_date, '%Y-%m')) from stg_web_orders where order_date >= date '2000-01-01'"),
+    ("ecom_orders_columns_match_contract", "select count(distinct strftime(order_date, '%Y')) from stg_web_orders where order_date >= date '2000-01-01'"),
 ]
 RESULTS = (
     "counted as ("
@@ -939,7 +968,7 @@ INCIDENTS = (
     "('negative_quantity','recon_pos_raw_vs_finance',true)) t(kind, name, needs)),"
     " proof as (select 'currency_mixup' as kind, store_id || '|' || regexp_extract(_source_file, '(\\d{4}-\\d{2})\\.csv$', 1) as place"
     " from label union all select 'missing_foreign_key', from_field from orphan union all select 'negative_quantity', transaction_id"
-    " from neg union all select 'schema_drift', 'promo_code' from (select distinct strftime(order_date, '%Y-%m') from stg_web_orders"
+    " from neg union all select 'schema_drift', 'promo_code' from (select distinct strftime(order_date, '%Y') from stg_web_orders"
     " where order_date >= date '2000-01-01'))"
 )
 oracle(

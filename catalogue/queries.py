@@ -64,7 +64,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
     m = models(spark, sf_dir)
     for name in ("stg_pos_lines", "priced_lines", "int_sales_orders"):
         getattr(m, name)
-    landing.landing(spark, sf_dir)
+    landing.landing(spark, sf_dir, "ecom_orders")
 
 
 def layer(m: Models) -> MetricLayer:
@@ -144,7 +144,12 @@ def _scan_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_landing_query("scan_source_file")
 def _scan_source_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landing.read(spark, sf_dir, "ecom_orders").groupBy("_source_file").agg(F.count("*").alias("rows"))
+    """The files that the rows of each feed come from."""
+    found = [
+        landing.read(spark, sf_dir, feed).groupBy(F.lit(feed).alias("feed"), "_source_file").agg(F.count("*").alias("rows"))
+        for feed in landing.PATTERNS
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +168,9 @@ def _feed_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contract_failures(m: Models) -> DataFrame:
-    root = landing.landing(m.spark, m.feeds.folder)
+    root = landing.landing(m.spark, m.feeds.folder, "ecom_orders")
     headers = feed_files.file_headers(m.spark, f"{root}/{landing.PATTERNS['ecom_orders']}")
-    relative = landing.without_part_name(feed_files.relative_path(F.col("path"), root))
+    relative = landing.delivered_as(feed_files.relative_path(F.col("path"), root))
     # the loader adds _source_file, so a delivered file cannot lack it
     delivered = headers.select(relative.alias("path"), F.array_append("columns", F.lit("_source_file")).alias("columns"))
     return checks.contract_issues(delivered, declared.WEB_ORDER_CONTRACT).distinct()

@@ -48,6 +48,79 @@ def test_quoted_line_breaks_need_multi_line(spark, tmp_path):
     assert [(r.id, r.note) for r in rows] == [("1", "two\nlines"), ("2", "one")]
 
 
+def test_three_headers_over_many_files_are_one_scan(spark, tmp_path):
+    folder = tmp_path / "ecommerce"
+    folder.mkdir()
+    for i in range(3000):
+        body = [f"id,note,_extracted_at\n{i},n{i},2026-01-01 00:00:00\n", f"_extracted_at,id,extra,note\n2026-01-01 00:00:00,{i},,n{i}\n", f"NOTE,id\n\"n{i}\",{i}\n"]
+        (folder / f"orders_{i}.csv").write_text(body[0 if i % 10 else 1 if i % 20 else 2])
+    df = load_feed(spark, str(tmp_path), FEEDS["ecom_orders"])
+    assert df.columns == ["id", "note", "_extracted_at", "extra", "_source_file"]
+    got = df.groupBy(F.col("note") == F.concat(F.lit("n"), "id"), F.col("_extracted_at").isNull(), "extra").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(True, False, None, 2850), (True, True, None, 150)]
+    assert df.filter(F.col("_source_file") != F.concat(F.lit("ecommerce/orders_"), "id", F.lit(".csv"))).count() == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "orders_17.csv" not in plan
+    headers = feeds.feed_files(spark, f"{folder}/orders_*.csv").headers
+    assert list(headers.values()) == [("id", "note", "_extracted_at"), ("NOTE", "id"), ("_extracted_at", "id", "extra", "note")]
+
+
+def test_a_row_that_does_not_fit_its_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,note,more\n1,x,y\n")
+    (tmp_path / "b.csv").write_text('id,note\n2,"x,y"\n')
+    good = load_feed(spark, str(tmp_path), "*.csv")
+    assert sorted(map(tuple, good.select("id", "note", "more").collect())) == [("1", "x", "y"), ("2", "x,y", None)]
+    for name, row in (("long.csv", "3,x,y"), ("short.csv", "3"), ("longer.csv", "3,x,y,z")):
+        (tmp_path / name).write_text(f"id,note\n{row}\n")
+        with pytest.raises(Exception, match="does not fit the header"):
+            load_feed(spark, str(tmp_path), "*.csv").collect()
+        (tmp_path / name).write_text("id,note\n")
+
+
+def test_line_breaks_in_quotes_by_feed(spark, tmp_path):
+    (tmp_path / "notes_1.csv").write_text('id,note\n1,"two\nlines"\n')
+    (tmp_path / "notes_2.csv").write_text('note,id,extra\n"say ""hi""\nnow",2,e\n')
+    (tmp_path / "plain.csv").write_text("id\n1\n")
+    found = feeds.load_feeds(spark, str(tmp_path), {"notes": "notes_*.csv", "plain": "plain.csv"}, multi_line={"notes"})
+    rows = sorted(tuple(r) for r in found["notes"].select("id", "note", "_source_file").collect())
+    assert rows == [("1", "two\nlines", "notes_1.csv"), ("2", 'say "hi"\nnow', "notes_2.csv")]
+    assert found["plain"].count() == 1
+
+
+def test_a_repeated_load_reads_new_and_changed_files_only(spark, tmp_path):
+    one = {"f": "f_*.csv"}
+    (tmp_path / "f_1.csv").write_text("id\n1\n")
+    (tmp_path / "f_2.csv").write_text("id\n2\n")
+    first = feeds.load_manifest(spark, str(tmp_path), one)
+    loaded = spark.createDataFrame(first.collect(), first.schema)
+    assert feeds.changed_files(feeds.load_manifest(spark, str(tmp_path), one), loaded).count() == 0
+    assert feeds.load_feeds(spark, str(tmp_path), one, loaded=loaded)["f"].count() == 0
+    (tmp_path / "f_2.csv").write_text("id\n2\n22\n")
+    (tmp_path / "f_3.csv").write_text("more,id\nm,3\n")
+    changed = feeds.changed_files(feeds.load_manifest(spark, str(tmp_path), one), loaded)
+    assert sorted(r.source_file for r in changed.collect()) == ["f_2.csv", "f_3.csv"]
+    assert sorted(r.id for r in feeds.load_feeds(spark, str(tmp_path), one, loaded=loaded)["f"].collect()) == ["2", "22", "3"]
+
+
+def test_every_feed_loads_from_its_place(spark, tmp_path):
+    for feed, pattern in FEEDS.items():
+        path = tmp_path / pattern.replace("*/", "X/").replace("*", "x")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"id,_extracted_at\n{feed},2026-01-01 00:00:00\n")
+    found = feeds.load_feeds(spark, str(tmp_path))
+    assert {name: [r.id for r in df.collect()] for name, df in found.items()} == {name: [name] for name in FEEDS}
+    assert load_summary(ingest_log(found, datetime(2026, 2, 2))).filter("files = 1 and rows = 1").count() == 14
+
+
+def test_empty_files_and_files_with_a_header_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("id,late\n")
+    (tmp_path / "c.csv").write_text("\n  \nid\n7\n")
+    (tmp_path / "d.csv").write_text("\ufeffid\r\n8\r\n", encoding="utf-8")
+    df = load_feed(spark, str(tmp_path), "*.csv")
+    assert sorted(map(tuple, df.select("id", "late").collect())) == [("7", None), ("8", None)]
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "erp").mkdir()
     (tmp_path / "erp" / "other.csv").write_text("a\n1\n")
