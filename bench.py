@@ -48,6 +48,7 @@ HEADLINE = [
     "dq_unique",
     "dq_relationships",
     "dq_freshness",
+    "dq_results",
     "recon_raw_vs_ledger",
     "recon_orders_vs_shipments",
     "naive_monthly_sales",

@@ -273,15 +273,6 @@ FAILING = (
     " store_currency, p.currency as reported_currency, count(*) as lines from pos_raw p join stg_stores s on p.store_id = s.store_id"
     " where p.currency <> s.currency group by 1, 2, 3, 4)"
 )
-oracle(
-    "failures_sink",
-    "select 'pos_transaction_line_is_unique' as check, count(*) as rows from dup union all select 'pos_sale_quantity_is_positive',"
-    " count(*) from neg union all select 'erp_sales_order_material_exists', count(*) from orphan union all select"
-    " 'accepted_values:erp_materials.MATL_GROUP', count(*) from grp union all select 'assert_pos_currency_matches_store', count(*)"
-    " from label",
-    FAILING,
-)
-
 # projections, filters, predicates
 
 oracle(
@@ -953,6 +944,7 @@ RESULTS = (
 )
 DQ = ", ".join([FAILING, RECON, RAW_RECON, UNSHIPPED, FRESH, RESULTS])
 oracle("dq_results", "select * from results", DQ)
+oracle("failures_sink", "select name as check, cast(n as bigint) as rows from counted", DQ)
 INCIDENTS = (
     "sold as (select *, 'S0' || (o_custkey % 7 + 1) as store from lineitem join o on l_orderkey = o_orderkey where ch = 0),"
     " places as (select distinct 'negative_quantity' as kind, 'T-' || o_orderkey as place from sold where o_orderstatus <> 'P' and"

@@ -45,7 +45,7 @@ def query(make: Callable[[Models], DataFrame]) -> Callable[[Models], DataFrame]:
 @lru_cache(maxsize=4)
 def models(spark: SparkSession, sf_dir: str) -> Models:
     """Relations over one folder. Like the marts of a warehouse, the line and order tables are written on first use."""
-    return StoredModels(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
+    return StoredModels(spark, feeds_of(spark, sf_dir, stored=True), AS_OF, CALENDAR)
 
 
 @lru_cache(maxsize=4)
@@ -54,9 +54,9 @@ def from_feeds(spark: SparkSession, sf_dir: str) -> Models:
     return Models(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
 
 
-@lru_cache(maxsize=4)
-def feeds_of(spark: SparkSession, sf_dir: str) -> StarSchemaFeeds:
-    return StarSchemaFeeds(spark, sf_dir)
+@lru_cache(maxsize=8)
+def feeds_of(spark: SparkSession, sf_dir: str, stored: bool = False) -> StarSchemaFeeds:
+    return StarSchemaFeeds(spark, sf_dir, stored)
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:
@@ -215,18 +215,11 @@ def mart_sink(m: Models) -> DataFrame:
 
 @query
 def failures_sink(m: Models) -> DataFrame:
-    by_name = {c.name: c for c in declared.DECLARED}
-    relation = declared.relation_of(m)
-    chosen = [
-        "pos_transaction_line_is_unique",
-        "pos_sale_quantity_is_positive",
-        "erp_sales_order_material_exists",
-        "accepted_values:erp_materials.MATL_GROUP",
-    ]
-    failing = {name: checks.failures(by_name[name], relation) for name in chosen}
-    failing["assert_pos_currency_matches_store"] = declared.named_failures(m)["assert_pos_currency_matches_store"]
-    kept = sinks.store_failures(failing, shared.new_folder(m.spark, "audit"))
-    return kept.groupBy("check").agg(F.count("*").alias("rows"))
+    """The stored failing rows of every check."""
+    stored = _audit(m)
+    known = seeds.local_table(m.spark, ["check"], [(c.name,) for c in declared.all_checks(True)])
+    counts = checks.failing_rows(stored).withColumnRenamed("name", "check")
+    return known.join(counts, "check", "left").select("check", F.coalesce("failing_rows", F.lit(0)).alias("rows"))
 
 
 def _as_delivered(m: Models) -> as_delivered.AsDelivered:
@@ -973,14 +966,14 @@ def recon_orders_vs_shipments(m: Models) -> DataFrame:
     return declared.orders_vs_shipments(m.stg_web_orders, m.stg_shipments, cutoff)
 
 
-def _dq_results(m: Models) -> tuple[DataFrame, DataFrame]:
-    contract = _contract_failures(m)
-    return contract, declared.run(m, contract)
+def _audit(m: Models) -> DataFrame:
+    """The findings of all checks, stored."""
+    return sinks.store_failures(declared.findings(m, _contract_failures(m)), shared.new_folder(m.spark, "audit"))
 
 
 @query
 def dq_results(m: Models) -> DataFrame:
-    return _dq_results(m)[1]
+    return declared.results(m, _audit(m))
 
 
 def _incidents(m: Models) -> DataFrame:
@@ -989,23 +982,22 @@ def _incidents(m: Models) -> DataFrame:
 
 @query
 def dq_expected_vs_fired(m: Models) -> DataFrame:
-    contract, results = _dq_results(m)
-    results = shared.written(results, "dq_results")
+    found = _audit(m)
     return checks.expected_vs_fired(
-        _incidents(m), declared.incident_mapping(m), results, declared.evidence(m, contract)
+        _incidents(m), declared.incident_mapping(m), declared.results(m, found), declared.evidence(found)
     )
 
 
 @query
 def dq_unexplained(m: Models) -> DataFrame:
     """Checks that fire without a known incident behind them."""
-    _, results = _dq_results(m)
+    results = declared.results(m, _audit(m))
     return checks.unexplained(_incidents(m), declared.incident_mapping(m), results).select("name", "status", "failing_rows")
 
 
 @query
 def dq_alert_summary(m: Models) -> DataFrame:
-    _, results = _dq_results(m)
+    results = declared.results(m, _audit(m))
     return checks.alert_summary(results, m.quarantined_pos_lines)
 
 

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 import pytest
 import shop
 from pyspark.sql import functions as F
 
 from tillmark.plans import as_delivered, checks, compare, declared
+from tillmark.sources import sinks
 from tillmark.sources.feeds import file_headers
 
 PLACES = {
@@ -26,7 +30,8 @@ def contract(spark, root):
 def run(spark, root, *faults):
     m = shop.models(spark, root, *faults)
     drift = contract(spark, root)
-    return m, drift, declared.run(m, drift)
+    found = sinks.store_failures(declared.findings(m, drift), f"{root}/audit")
+    return m, found, declared.results(m, found)
 
 
 def test_number_of_declared_checks():
@@ -59,10 +64,10 @@ def test_clean_shop_raises_no_alarm_and_reports_agree(spark, tmp_path):
 
 
 def test_every_fault_is_caught_with_evidence(spark, tmp_path):
-    m, drift, results = run(spark, tmp_path, *shop.FAULTS)
+    m, found, results = run(spark, tmp_path, *shop.FAULTS)
     incidents = spark.createDataFrame([(k, k, p) for k, p in PLACES.items()], "id string, kind string, place string")
     mapping = declared.incident_mapping(m)
-    verdict = checks.expected_vs_fired(incidents, mapping, results, declared.evidence(m, drift))
+    verdict = checks.expected_vs_fired(incidents, mapping, results, declared.evidence(found))
     by_kind = {r.kind: r for r in verdict.collect()}
     assert all(by_kind[k].caught for k in PLACES), by_kind
     assert by_kind["late_file"].evidence_rows is None and by_kind["late_file"].checks_fired == 2
@@ -85,7 +90,7 @@ def test_failing_rows_agree_with_their_count(spark, tmp_path, fault, name, rows)
     check = next(c for c in declared.DECLARED if c.name == name)
     relation = declared.relation_of(m)
     assert checks.failures(check, relation).count() == rows
-    counted = {r.name: r.failing_rows for r in checks.failing_rows([check], relation).collect()}
+    counted = {r.name: r.failing_rows for r in checks.failing_rows(checks.findings([check], relation)).collect()}
     assert counted == {name: rows}
 
 
@@ -101,7 +106,13 @@ def test_all_kinds_against_their_failing_rows(spark):
         checks.relationships("t", "code", "p", "code"),
         checks.expression("t", "n > 0", "positive", where="id is not null"),
     ]
-    counted = {r.name: r.failing_rows for r in checks.failing_rows(declared_, relation).collect()}
+    found = checks.findings(declared_, relation)
+    counted = {r.name: r.failing_rows for r in checks.failing_rows(found).collect()}
+    for c in declared_:
+        rows = checks.failures(c, relation)
+        want = Counter(r[0] for r in rows.select(F.to_json(F.struct(*(F.col(x).cast("string").alias(x) for x in rows.columns)))).collect())
+        text = lambda x: json.dumps({k: str(v) for k, v in json.loads(x).items()}, separators=(",", ":"))
+        assert Counter({text(r.row_json): r.copies for r in found.filter(F.col("name") == c.name).collect()}) == want, c.name
     assert counted == {c.name: checks.failures(c, relation).count() for c in declared_}
     assert list(counted.values()) and counted["positive"] == 2 and counted["unique:t.id"] == 2
 
@@ -136,3 +147,24 @@ def test_raw_tills_against_the_ledger(spark, tmp_path):
     m = shop.models(spark, tmp_path, shop.currency_mixup)
     rows = declared.named_failures(m)["recon_pos_raw_vs_finance"].collect()
     assert [(r.store_id, r.pos_nzd, r.ledger_nzd, r.difference_nzd) for r in rows] == [("S04", 54.0, 59.4, -5.4)]
+
+
+def test_each_relation_is_scanned_once_for_all_its_findings(spark, tmp_path):
+    rows = [(i, f"k{i % 7}", None if i % 11 else "x", i % 5 - 1) for i in range(200)]
+    spark.createDataFrame(rows, "id int, code string, note string, n int").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("k1",), ("k2",)], "code string").write.parquet(str(tmp_path / "p"))
+    relation = lambda name: spark.read.parquet(str(tmp_path / name))
+    declared_ = [checks.unique("t", c) for c in ("id", "code", "note", "n")] + [checks.not_null("t", c) for c in ("id", "note", "n")]
+    declared_ += [checks.accepted_values("t", "code", "k1"), checks.relationships("t", "code", "p", "code"), checks.expression("t", "n > 0", "positive")]
+    found = sinks.store_failures(checks.findings(declared_, relation), str(tmp_path / "audit"))
+    plan = checks.findings(declared_, relation)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [id") == 1
+    counted = {r.name: r.failing_rows for r in checks.failing_rows(found).collect()}
+    assert counted == {c.name: n for c in declared_ if (n := checks.failures(c, relation).count())}
+    assert sorted(p.name for p in (tmp_path / "audit" / "dq_audit").iterdir() if p.is_dir()) == sorted(f"name={n}".replace(":", "%3A") for n in counted)
+
+
+def test_a_hot_failing_row_is_one_tally(spark):
+    rows = spark.range(30_000).select(F.lit(None).cast("string").alias("k"), F.lit("bad").alias("code"))
+    found = checks.findings([checks.not_null("t", "k"), checks.accepted_values("t", "code", "good")], {"t": rows}.__getitem__)
+    assert sorted(map(tuple, found.collect())) == [("accepted_values:t.code", '{"value_field":"bad","n_records":30000}', 1), ("not_null:t.k", '{"code":"bad"}', 30000)]

@@ -173,11 +173,11 @@ def test_full_refresh_replaces_what_was_there(spark, tmp_path):
 
 def test_failures_and_reports_are_stored(spark, tmp_path):
     m = shop.models(spark, tmp_path / "raw", shop.duplicate_rows)
-    dup = checks.repeated(m.feeds["pos_transactions"], F.expr("transaction_id || '-' || line_no"))
-    kept = sinks.store_failures({"pos_transaction_line_is_unique": dup}, str(tmp_path / "w"))
-    assert sorted(r.row_json for r in kept.collect()) == [
-        '{"unique_field":"T-1-1","n_records":2}',
-        '{"unique_field":"T-1-2","n_records":2}',
+    check = next(c for c in declared.DECLARED if c.name == "pos_transaction_line_is_unique")
+    kept = sinks.store_failures(checks.findings([check], declared.relation_of(m)), str(tmp_path / "w"))
+    assert sorted(map(tuple, kept.collect())) == [
+        (check.name, '{"unique_field":"T-1-1","n_records":2}', 1),
+        (check.name, '{"unique_field":"T-1-2","n_records":2}', 1),
     ]
     report = m.rpt_monthly_delivery
     sinks.write_report_csv(report, str(tmp_path / "r.csv"))

@@ -1,8 +1,10 @@
 """Data-quality checks.
 
 A check is a rule on one relation; its failures are rows, and no rows means it passes. ``failures`` gives the rows of
-one check. ``failing_rows`` counts all checks: each relation is scanned once, its rules become (check, value) pairs
-that are tallied before any shuffle, so a value that fills a third of a column is a single tally per task.
+one check. ``findings`` gives those of all checks: each relation is scanned once, every row carries the array of what it adds to
+its checks (a value to tally, or itself as JSON where it breaks a rule), and one explode feeds one aggregation that tallies
+before any shuffle, so a value that fills a third of a column is a single tally per task. Counts, stored failures and the
+evidence of an incident are all read from the findings.
 """
 
 from __future__ import annotations
@@ -113,30 +115,41 @@ def failures(check: Check, relation: Callable[[str], DataFrame]) -> DataFrame:
 
 # all checks at once
 
+_BY_ROW = ("not_null", "expression")
+_FOUND = "_found_row"
 
-def _pair(check: Check) -> Column:
-    """The (check, value) pair a row adds to the tally of a check, or NULL when it adds nothing."""
-    value = F.expr(check.value)
+
+def _breaks(check: Check) -> Column:
+    """Whether a row breaks a rule on single rows."""
     if check.kind == "not_null":
-        counts, shown = value.isNull(), F.lit(None)
-    elif check.kind == "expression":
-        broken = ~value
-        counts, shown = (F.expr(check.where) & broken) if check.where else broken, F.lit(None)
+        return F.expr(check.value).isNull()
+    broken = ~F.expr(check.value)
+    return (F.expr(check.where) & broken) if check.where else broken
+
+
+def _adds(check: Check) -> Column:
+    """What a row adds to the findings of a check: (name, value, row), or NULL when it adds nothing."""
+    nothing, value = F.lit(None).cast("string"), F.expr(check.value)
+    if check.kind in _BY_ROW:
+        counts, shown, row = _breaks(check), nothing, F.col(_FOUND)
     elif check.kind == "accepted_values":
-        counts, shown = ~value.isin(*check.accepted), value
+        counts, shown, row = ~value.isin(*check.accepted), value.cast("string"), nothing
     else:
-        counts, shown = value.isNotNull(), value
-    return F.when(counts, F.struct(F.lit(check.name).alias("name"), shown.cast("string").alias("value")))
+        counts, shown, row = value.isNotNull(), value.cast("string"), nothing
+    return F.when(counts, F.struct(F.lit(check.name).alias("name"), shown.alias("value"), row.alias("row")))
 
 
 def tallies(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """(name, value, n) for the rules of one relation in one scan."""
-    pairs = F.explode(F.array_compact(F.array(*(_pair(c) for c in checks)))).alias("p")
-    return df.select(pairs).groupBy("p.name", "p.value").agg(F.count("*").alias("n"))
+    """(name, value, row, n) for the rules of one relation in one scan; a row is written as JSON once, and only if it breaks a rule."""
+    by_row = [_breaks(c) for c in checks if c.kind in _BY_ROW]
+    broken = reduce(Column.__or__, [F.coalesce(b, F.lit(False)) for b in by_row], F.lit(False))
+    rows = df.withColumn(_FOUND, F.when(broken, F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+    added = F.explode(F.array_compact(F.array(*(_adds(c) for c in checks)))).alias("p")
+    return rows.select(added).groupBy("p.name", "p.value", "p.row").agg(F.count("*").alias("n"))
 
 
-def failing_rows(checks: Sequence[Check], relation: Callable[[str], DataFrame]) -> DataFrame:
-    """(name, failing_rows) of the checks that have failing rows."""
+def findings(checks: Sequence[Check], relation: Callable[[str], DataFrame]) -> DataFrame:
+    """(name, row_json, copies): the failing rows of all checks as ``failures`` gives them, equal ones once with their number."""
     by_relation: dict[str, list[Check]] = {}
     for c in checks:
         by_relation.setdefault(c.relation, []).append(c)
@@ -148,14 +161,27 @@ def failing_rows(checks: Sequence[Check], relation: Callable[[str], DataFrame])
             known = reduce(DataFrame.unionByName, [_parent_keys(c, relation) for c in linked])
             tallied = without_match(tallied, known, ["name", "value"])
         parts.append(tallied)
-    kinds = {kind: [c.name for c in checks if c.kind == kind] for kind in ("unique", "accepted_values")}
-    rows = (
-        F.when(F.col("name").isin(*kinds["unique"]), count_if(F.col("n") > 1))
-        .when(F.col("name").isin(*kinds["accepted_values"]), F.count("*"))
-        .otherwise(F.sum("n"))
+    of_kind = {kind: F.col("name").isin(*(c.name for c in checks if c.kind == kind)) for kind in ("unique", "accepted_values", "relationships")}
+    n = F.col("n").alias("n_records")
+    row = (
+        F.when(of_kind["unique"], F.to_json(F.struct(F.col("value").alias("unique_field"), n)))
+        .when(of_kind["accepted_values"], F.to_json(F.struct(F.col("value").alias("value_field"), n)))
+        .when(of_kind["relationships"], F.to_json(F.struct(F.col("value").alias("from_field"))))
+        .otherwise(F.col("row"))
     )
-    counted = reduce(DataFrame.unionByName, parts).groupBy("name").agg(rows.alias("failing_rows"))
-    return counted.filter(F.col("failing_rows") > 0)
+    once = of_kind["unique"] | of_kind["accepted_values"]
+    found = reduce(DataFrame.unionByName, parts).filter(~of_kind["unique"] | (F.col("n") > 1))
+    return found.select("name", row.alias("row_json"), F.when(once, 1).otherwise(F.col("n")).cast("long").alias("copies"))
+
+
+def as_findings(name: str, rows: DataFrame) -> DataFrame:
+    """The rows of a check that compares several relations, as findings."""
+    return rows.select(F.lit(name).alias("name"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("row_json"), F.lit(1).cast("long").alias("copies"))
+
+
+def failing_rows(found: DataFrame) -> DataFrame:
+    """(name, failing_rows) of the checks that have findings."""
+    return found.groupBy("name").agg(F.sum("copies").alias("failing_rows"))
 
 
 def _parent_keys(check: Check, relation: Callable[[str], DataFrame]) -> DataFrame:
@@ -252,12 +278,12 @@ def fired(results_: DataFrame) -> DataFrame:
 def expected_vs_fired(incidents: DataFrame, mapping: DataFrame, results_: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per incident (id, kind, place): did a check meant for its kind fire, and do its rows point at the place?
 
-    ``mapping`` has (kind, name, needs_evidence); ``evidence`` has (kind, place), one row per failing row.
+    ``mapping`` has (kind, name, needs_evidence); ``evidence`` has (kind, place, rows).
     """
     hits = mapping.join(fired(results_).select("name"), ["name"])
     per_kind = mapping.groupBy("kind").agg(F.max("needs_evidence").alias("needs_evidence"))
     fired_kinds = hits.groupBy("kind").agg(F.count("*").alias("checks_fired"))
-    places = evidence.groupBy("kind", "place").agg(F.count("*").alias("rows"))
+    places = evidence.groupBy("kind", "place").agg(F.sum("rows").alias("rows"))
     checks_fired = F.coalesce("checks_fired", F.lit(0)).cast("long")
     rows = F.when(F.col("needs_evidence"), F.coalesce("rows", F.lit(0)).cast("long"))
     return (

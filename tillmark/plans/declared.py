@@ -243,19 +243,23 @@ def named_failures(models: Models) -> dict[str, DataFrame]:
     }
 
 
-def run(models: Models, contract_failures: DataFrame | None = None) -> DataFrame:
-    """``dq_results`` of every declared and named check."""
+def findings(models: Models, contract_failures: DataFrame | None = None) -> DataFrame:
+    """The failing rows of every declared and named check, see ``checks.findings``."""
     named = named_failures(models)
-    meta = [*DECLARED, *(NAMED[n] for n in named)]
     if contract_failures is not None:
-        named, meta = {**named, CONTRACT_CHECK.name: contract_failures}, [*meta, CONTRACT_CHECK]
-    counted = [
-        df.agg(F.count("*").alias("failing_rows")).select(F.lit(name).alias("name"), "failing_rows")
-        for name, df in named.items()
-    ]
-    counts = reduce(DataFrame.unionByName, [checks.failing_rows(DECLARED, relation_of(models)), *counted])
+        named[CONTRACT_CHECK.name] = contract_failures
+    parts = [checks.findings(DECLARED, relation_of(models)), *(checks.as_findings(n, rows) for n, rows in named.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_checks(with_contract: bool) -> list[Check]:
+    return [*DECLARED, *NAMED.values(), *([CONTRACT_CHECK] if with_contract else [])]
+
+
+def results(models: Models, found: DataFrame, with_contract: bool = True) -> DataFrame:
+    """``dq_results`` of every declared and named check, from the findings (stored ones where they are stored)."""
     fresh = checks.freshness(models.feeds, models.as_of, FRESHNESS)
-    return checks.results(models.spark, meta, counts, fresh)
+    return checks.results(models.spark, all_checks(with_contract), checks.failing_rows(found), fresh)
 
 
 def incident_mapping(models: Models) -> DataFrame:
@@ -263,29 +267,17 @@ def incident_mapping(models: Models) -> DataFrame:
     return seeds.local_table(models.spark, ["kind", "name", "needs_evidence"], rows)
 
 
-def evidence(models: Models, contract_failures: DataFrame | None = None) -> DataFrame:
-    """(kind, place) of every failing row that can prove an incident."""
-    named, relation = named_failures(models), relation_of(models)
-    by_name = {c.name: c for c in DECLARED}
-
-    def rows(kind: str, df: DataFrame, *place: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.concat_ws("|", *place).alias("place"))
-
-    month = F.regexp_extract("_source_file", r"(\d{4}-\d{2})\.csv$", 1)
-    found = [
-        rows("duplicate_rows", named["recon_pos_raw_vs_finance"], F.col("store_id"), F.col("business_date")),
-        rows("currency_mixup", named["assert_pos_currency_matches_store"], F.col("store_id"), month),
-        rows(
-            "missing_foreign_key",
-            checks.failures(by_name["erp_sales_order_material_exists"], relation),
-            F.col("from_field"),
-        ),
-        rows(
-            "negative_quantity",
-            checks.failures(by_name["pos_sale_quantity_is_positive"], relation),
-            F.col("transaction_id"),
-        ),
-    ]
-    if contract_failures is not None:
-        found.append(rows("schema_drift", contract_failures, F.col("column_name")))
-    return reduce(DataFrame.unionByName, found)
+def evidence(found: DataFrame) -> DataFrame:
+    """(kind, place, rows) of the findings that can prove an incident."""
+    field = lambda name: F.get_json_object("row_json", f"$.{name}")
+    month = F.regexp_extract(field("_source_file"), r"(\d{4}-\d{2})\.csv$", 1)
+    places = {
+        "duplicate_rows": ("recon_pos_raw_vs_finance", F.concat_ws("|", field("store_id"), field("business_date"))),
+        "currency_mixup": ("assert_pos_currency_matches_store", F.concat_ws("|", field("store_id"), month)),
+        "missing_foreign_key": ("erp_sales_order_material_exists", field("from_field")),
+        "negative_quantity": ("pos_sale_quantity_is_positive", field("transaction_id")),
+        "schema_drift": (CONTRACT_CHECK.name, field("column_name")),
+    }
+    shown = [F.when(F.col("name") == name, F.struct(F.lit(kind).alias("kind"), place.alias("place"))) for kind, (name, place) in places.items()]
+    proof = found.filter(F.col("name").isin(*(name for name, _ in places.values())))
+    return proof.select(F.coalesce(*shown).alias("p"), F.col("copies").alias("rows")).select("p.kind", "p.place", "rows")

@@ -23,10 +23,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as parquet and read back. ``discard`` removes the files."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """The same rows, written once as parquet and read back, split into ``folders`` by the columns named. ``discard`` removes the
+    files."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table

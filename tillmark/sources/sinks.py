@@ -73,13 +73,12 @@ def build_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str |
     return built
 
 
-def store_failures(failures: Mapping[str, DataFrame], root: str) -> DataFrame:
-    """Writes the failing rows of each check to ``root/dq_audit/<check>``; returns them all as (check, row)."""
-    stored = []
-    for check, rows in failures.items():
-        kept = write_mart(rows, f"{root}/dq_audit/{check.replace(':', '_')}")
-        stored.append(kept.select(F.lit(check).alias("check"), F.to_json(F.struct(*kept.columns)).alias("row_json")))
-    return reduce(DataFrame.unionByName, stored)
+def store_failures(found: DataFrame, root: str) -> DataFrame:
+    """Writes the findings of all checks below ``root/dq_audit``, a folder for each check, in one pass over each relation; returns
+    them as read back."""
+    place = f"{root}/dq_audit"
+    found.hint("rebalance", "name").write.mode("overwrite").partitionBy("name").parquet(place)
+    return found.sparkSession.read.schema(found.schema).parquet(place).select(*found.columns)
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:
