@@ -1197,7 +1197,7 @@ def _question(q: object) -> str:
         direction = "desc" if q.argmax else "asc"
         rows = f"select * from ({rows}) where label is not null and v is not null order by v {direction}, label limit 1"
     kind = "label" if q.label else "number"
-    return f"select '{q.id}' as id, '{kind}' as kind, '{q.metric}' as metric, v as number, label, v is not null as correct from ({rows})"
+    return f"select '{q.id}' as id, '{kind}' as kind, '{q.metric}' as metric, v as number, label, v as expected_number, label as expected_label, v is not null as correct from ({rows})"
 
 
 oracle("score_oracle", " union all ".join(f"({_question(q)})" for q in QUESTIONS))

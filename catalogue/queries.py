@@ -16,7 +16,7 @@ from tillmark.functions.money import round_double, safe_ratio
 from tillmark.functions.ordering import descending
 from tillmark.operators import aggregates, joins, ranking
 from tillmark.operators.percentiles import group_percentiles
-from tillmark.plans import as_delivered, checks, compare, declared, grounding, marts, reports, scoring, staging, weekly
+from tillmark.plans import as_delivered, checks, compare, declared, grounding, marts, reports, scoring, staging, truth, weekly
 from tillmark.plans.metrics import Filter, Measure, MetricLayer, SemanticModel, Metric, MODELS, METRICS, Reference
 from tillmark.plans.models import Models, StoredModels
 from tillmark.sources import feeds as feed_files
@@ -1068,12 +1068,13 @@ def score_answers(m: Models) -> DataFrame:
 
 @query
 def score_oracle(m: Models) -> DataFrame:
-    """Every question answered in shared passes and scored against asking it on its own."""
-    asked = layer(m)
-    answers = scoring.answer_all(asked, QUESTIONS)
-    references = scoring.reference_answers(asked, QUESTIONS)
-    scored = scoring.score(scoring.as_text(answers), references).join(answers, ["id"], "left")
-    return scored.select("id", "kind", "metric", "number", "label", "correct")
+    """Every question answered by the metric layer in shared passes, and scored against answers that do not use it."""
+    answers = scoring.answer_all(layer(m), QUESTIONS)
+    facts = truth.cells(m.fct_sales_lines, m.attributed_orders, m.fct_ad_spend, m.fct_shipments, m.dim_regions)
+    true = truth.answers(facts, truth.predicates(m.spark, QUESTIONS))
+    scored = scoring.score(scoring.as_text(answers), truth.references(true)).join(answers, ["id"], "left")
+    expected = true.select("id", F.col("number").alias("expected_number"), F.col("label").alias("expected_label"))
+    return scored.join(expected, "id").select("id", "kind", "metric", "number", "label", "expected_number", "expected_label", "correct")
 
 
 @query

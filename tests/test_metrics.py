@@ -1,17 +1,24 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 import shop
 from pyspark.sql import functions as F
 
-from tillmark.plans.metrics import HEADLINE, METRICS, Filter, MetricError, MetricLayer
-from tillmark.plans.scoring import Question, answer_all, reference_answers
+from tillmark.plans import scoring, truth
+from tillmark.plans.metrics import ALIASES, HEADLINE, METRICS, Filter, MetricError, MetricLayer
+from tillmark.plans.scoring import Question, answer_all
 
 
 @pytest.fixture(scope="module")
-def layer(spark, tmp_path_factory):
-    m = shop.models(spark, tmp_path_factory.mktemp("shop"))
-    return MetricLayer(lambda name: getattr(m, name))
+def shop_models(spark, tmp_path_factory):
+    return shop.models(spark, tmp_path_factory.mktemp("shop"))
+
+
+@pytest.fixture(scope="module")
+def layer(shop_models):
+    return MetricLayer(lambda name: getattr(shop_models, name))
 
 
 def one(df):
@@ -147,13 +154,57 @@ QUESTIONS = [
 ]
 
 
-def test_questions_in_one_pass_equal_questions_one_by_one(layer):
+def true_answers(m, questions=QUESTIONS):
+    found = truth.cells(m.fct_sales_lines, m.attributed_orders, m.fct_ad_spend, m.fct_shipments, m.dim_regions)
+    return truth.answers(found, truth.predicates(m.spark, questions))
+
+
+def test_questions_in_one_pass_equal_answers_without_the_layer(layer, shop_models):
     shared = {r.id: (r.number, r.label) for r in answer_all(layer, QUESTIONS).collect()}
-    alone = {r.id: r for r in reference_answers(layer, QUESTIONS).collect()}
-    assert shared["best"][1] == "Wellington" == alone["best"].expected
-    assert shared["worst"][1] == "Bakeware" and shared["carrier"][1] == "Haul"
+    alone = {r.id: (r.number, r.label) for r in true_answers(shop_models).collect()}
+    assert shared["best"][1] == "Wellington" and shared["worst"][1] == "Bakeware" and shared["carrier"][1] == "Haul"
+    assert alone["empty"] == (None, None) == shared["empty"]
     for q in QUESTIONS:
-        if q.label is None:
-            want = alone[q.id].expected
-            assert (shared[q.id][0] is None and want is None) or shared[q.id][0] == pytest.approx(float(want))
-    assert shared["empty"] == (None, None)
+        assert alone[q.id][1] == shared[q.id][1]
+        assert alone[q.id][0] is shared[q.id][0] is None or alone[q.id][0] == pytest.approx(shared[q.id][0], rel=1e-12)
+
+
+def test_every_metric_by_every_dimension_equals_answers_without_the_layer(layer, shop_models):
+    """Days cut within a month, both ends of the interval included, and filters of every dimension."""
+    values = {"region": ["Auckland", "Sydney"], "country": ["AU"], "sales_channel": ["store", "wholesale"], "product_category": ["Cookware"], "carrier": ["Haul"], "marketing_channel": ["email", "paid_search"]}
+    asked = []
+    for metric in ("revenue", "units_sold", "gross_profit", "gross_margin", "orders", "average_order_value", "attributed_revenue", "roas", "ad_spend", "on_time_delivery_rate"):
+        dims = [d for d in values if ALIASES[d] in layer.dimensions_of(layer.metric(metric))]
+        for start, end in (("2026-02-15", "2026-04-02"), ("2026-03-04", "2026-03-04"), ("2026-03-03", "2026-03-09")):
+            asked.append(Question(f"{metric}{len(asked)}", "dev", metric, start, end))
+            asked += [Question(f"{metric}{d}{v}{start}{end}", "dev", metric, start, end, {d: v}) for d in dims for v in values[d]]
+    got = {r.id: r.number for r in true_answers(shop_models, asked).collect()}
+    want = {r.id: r.number for r in answer_all(layer, asked).collect()}
+    assert set(got) == set(want) == {q.id for q in asked} and sum(v is not None for v in got.values()) > 40
+    for q in asked:
+        assert got[q.id] == (None if want[q.id] is None else pytest.approx(want[q.id], rel=1e-12)), q
+
+
+@pytest.mark.parametrize(
+    ("metric", "wrong"),
+    [("revenue", {"measure": "gross_profit"}), ("gross_margin", {"ratio": ("gross_profit", "revenue_all")}), ("roas", {"ratio": ("revenue", "ad_spend")})],
+)
+def test_a_wrong_definition_is_scored_as_incorrect(shop_models, metric, wrong):
+    changed = [replace(m, **wrong) if m.name == metric else m for m in METRICS] + [replace(METRICS[0], name="revenue_all", measure="units")]
+    bad = MetricLayer(lambda name: getattr(shop_models, name), metrics=changed)
+    scored = scoring.score(scoring.as_text(answer_all(bad, QUESTIONS)), truth.references(true_answers(shop_models)))
+    verdict = {r.id: r.correct for r in scored.collect()}
+    hit = {q.id for q in QUESTIONS if q.metric == metric and q.label is None}
+    assert hit and not any(verdict[i] for i in hit)
+    assert all(verdict[q.id] for q in QUESTIONS if q.metric != metric and q.id != "empty")
+
+
+def test_questions_cost_a_scan_of_each_fact_however_many_they_are(spark, shop_models, tmp_path):
+    stored = {}
+    for name in ("fct_sales_lines", "attributed_orders", "fct_ad_spend", "fct_shipments"):
+        getattr(shop_models, name).write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    many = [replace(q, id=f"{q.id}{i}") for q in QUESTIONS for i in range(12)]
+    answers = truth.answers(truth.cells(*stored.values(), shop_models.dim_regions), truth.predicates(spark, many))
+    plan = answers.filter("kind = 'number'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 4 and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

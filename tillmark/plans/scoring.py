@@ -136,22 +136,6 @@ def _answer_group(layer: MetricLayer, label: str | None, questions: Sequence[Que
     return reduce(DataFrame.unionByName, found).select("id", "number", "label")
 
 
-def reference_answers(layer: MetricLayer, questions: Sequence[Question]) -> DataFrame:
-    """(id, kind, metric, expected): each question asked on its own, as a reader of the metrics would."""
-    rows = []
-    for q in questions:
-        filters = [Filter(d, "=", v) for d, v in q.filters.items()]
-        dims = [q.label] if q.label else []
-        asked = layer.frame([q.metric], dims, start=q.start, end=q.end, filters=filters)
-        if q.label:
-            best = label_of_extreme(asked, q.label, q.metric, q.argmax is not None)
-            kind, expected = "label", best.select(F.col(q.label).alias("expected"))
-        else:
-            kind, expected = "number", asked.select(F.col(q.metric).cast("string").alias("expected"))
-        rows.append(expected.select(F.lit(q.id).alias("id"), F.lit(kind).alias("kind"), F.lit(q.metric).alias("metric"), "expected"))
-    return reduce(DataFrame.unionByName, rows)
-
-
 def as_text(answers: DataFrame) -> DataFrame:
     """Answers as written text; a decimal is never written with an exponent."""
     plain = F.col("number").cast("decimal(38,12)").cast("string")
