@@ -62,7 +62,7 @@ def feeds_of(spark: SparkSession, sf_dir: str, stored: bool = False) -> StarSche
 def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Writes what the queries share, so that it can be timed on its own."""
     m = models(spark, sf_dir)
-    for name in ("stg_pos_lines", "priced_lines", "int_sales_orders"):
+    for name in ("stg_pos_lines", "stored_lines", "stored_orders", "fct_ad_spend", "fct_shipments"):
         getattr(m, name)
     landing.landing(spark, sf_dir, "ecom_orders")
 

@@ -165,3 +165,11 @@ def test_anti_join_with_repeated_and_null_keys(spark):
     others = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, x string")
     assert sorted(str(r.k) for r in joins.without_match(rows, others, ["k"]).collect()) == ["2", "2", "None"]
     assert "HashAggregate" in plan(joins.without_match(rows, others, ["k"]))
+
+
+def test_the_registered_dated_metric_opens_the_months_it_needs(spark):
+    from catalogue.queries import QUERIES
+
+    text = plan(QUERIES["metric_date_range"](spark, "/root/testdata/sf0.001"))
+    filters = re.findall(r"PartitionFilters: \[[^\]]*_month[^\]]*>= 1998-10-01[^\]]*<= 1999-03-01[^\]]*\]", text)
+    assert len(filters) == 3  # lines, orders and spend

@@ -19,6 +19,10 @@ GRAINS = ("day", "week", "month", "quarter", "year")
 FISCAL_YEAR_FIRST_MONTH = 4
 
 
+#: The column that stored facts are split by.
+MONTH = "_month"
+
+
 def parse_date(col: str | Column, notation: str) -> Column:
     """A text date in one of the feed notations; text that does not fit raises in ANSI mode."""
     return F.to_date(_col(col), DATE_PATTERNS[notation])

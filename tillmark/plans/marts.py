@@ -163,7 +163,7 @@ def spend_nzd(spend: DataFrame, fx: DataFrame) -> DataFrame:
     return spend.join(rates, ["spend_date"], "left").withColumn("spend_nzd", converted).drop("aud_nzd_rate")
 
 
-def fct_sales_lines(priced: DataFrame) -> DataFrame:
+def fct_sales_lines(priced: DataFrame, *more: str) -> DataFrame:
     return priced.select(
         "sales_line_id",
         "order_id",
@@ -183,10 +183,11 @@ def fct_sales_lines(priced: DataFrame) -> DataFrame:
         "cogs_nzd",
         F.when(F.col("has_cost"), F.col("revenue_nzd") - F.col("cogs_nzd")).alias("gross_profit_nzd"),
         "has_cost",
+        *more,
     )
 
 
-def attributed_orders(orders: DataFrame, channels: DataFrame) -> DataFrame:
+def attributed_orders(orders: DataFrame, channels: DataFrame, *more: str) -> DataFrame:
     """Orders with the flag whether a paid channel gets the credit; no channel counts as unpaid."""
     paid = channels.select("marketing_channel", "is_paid")
     return lookup(orders, paid, ["marketing_channel"]).select(
@@ -201,6 +202,7 @@ def attributed_orders(orders: DataFrame, channels: DataFrame) -> DataFrame:
         "line_count",
         "units",
         "revenue_nzd",
+        *more,
     )
 
 

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.functions.dates import date_series
+from tillmark.functions.dates import MONTH, date_series, month_of
 from tillmark.plans import marts, reports, staging
 from tillmark.sources import seeds
 from tillmark.sources.shared import written
@@ -195,16 +195,45 @@ class Models:
 
 
 class StoredModels(Models):
-    """Models whose line and order tables are written on first use, as marts are, and read by everything after."""
+    """Models whose line, order and other facts are written on first use, as marts are, and read by everything after. Facts are split
+    by month and keep the month, so a dated question opens the months it asks for."""
+
+    def _by_month(self, name: str, day: str) -> DataFrame:
+        rows = getattr(Models, name).func(self).withColumn(MONTH, month_of(day))
+        return written(rows.hint("rebalance", MONTH), name, MONTH)
 
     @cached_property
     def stg_pos_lines(self) -> DataFrame:
         return written(Models.stg_pos_lines.func(self), "stg_pos_lines")
 
+    @cached_property
+    def stored_lines(self) -> DataFrame:
+        return self._by_month("priced_lines", "order_date")
+
+    @cached_property
+    def stored_orders(self) -> DataFrame:
+        return self._by_month("int_sales_orders", "order_date")
+
     @cached_property
     def priced_lines(self) -> DataFrame:
-        return written(Models.priced_lines.func(self), "priced_lines")
+        return self.stored_lines.drop(MONTH)
 
     @cached_property
     def int_sales_orders(self) -> DataFrame:
-        return written(Models.int_sales_orders.func(self), "int_sales_orders")
+        return self.stored_orders.drop(MONTH)
+
+    @cached_property
+    def fct_sales_lines(self) -> DataFrame:
+        return marts.fct_sales_lines(self.stored_lines, MONTH)
+
+    @cached_property
+    def attributed_orders(self) -> DataFrame:
+        return marts.attributed_orders(self.stored_orders, self.dim_marketing_channels, MONTH)
+
+    @cached_property
+    def fct_ad_spend(self) -> DataFrame:
+        return self._by_month("fct_ad_spend", "spend_date")
+
+    @cached_property
+    def fct_shipments(self) -> DataFrame:
+        return self._by_month("fct_shipments", "promised_date")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.functions.dates import month_of
+from tillmark.functions.dates import MONTH, month_of
 from tillmark.plans.models import Models
 
 # Each mart with its layer and, for facts, the date whose month the files are split by.
@@ -31,9 +31,6 @@ MARTS = {
     "rpt_ledger_reconciliation": ("reporting", None),
 }
 
-MONTH = "_month"
-
-
 def split_by(relation: str) -> str | None:
     """The date whose month a stored relation is split by; attributed orders are the orders with one more column."""
     return MARTS.get("fct_orders" if relation == "attributed_orders" else relation, ("", None))[1]
@@ -70,6 +67,8 @@ def build_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str |
         built.replace(name, write_mart(getattr(built, name), f"{root}/intermediate/{name}"))
     for name, (layer, date_column) in marts.items():
         built.replace(name, write_mart(getattr(built, name), f"{root}/{layer}/{name}", date_column))
+        if name == "fct_orders":  # metrics read the stored orders, without their place in the day
+            built.replace("attributed_orders", built.fct_orders.drop("revenue_rank_in_day"))
     return built
 
 
