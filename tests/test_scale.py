@@ -173,3 +173,47 @@ def test_the_registered_dated_metric_opens_the_months_it_needs(spark):
     text = plan(QUERIES["metric_date_range"](spark, "/root/testdata/sf0.001"))
     filters = re.findall(r"PartitionFilters: \[[^\]]*_month[^\]]*>= 1998-10-01[^\]]*<= 1999-03-01[^\]]*\]", text)
     assert len(filters) == 3  # lines, orders and spend
+
+
+def test_facts_together_equal_full_joins_of_their_aggregates(spark):
+    rng = random.Random(5)
+    key = lambda: rng.choice(["a", "b", "c", None])
+    tables = [[(key(), rng.choice([1, 2, None]), rng.choice([None, 1.5, 2.0])) for _ in range(n)] for n in (60, 9, 3)]
+    tables[1].append(("only", 9, None))
+    frames = [spark.createDataFrame(t, "g string, h int, v double") for t in tables]
+    facts = [(df, {f"sum{i}": (F.sum, F.col("v")), f"n{i}": (F.count, F.lit(1)), f"kinds{i}": (F.countDistinct, F.col("v"))}) for i, df in enumerate(frames)]
+    got = joins.facts_together(facts, ["g", "h"])
+    want = None
+    for i, df in enumerate(frames):
+        own = df.groupBy("g", "h").agg(F.sum("v").alias(f"sum{i}"), F.count(F.lit(1)).alias(f"n{i}"), F.countDistinct("v").alias(f"kinds{i}"))
+        want = own if want is None else joins.full_on(want, own, ["g", "h"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    alone = joins.facts_together([(df, {f"s{i}": (F.sum, F.col("v"))}) for i, df in enumerate(frames)], []).collect()
+    assert [tuple(r) for r in alone] == [tuple(sum(v for _, _, v in t if v is not None) or None for t in tables)]
+
+
+def test_any_number_of_facts_is_one_shuffle_and_a_hot_key_is_combined_first(spark):
+    frames = [spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias(f"v{i}")) for i in range(4)]
+    together = joins.facts_together([(df, {f"v{i}": (F.sum, F.col(f"v{i}"))}) for i, df in enumerate(frames)], ["k"])
+    text = plan(together)
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text and "partial_sum" in text
+    assert together.first().v3 == 20_000 * 19_999 // 2
+
+
+def test_table_diff_without_a_join_keeps_hot_and_null_keys(spark):
+    from tillmark.plans import compare
+
+    hot = spark.range(30_000).select(F.lit("hot").alias("k"), F.lit(1.0).alias("v"))
+    rest = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "k string, v double")
+    left, right = hot.unionByName(rest), hot.limit(29_999).unionByName(rest.filter("k is null or k = 'b'"))
+    diff = compare.diff_rows(left, right, ["k"], ["v"])
+    assert "Join" not in plan(diff) and "partial_sum" in plan(diff)
+    got = {r.k: (r.v_left, r.v_right, r.side, r.differs) for r in diff.collect()}
+    assert got == {
+        "hot": (30_000.0, 29_999.0, "both", True),
+        "a": (1.0, None, "left_only", False),
+        None: (2.0, 2.0, "both", False),
+        "b": (None, None, "both", False),
+    }
+    same = compare.diff_rows(left, left, ["k"], ["v"])
+    assert same.filter("differs").count() == 0 and compare.diff_summary(same).first().rows_left == 4

@@ -7,7 +7,7 @@ adaptive execution splits the partition of a hot key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +24,34 @@ def full_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right, list(keys), "full")
 
 
-def full_on_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Aggregates of several facts side by side; with no keys each is a single row and they become one row."""
-    if keys:
-        return reduce(lambda a, b: full_on(a, b, keys), frames)
-    return reduce(beside_scalars, frames)
+#: An aggregate function and what it is applied to, row by row.
+Aggregate = tuple[Callable[[Column], Column], Column]
+
+_FACT, _APART = "_fact", "_apart"
+
+
+def facts_together(facts: Sequence[tuple[DataFrame, Mapping[str, Aggregate]]], keys: Sequence[str]) -> DataFrame:
+    """Aggregates of several facts side by side: (rows, {name: (function, expression)}) each, like a full outer join of the facts'
+    own aggregates, but with one shuffle for any number of facts.
+
+    The rows of all facts are one tagged union, and one aggregation combines them before they travel, so a hot key is one
+    row from each task. A fact that has no row for a key has NULL there. Rows with a NULL in a key meet no other fact.
+    Without keys the result is a single row.
+    """
+    parts, values = [], []
+    for i, (rows, aggregates) in enumerate(facts):
+        own = [expression.alias(name) for name, (_, expression) in aggregates.items()]
+        parts.append(rows.select(*keys, *own, F.lit(i).alias(_FACT)))
+        here = F.count(F.when(F.col(_FACT) == i, F.lit(1))) > 0
+        for name, (function, _) in aggregates.items():
+            value = function(F.col(f"`{name}`"))
+            values.append((F.when(here, value) if keys else value).alias(name))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if not keys:
+        return union.agg(*values)
+    some_null = reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in keys])
+    apart = F.when(some_null, F.col(_FACT)).alias(_APART)
+    return union.groupBy(*(F.col(f"`{k}`") for k in keys), apart).agg(*values).drop(_APART)
 
 
 def without_match(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ products missing from the master vanish with the inner join. On clean files the
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from tillmark.functions.money import (
 from tillmark.operators.aggregates import count_if, distinct_if
 from tillmark.plans import staging
 from tillmark.sources import seeds
+from tillmark.sources.shared import written
 
 VALUES = ["day", "channel", "region_code", "order_id", "quantity", "amount", "currency", "is_sale", "marketing_channel"]
 
@@ -104,16 +105,12 @@ def _priced(lines: DataFrame, materials: DataFrame, key: str, fx: DataFrame) ->
 def sales(feeds: Mapping[str, DataFrame], materials: DataFrame, fx: DataFrame) -> DataFrame:
     parts = [
         _priced(_store(feeds), materials, "sku", fx),
-        web_sales(feeds, materials, fx),
+        _priced(_web(feeds), materials, "sku", fx),
         _priced(_wholesale(feeds), materials, "material_id", fx),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def web_sales(feeds: Mapping[str, DataFrame], materials: DataFrame, fx: DataFrame) -> DataFrame:
-    return _priced(_web(feeds), materials, "sku", fx)
-
-
 def monthly_sales(sales_: DataFrame) -> DataFrame:
     """Units are cut to a whole number; lines without a region are in no group."""
     return (
@@ -180,26 +177,26 @@ def monthly_delivery(shipments: DataFrame) -> DataFrame:
 
 
 class AsDelivered:
-    """The four reports of one landing zone."""
+    """The four reports of one landing zone. The lines are priced once; with ``stored`` they are written, for several reports to read."""
 
-    def __init__(self, feeds: Mapping[str, DataFrame], groups: DataFrame, regions: DataFrame) -> None:
-        self.feeds, self.regions = feeds, regions
+    def __init__(self, feeds: Mapping[str, DataFrame], groups: DataFrame, regions: DataFrame, stored: bool = False) -> None:
+        self.feeds, self.regions, self.stored = feeds, regions, stored
         self.materials = staging.materials(feeds["erp_materials"], groups)
         self.fx = staging.fx_rates(feeds["erp_fx_rates"])
 
+    @cached_property
     def sales(self) -> DataFrame:
-        return sales(self.feeds, self.materials, self.fx)
+        priced = sales(self.feeds, self.materials, self.fx)
+        return written(priced, "sales_as_delivered") if self.stored else priced
 
     def reports(self) -> dict[str, DataFrame]:
         feeds = self.feeds
-        all_sales = self.sales()
         spend = staging.ad_spend(
             feeds["mkt_search_ads"], feeds["mkt_social_ads"], feeds["mkt_other_channels"], self.regions
         )
-        web = web_sales(feeds, self.materials, self.fx)
         return {
-            "monthly_sales": monthly_sales(all_sales),
-            "monthly_category_margin": monthly_category_margin(all_sales),
-            "monthly_marketing": monthly_marketing(web, spend, self.fx),
+            "monthly_sales": monthly_sales(self.sales),
+            "monthly_category_margin": monthly_category_margin(self.sales),
+            "monthly_marketing": monthly_marketing(self.sales.filter("channel = 'online'"), spend, self.fx),
             "monthly_delivery": monthly_delivery(feeds["logistics_shipments"]),
         }

@@ -29,26 +29,30 @@ def diff_rows(
 ) -> DataFrame:
     """Both versions side by side: where the key was found, and whether any value differs (NULL counts as 0).
 
-    A NULL key is a key like any other here, so it meets the NULL key of the other side.
+    The versions are one tagged union, added up by key before it is shuffled, so neither a hot key nor a NULL key is ever a group
+    of rows to be joined. A NULL key is a key like any other here, so it meets the NULL key of the other side. Rows of one
+    version that repeat a key are added up, and the key differs if the versions do not have as many rows of it.
     """
-    marked_left = left.select(*keys, *values, F.lit(True).alias("_here")).alias("l")
-    marked_right = right.select(*keys, *values, F.lit(True).alias("_here")).alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    only_right, only_left = F.col("l._here").isNull(), F.col("r._here").isNull()
-    side = F.when(only_right, "right_only").when(only_left, "left_only").otherwise("both")
+    is_left = F.col("_left")
+    tagged = [
+        df.select(*keys, *(F.col(v).cast("double").alias(v) for v in values), F.lit(here).alias("_left"))
+        for df, here in ((left, True), (right, False))
+    ]
+    sums = [
+        F.sum(F.when(own, F.col(v))).alias(f"{v}_{name}") for v in values for own, name in ((is_left, "left"), (~is_left, "right"))
+    ]
+    rows = [count_if(is_left).alias("_rows_left"), count_if(~is_left).alias("_rows_right")]
+    added = tagged[0].unionByName(tagged[1]).groupBy(*keys).agg(*sums, *rows)
+    side = F.when(F.col("_rows_left") == 0, "right_only").when(F.col("_rows_right") == 0, "left_only").otherwise("both")
 
     def number(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        return F.coalesce(F.col(name), F.lit(0.0))
 
-    differs = F.lit(False)
+    differs = F.col("_rows_left") != F.col("_rows_right")
     for v in values:
-        differs = differs | (F.abs(number(f"l.{v}") - number(f"r.{v}")) > tolerance)
-    return marked_left.join(marked_right, same, "full").select(
-        *(F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in keys),
-        *(F.col(f"{s}.{v}").cast("double").alias(f"{v}_{name}") for v in values for s, name in (("l", "left"), ("r", "right"))),
-        side.alias("side"),
-        ((side == "both") & differs).alias("differs"),
-    )
+        differs = differs | (F.abs(number(f"{v}_left") - number(f"{v}_right")) > tolerance)
+    both = added.withColumn("side", side).withColumn("differs", (F.col("side") == "both") & differs)
+    return both.drop("_rows_left", "_rows_right")
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

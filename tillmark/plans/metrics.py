@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tillmark.functions.dates import GRAINS, trunc_to
 from tillmark.functions.money import safe_ratio
 from tillmark.functions.ordering import by
 from tillmark.operators import aggregates
-from tillmark.operators.joins import full_on_all
+from tillmark.operators.joins import Aggregate, facts_together
 from tillmark.sources.sinks import MONTH, split_by
 
 DATE_FIELDS = ("date", "metric_time")
@@ -323,7 +324,7 @@ class MetricLayer:
             self._aggregate(self.models[name], measures, dims, grain if dated else None, start, end, checked)
             for name, measures in facts.items()
         ]
-        return full_on_all(parts, keys).select(*keys, *(self._value(m).alias(m.name) for m in wanted))
+        return facts_together(parts, keys).select(*keys, *(self._value(m).alias(m.name) for m in wanted))
 
     def query(
         self,
@@ -372,15 +373,12 @@ class MetricLayer:
             measures = [m for m in model.measures if m.name in {measure for measure, _ in columns.values()}]
             rows = self._rows(model, measures, list(dict.fromkeys(needed[name])), None, first, last)
             by_name = {m.name: m for m in measures}
-            aggs = [
-                F.when(
-                    aggregates.count_if(condition) > 0,
-                    aggregates.measure(by_name[measure].agg, F.when(condition, F.col(measure))),
-                ).alias(column)
+            aggs = {
+                column: (self._if_any(by_name[measure].agg), F.when(condition, F.struct(F.col(measure).alias("value"))))
                 for column, (measure, condition) in columns.items()
-            ]
-            parts.append(rows.groupBy(*dims).agg(*aggs))
-        joined = full_on_all(parts, dims)
+            }
+            parts.append((rows, aggs))
+        joined = facts_together(parts, dims)
 
         def value(name: str) -> Column:
             parts_ = [F.col(f"`_{name}_{m}`") for m in self.measures_of(metrics[name])]
@@ -451,17 +449,20 @@ class MetricLayer:
         start: str | None,
         end: str | None,
         filters: Sequence[tuple[str, Filter]],
-    ) -> DataFrame:
+    ) -> tuple[DataFrame, dict[str, Aggregate]]:
+        """The rows of one fact, and the aggregates that are asked of it."""
         chosen = [m for m in model.measures if m.name in measures]
         used = list(dict.fromkeys([*dims, *(q for q, _ in filters)]))
         rows = self._rows(model, chosen, used, grain, start, end)
         for qualified, f in filters:
             rows = rows.filter(COMPARISONS[f.op](F.col(qualified), f.value))
-        keys = (["date"] if grain else []) + list(dims)
-        out = rows.groupBy(*keys).agg(
-            *(aggregates.measure(m.agg, F.col(m.name)).alias(f"_m_{m.name}") for m in chosen)
-        )
-        return out.withColumnsRenamed({q: ALIAS_OF.get(q, q) for q in dims})
+        named = rows.withColumnsRenamed({q: ALIAS_OF.get(q, q) for q in dims}) if dims else rows
+        return named, {f"_m_{m.name}": (partial(aggregates.measure, m.agg), F.col(m.name)) for m in chosen}
+
+    @staticmethod
+    def _if_any(agg: str) -> Callable[[Column], Column]:
+        """The aggregate of the values of a struct column, NULL if no row has one."""
+        return lambda rows: F.when(F.count(rows) > 0, aggregates.measure(agg, rows["value"]))
 
     def _value(self, metric: Metric) -> Column:
         if metric.ratio is None:

@@ -12,7 +12,7 @@ from tillmark.functions.dates import add_months, month_diff, month_label, month_
 from tillmark.functions.money import exact_sum, money, round_double, rounded, safe_ratio
 from tillmark.functions.ordering import ascending, descending
 from tillmark.operators.aggregates import avg_if, count_if, distinct_if, sum_if
-from tillmark.operators.joins import beside_scalars, full_on
+from tillmark.operators.joins import beside_scalars, facts_together
 from tillmark.operators.ranking import running, sequence_of, top_by_rank, with_share
 from tillmark.plans.marts import INFERRED_DESCRIPTION
 from tillmark.plans.staging import first_copies
@@ -60,16 +60,15 @@ def monthly_category_margin(lines: DataFrame) -> DataFrame:
 
 
 def monthly_marketing(spend: DataFrame, orders: DataFrame) -> DataFrame:
-    """Spend and attributed revenue per paid channel; each fact is aggregated before the two meet."""
+    """Spend and attributed revenue per paid channel; both facts are added up in one aggregation."""
     keys = ["month", "marketing_channel"]
-    spent = spend.groupBy(month_of("spend_date").alias("month"), "marketing_channel").agg(
-        exact_sum(F.col("spend_nzd")).alias("spent")
-    )
+    spent = spend.withColumn("month", month_of("spend_date"))
     credited = orders.filter(F.col("is_paid_attribution") & (F.col("order_type") == "sale"))
-    earned = credited.groupBy(month_of("order_date").alias("month"), "marketing_channel").agg(
-        F.sum("revenue_nzd").alias("earned")
+    earned = credited.withColumn("month", month_of("order_date"))
+    both = facts_together(
+        [(spent, {"spent": (exact_sum, F.col("spend_nzd"))}), (earned, {"earned": (F.sum, F.col("revenue_nzd"))})], keys
     )
-    return full_on(spent, earned, keys).select(
+    return both.select(
         *keys,
         rounded(F.coalesce("spent", F.lit(0)), 2).alias("ad_spend_nzd"),
         rounded(F.coalesce("earned", F.lit(0)), 2).alias("attributed_revenue_nzd"),
@@ -132,17 +131,20 @@ def top_products(lines: DataFrame, materials: DataFrame, n: int = 10) -> DataFra
 def ledger_reconciliation(lines: DataFrame, ledger: DataFrame, quarantined: DataFrame) -> DataFrame:
     """Cleaned tills against the ledger per store-day, with the lines held back that day."""
     keys = ["store_id", "business_date"]
-    tills = (
-        lines.filter(F.col("sales_channel") == "store")
-        .groupBy("store_id", F.col("order_date").alias("business_date"))
-        .agg(F.sum("revenue_nzd").alias("till"))
-    )
-    booked = ledger.groupBy("store_id", F.col("posting_date").alias("business_date")).agg(
-        F.sum("amount_nzd").alias("booked")
-    )
-    held = quarantined.groupBy("store_id", F.col("txn_date").alias("business_date")).agg(F.count("*").alias("held"))
+    tills = lines.filter(F.col("sales_channel") == "store").withColumnRenamed("order_date", "business_date")
+    booked = ledger.withColumnRenamed("posting_date", "business_date")
+    held = quarantined.withColumnRenamed("txn_date", "business_date")
+    one = F.lit(1)
+    days = facts_together(
+        [
+            (tills, {"till": (F.sum, F.col("revenue_nzd")), "till_rows": (F.count, one)}),
+            (booked, {"booked": (F.sum, F.col("amount_nzd")), "booked_rows": (F.count, one)}),
+            (held, {"held": (F.count, one)}),
+        ],
+        keys,
+    ).filter("till_rows > 0 or booked_rows > 0")
     till, booked_ = F.coalesce("till", F.lit(0)), F.coalesce("booked", F.lit(0))
-    return full_on(tills, booked, keys).join(held, keys, "left").select(
+    return days.select(
         *keys,
         rounded(till, 2).alias("pos_revenue_nzd"),
         rounded(booked_, 2).alias("ledger_amount_nzd"),
