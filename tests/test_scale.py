@@ -29,7 +29,7 @@ def test_numbering_equals_a_window_with_a_hot_group(spark):
         F.col("id").cast("string").alias("id"),
         F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 11).alias("v"),
     )
-    got = ranking.number_rows(rows, ["g"], [("v", True), ("id", False)], "n", partitions=7)
+    got = ranking.number_rows(rows, ["g"], [("v", True), ("id", False)], "n", piece_rows=3000)
     order = by([("v", True), ("id", False)])
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     assert got.exceptAll(want).count() == 0 and got.count() == 20000
@@ -37,18 +37,33 @@ def test_numbering_equals_a_window_with_a_hot_group(spark):
     assert parts == rows.filter("g = 'hot'").count()
 
 
-def test_a_hot_group_is_numbered_by_several_tasks(spark):
-    rows = spark.range(20000).select(F.lit("hot").alias("g"), F.col("id"))
-    ranged = rows.repartitionByRange(8, "g", "id").groupBy(F.spark_partition_id().alias("p")).count()
-    assert ranged.count() == 8 and ranged.agg(F.max("count")).first()[0] < 6000
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_a_hot_group_is_numbered_in_balanced_pieces_of_any_session(spark, partitions):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 90).otherwise(-1).alias("g"), F.lit(7).alias("v"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = ranking.number_rows(rows, ["g"], [("v", True), ("id", False)], "n", piece_rows=4000)
+        stored = {re.sub(r"/part-.*", "", f) for f in got.inputFiles()}
+        sizes = [r["count"] for r in spark.read.parquet(*stored).groupBy("_part").count().collect()]
+        assert len(sizes) == 10 and max(sizes) < 6000 and sum(sizes) == 40_000
+        last = {r.g: (r.m, r.c, r.d) for r in got.groupBy("g").agg(F.max("n").alias("m"), F.count("*").alias("c"), F.countDistinct("n").alias("d")).collect()}
+        assert all(m == c == d for m, c, d in last.values()) and last[-1][0] == 26_666
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_percentiles_are_exact_with_a_hot_group_and_hot_value(spark):
+@pytest.mark.parametrize("accuracy", [40, 10_000])
+def test_percentiles_are_exact_with_a_hot_group_and_hot_values(spark, accuracy):
     rng = random.Random(1)
     rows = [("hot" if i % 3 else f"g{i % 5}", 1.5 if i % 2 else round(rng.random() * 9, 4)) for i in range(6000)]
-    rows += [("one", 4.0), ("none", None)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in group_percentiles(df, ["g"], "v", {"median": 0.5, "q1": 0.25}, {"p90": 0.9}, partitions=5).collect()}
+    rows += [(None, float(i % 4)) for i in range(900)] + [("spread", rng.gauss(0, 1)) for _ in range(3000)]
+    rows += [("one", 4.0), ("none", None), ("two", -1.0), ("two", 2.0), *[("same", 7.0)] * 500]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    wanted = {"median": 0.5, "q1": 0.25, "least": 0.0, "most": 1.0, "p99": 0.99}
+    found = group_percentiles(df, ["g"], "v", wanted, {"p90": 0.9, "p0": 0.0}, accuracy=accuracy)
+    got = {r.g: r for r in found.collect()}
+    exact = {r.g: r for r in df.groupBy("g").agg(*(F.percentile("v", p).alias(n) for n, p in wanted.items())).collect()}
     groups = {}
     for g, v in rows:
         if v is not None:
@@ -56,8 +71,17 @@ def test_percentiles_are_exact_with_a_hot_group_and_hot_value(spark):
     assert set(got) == set(groups)
     for g, values in groups.items():
         values.sort()
-        assert got[g].median == pytest.approx(statistics.median(values))
-        assert got[g].p90 == values[max(0, math.ceil(0.9 * len(values)) - 1)]
+        for name in wanted:
+            assert got[g][name] == pytest.approx(exact[g][name], rel=1e-12), (g, name)
+        assert got[g].p90 == values[max(0, math.ceil(0.9 * len(values)) - 1)] and got[g].p0 == values[0]
+
+
+def test_percentiles_write_nothing_and_sort_no_table(spark):
+    rows = spark.range(60_000).select(F.lit("hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
+    found = group_percentiles(rows, ["g"], "v", {"median": 0.5}, accuracy=500)
+    text = plan(found)
+    assert "parquet" not in text and "rangepartitioning" not in text
+    assert found.first().median == pytest.approx(rows.agg(F.percentile("v", 0.5)).first()[0])
 
 
 def test_first_copies_are_limited_before_the_shuffle(spark, tmp_path):

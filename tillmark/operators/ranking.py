@@ -1,8 +1,8 @@
 """Row numbers, ranks and running values.
 
 ``first_per_key`` and ``top_by_rank`` keep only low ranks, so Spark limits every group before the shuffle and a hot
-group never travels whole. ``number_rows`` gives every row its position, which no limit can shorten; it numbers a
-range-partitioned table, so one hot group spreads over many tasks.
+group never travels whole. ``number_rows`` gives every row its position, which no limit can shorten; it numbers
+pieces of a measured size, so one hot group spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.ordering import ascending, by
-from tillmark.sources.shared import written
+from tillmark.sources.shared import discard, written
+
+#: Rows of a piece that one task sorts.
+PIECE_ROWS = 250_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -52,26 +55,29 @@ def sequence_of(order: Sequence[str], group: Sequence[str]) -> Window:
 
 
 def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], name: str, partitions: int | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], name: str, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """``row_number()`` of every row in its group, for groups of any size.
 
-    Rows are range-partitioned by group and order and written once with the position each has in its partition.
-    A group lying in several partitions adds up the row counts of the earlier ones; that table has one row per
-    (partition, group). ``order`` must be total within a group: ``(column, descending)`` pairs.
+    The rows are written once and counted; as many pieces as ``piece_rows`` rows each need are cut by group and order, at the
+    quantiles of a sample of the rows that Spark draws. How many pieces there are follows from the rows alone, not from the
+    session. Each piece is written with the position that a row has in it, and a group lying in several pieces adds up the row
+    counts of the earlier ones; that table has one row per (piece, group). ``order`` must be total within a group:
+    ``(column, descending)`` pairs.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(group)
     full_order = [*ascending(*keys), *by(order)]
     slot = F.monotonically_increasing_id()
+    rows = written(df, "to-number")
+    pieces_wanted = max(1, -(-rows.count() // piece_rows))
     placed = written(
-        df.repartitionByRange(parts, *full_order)
+        rows.repartitionByRange(pieces_wanted, *full_order)
         .sortWithinPartitions(*full_order)
         .withColumn("_part", F.shiftright(slot, 33))
         .withColumn("_slot", slot),
         "numbered",
     )
+    discard(rows)
     pieces = placed.groupBy("_part", *keys).agg(F.min("_slot").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
