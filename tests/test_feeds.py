@@ -163,12 +163,48 @@ def test_dated_metrics_read_the_months_they_need(spark, tmp_path):
     assert pruned._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(_month") >= 2
 
 
-def test_full_refresh_replaces_what_was_there(spark, tmp_path):
-    m = shop.models(spark, tmp_path / "raw")
-    for _ in range(2):
-        sinks.build_marts(m, str(tmp_path / "warehouse"))
-    assert spark.read.parquet(str(tmp_path / "warehouse/marts/fct_sales_lines")).count() == 8
-    assert spark.read.parquet(str(tmp_path / "warehouse/reporting/rpt_monthly_sales")).count() == m.rpt_monthly_sales.count()
+def test_full_refresh_publishes_a_new_version_and_keeps_the_one_before(spark, tmp_path):
+    m, root = shop.models(spark, tmp_path / "raw"), str(tmp_path / "warehouse")
+    assert sinks.current_version(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        sinks.stored_marts(m, root)
+    seen = []
+    for _ in range(3):
+        sinks.build_marts(m, root)
+        seen.append(sinks.current_version(spark, root))
+    assert len(set(seen)) == 3 and sorted(seen) == seen
+    assert sorted(p.name for p in (tmp_path / "warehouse/versions").iterdir()) == [s.split("/")[-1] for s in seen[1:]]
+    stored = sinks.stored_marts(m, root)
+    assert stored.fct_sales_lines.count() == 8 == spark.read.parquet(f"{seen[1]}/marts/fct_sales_lines").count()
+    assert stored.rpt_monthly_sales.count() == m.rpt_monthly_sales.count()
+    ask = {"metrics": ["revenue", "orders", "roas"], "group_by": ["date", "region"]}
+    layers = (MetricLayer(lambda name, x=x: getattr(x, name)) for x in (stored, m))
+    one, two = (sorted(map(str, layer.query(**ask).collect())) for layer in layers)
+    assert one == two
+
+
+def test_a_refresh_that_fails_half_way_leaves_the_old_marts(spark, tmp_path, monkeypatch):
+    m, root = shop.models(spark, tmp_path / "raw"), str(tmp_path / "warehouse")
+    sinks.build_marts(m, root)
+    before = sinks.current_version(spark, root)
+    want = sorted(map(str, sinks.stored_marts(m, root).fct_sales_lines.collect()))
+    real, written = sinks.write_mart, []
+
+    def failing(df, path, date_column=None):
+        if path.endswith("fct_ad_spend"):
+            df = df.withColumn("spend_id", F.raise_error(F.lit("executor lost")).cast("string"))
+        written.append(path)
+        return real(df, path, date_column)
+
+    monkeypatch.setattr(sinks, "write_mart", failing)
+    with pytest.raises(Exception, match="executor lost"):
+        sinks.build_marts(m, root)
+    assert len(written) > 8  # facts of the new version were written before it failed
+    assert sinks.current_version(spark, root) == before
+    assert sorted(map(str, sinks.stored_marts(m, root).fct_sales_lines.collect())) == want
+    monkeypatch.undo()
+    sinks.build_marts(m, root)
+    assert sinks.current_version(spark, root) != before and sinks.stored_marts(m, root).fct_ad_spend.count() > 0
 
 
 def test_failures_and_reports_are_stored(spark, tmp_path):

@@ -38,6 +38,26 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = getattr(table, "__dict__", {}).get("_written_at")
         if path:
-            spark = table.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove(table.sparkSession, path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what lies in a folder, in order; none if there is no such folder."""
+    system, place = _place(spark, folder)
+    return sorted(x.getPath().getName() for x in system.listStatus(place)) if system.exists(place) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Creates an empty file that must not be there yet; on every store that is one step, there or not there."""
+    system, place = _place(spark, path)
+    system.create(place, False).close()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
-from functools import reduce
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillmark.functions.dates import MONTH, month_of
 from tillmark.plans.models import Models
+from tillmark.sources import shared
+
+#: Published versions that stay: the current one and the one before.
+KEPT = 2
 
 # Each mart with its layer and, for facts, the date whose month the files are split by.
 MARTS = {
@@ -58,20 +63,56 @@ def month_range(mart: DataFrame, date_column: str, start: str, end: str) -> Data
 
 
 def build_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str | None]] = MARTS) -> Models:
-    """Full refresh of the marts below ``root/<layer>/<name>``, from the feeds.
+    """Full refresh of the marts, from the feeds, as a new version below ``root/versions``.
+
+    Nothing that is published is touched: the version is written aside, and only when its last mart is there a marker in
+    ``root/published`` makes it the current one. A refresh that fails leaves the marts as they were. The version before stays for
+    those who still read it; older ones, published or not, are removed.
 
     Returns models that read what is stored so far: a report is computed from the stored facts, not from the feeds.
     """
-    built = Models(models.spark, models.feeds, models.as_of, models.calendar)
+    spark = models.spark
+    version = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    folder = f"{root}/versions/{version}"
+    built = Models(spark, models.feeds, models.as_of, models.calendar)
     for name in ("priced_lines", "int_sales_orders"):
-        built.replace(name, write_mart(getattr(built, name), f"{root}/intermediate/{name}"))
+        built.replace(name, write_mart(getattr(built, name), f"{folder}/intermediate/{name}"))
     for name, (layer, date_column) in marts.items():
-        built.replace(name, write_mart(getattr(built, name), f"{root}/{layer}/{name}", date_column))
-        if name == "fct_orders":  # metrics read the stored orders, without their place in the day
-            built.replace("attributed_orders", built.fct_orders.drop("revenue_rank_in_day"))
+        _replace(built, name, write_mart(getattr(built, name), f"{folder}/{layer}/{name}", date_column))
+    shared.mark(spark, f"{root}/published/{version}")
+    published = shared.names_in(spark, f"{root}/published")
+    kept = published[-KEPT:]
+    for old in shared.names_in(spark, f"{root}/versions"):
+        if old < kept[0]:
+            shared.remove(spark, f"{root}/versions/{old}")
+    for old in published[:-KEPT]:
+        shared.remove(spark, f"{root}/published/{old}")
     return built
 
 
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder of the marts that were published last."""
+    published = shared.names_in(spark, f"{root}/published")
+    return f"{root}/versions/{published[-1]}" if published else None
+
+
+def stored_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str | None]] = MARTS) -> Models:
+    """Models that read the published marts; everything else comes from the feeds."""
+    folder = current_version(models.spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"No marts are published under {root}")
+    stored = Models(models.spark, models.feeds, models.as_of, models.calendar)
+    for name, (layer, _) in marts.items():
+        _replace(stored, name, models.spark.read.parquet(f"{folder}/{layer}/{name}"))
+    return stored
+
+
+def _replace(models: Models, name: str, mart: DataFrame) -> None:
+    models.replace(name, mart)
+    if name == "fct_orders":  # metrics read the stored orders, without their place in the day
+        models.replace("attributed_orders", mart.drop("revenue_rank_in_day"))
+
+
 def store_failures(found: DataFrame, root: str) -> DataFrame:
     """Writes the findings of all checks below ``root/dq_audit``, a folder for each check, in one pass over each relation; returns
     them as read back."""
