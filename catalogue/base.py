@@ -1,10 +1,12 @@
 """The test-table mapping, staging and marts as DuckDB CTEs, written independently of the engine.
 
-``build(select)`` puts the CTE chain before a final select; DuckDB only evaluates the CTEs that are used.
+``build(select)`` puts the CTEs that a select needs before it.
 """
 
 from __future__ import annotations
 
+import re
+
 REGION = "case {k} when 0 then 'AKL' when 1 then 'WLG' when 2 then 'SYD' when 3 then 'MEL' else 'CHC' end"
 REGION_NAME = (
     "case {k} when 0 then 'Auckland' when 1 then 'Wellington' when 2 then 'Sydney' when 3 then 'Melbourne'"
@@ -250,10 +252,10 @@ CTES: list[tuple[str, str]] = [
     ),
     (
         "fct_lines",
-        "select sales_line_id, order_id, order_date, sales_channel, store_id, region_code, l.product_id, product_category,"
-        " order_type, order_type = 'return' as is_return, quantity, currency as source_currency, amount_local, fx_rate,"
+        "select sales_line_id, order_id, order_date, sales_channel, store_id, region_code, l.product_id,"
+        " case when l.product_id is not null then coalesce(m.product_category, 'Unknown') end as product_category, order_type, order_type = 'return' as is_return, quantity, currency as source_currency, amount_local, fx_rate,"
         " revenue_nzd, cogs_nzd, case when has_cost then revenue_nzd - cogs_nzd end as gross_profit_nzd, has_cost"
-        " from int_lines l left join dim_products p on l.product_id = p.product_id",
+        " from int_lines l left join stg_materials m on l.product_id = m.material_id",
     ),
     (
         "fct_orders",
@@ -284,6 +286,21 @@ CTES: list[tuple[str, str]] = [
 ]
 
 
+def _named_in(sql: str) -> set[str]:
+    return set(re.findall(r"\w+", sql))
+
+
 def build(select: str, extra: str = "") -> str:
-    chain = ",\n".join(f"{name} as ({body})" for name, body in CTES)
-    return f"with {chain}{',' + chr(10) + extra if extra else ''}\n{select}"
+    """The select with the CTEs that it reads, directly or through others; those that are read more than once are materialised."""
+    bodies = dict(CTES)
+    texts = {"": f"{extra} {select}"}
+    todo = [""]
+    while todo:
+        for name in _named_in(texts[todo.pop()]) & bodies.keys() - texts.keys():
+            texts[name] = bodies[name]
+            todo.append(name)
+    used = [name for name, _ in CTES if name in texts]
+    reads = {name: sum(len(re.findall(rf"\b{name}\b", text)) for text in texts.values()) for name in used}
+    chain = [f"{name} as {'materialized ' if reads[name] > 1 else ''}({bodies[name]})" for name in used]
+    chain += [extra] if extra else []
+    return f"with {(',' + chr(10)).join(chain)}\n{select}" if chain else select

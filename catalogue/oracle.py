@@ -183,6 +183,25 @@ RECON = (
 )
 oracle("rpt_ledger_reconciliation", "select * from recon", RECON)
 
+oracle("dim_stores", "select * from stg_stores")
+oracle("dim_regions", "select r.*, (select count(*) from fct_lines f where f.region_code = r.region_code) as sales_lines from regions r")
+oracle(
+    "dim_sales_channels",
+    "select c.*, (select count(*) from fct_lines f where f.sales_channel = c.sales_channel) as sales_lines from (values"
+    " ('store', 'store', 'Sales at the seven stores (POS)'), ('online', 'online', 'Orders placed on the NZ and AU web shops'),"
+    " ('wholesale', 'wholesale', 'Orders from independent homeware retailers (ERP sales orders)')) c(sales_channel, channel_name, description)",
+)
+oracle(
+    "dim_marketing_channels",
+    "select c.*, (select count(*) from fct_orders f where f.marketing_channel = c.marketing_channel) as orders from marketing_channels c",
+)
+oracle(
+    "time_spine",
+    "select d as date_day, cast(date_trunc('week', d) as date) as week from (select cast(unnest(generate_series(date_trunc('year', a),"
+    " date_trunc('year', b) + interval 1 year - interval 1 day, interval 1 day)) as date) as d from (select min(order_date) as a,"
+    " max(order_date) as b from fct_orders))",
+)
+
 # scans, sources, sinks
 
 RAW_WEB = (

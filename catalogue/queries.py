@@ -104,6 +104,7 @@ relations(
     "fct_ad_spend",
     "fct_shipments",
     "dim_products",
+    "dim_stores",
 )
 relations(
     models,
@@ -127,6 +128,35 @@ def dim_date(m: Models) -> DataFrame:
     return days.join(counts, ["date_day"], "left")
 
 
+def _with_rows(seed: DataFrame, key: str, facts: DataFrame, name: str) -> DataFrame:
+    """A seeded dimension with the rows of a fact that refer to each of its members."""
+    counts = facts.groupBy(key).agg(F.count("*").alias(name))
+    return seed.join(counts, [key], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+@query
+def dim_regions(m: Models) -> DataFrame:
+    return _with_rows(m.dim_regions, "region_code", m.fct_sales_lines, "sales_lines")
+
+
+@query
+def dim_sales_channels(m: Models) -> DataFrame:
+    return _with_rows(m.dim_sales_channels, "sales_channel", m.fct_sales_lines, "sales_lines")
+
+
+@query
+def dim_marketing_channels(m: Models) -> DataFrame:
+    return _with_rows(m.dim_marketing_channels, "marketing_channel", m.attributed_orders, "orders")
+
+
+@query
+def time_spine(m: Models) -> DataFrame:
+    """Every day of the years in which orders were placed, with the ISO week that it is counted in."""
+    years = m.attributed_orders.agg(F.trunc(F.min("order_date"), "year").alias("first"), F.last_day(F.add_months(F.trunc(F.max("order_date"), "year"), 11)).alias("last"))
+    days = dates.date_series(m.spark, F.col("first"), F.col("last"), years)
+    return days.select("date_day", dates.trunc_to("week", "date_day").alias("week"))
+
+
 # scans, sources, sinks
 
 
@@ -206,7 +236,9 @@ def seed_dims(m: Models) -> DataFrame:
 @query
 def mart_sink(m: Models) -> DataFrame:
     """A full refresh of every mart; the rows each stored mart has."""
-    built = sinks.build_marts(m, shared.new_folder(m.spark, "marts"))
+    root = shared.new_folder(m.spark, "marts")
+    sinks.build_marts(m, root)
+    built = sinks.stored_marts(m, root)
     counts = [
         getattr(built, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("mart"), "rows")
         for name in sinks.MARTS
