@@ -108,8 +108,17 @@ def test_grounding_against_brute_force(spark):
 
 def correct(spark, *rows):
     df = spark.createDataFrame(rows, "kind string, metric string, expected string, got string")
-    flag = scoring.is_correct(*(F.col(c) for c in ("kind", "metric", "expected", "got")))
-    return [r.c for r in df.select(flag.alias("c")).collect()]
+    return [r.correct for r in scoring.with_correct(df, "kind", "metric", "expected", "got").collect()]
+
+
+def test_scoring_stays_in_generated_code(spark):
+    """Parsing and comparing are small enough to be compiled."""
+    rows = spark.range(50).select(F.lit("number").alias("kind"), F.lit("revenue").alias("metric"), F.lit("5").alias("expected"), F.concat("id", F.lit("k")).alias("got"))
+    scored = scoring.with_correct(rows, "kind", "metric", "expected", "got")
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(scored._jdf.queryExecution().executedPlan())
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and 0 < max(sizes) < 8000
+    assert "regexp_extract" in scored._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scoring_rules(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,11 @@ def label_aliases() -> dict[str, str]:
 def normalise_label(label: Column) -> Column:
     """Lower case, letters and digits only, with region codes and country names brought to one spelling."""
     bare = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
-    out = bare
-    for alias, name in label_aliases().items():
-        out = F.when(bare == alias, F.lit(name)).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(_map_of(label_aliases()), bare), bare)
+
+
+def _map_of(values: Mapping[str, object]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
 def _assembled(whole: Column, decimals: Column) -> Column:
@@ -55,11 +58,12 @@ def parse_number(text: Column) -> Column:
     Whatever follows the number decides its scale by its first letters, so ``5 kg`` is 5000.
     """
     sign, whole, decimals, suffix = (F.regexp_extract(text, ANSWER, i) for i in range(1, 5))
-    size = _assembled(whole, decimals)
-    scaled = size
-    for name, (times, over) in SCALES.items():
-        scaled = F.when(F.lower(suffix) == name, size * times / over).otherwise(scaled)
-    return F.when(sign == "-", -scaled).otherwise(scaled)
+    # each part stands once in the expression, so the code generated for it stays small
+    size = _assembled(whole, decimals) * F.when(sign == "-", -1.0).otherwise(1.0)
+    times, over = (
+        F.coalesce(F.try_element_at(_map_of({name: pair[i] for name, pair in SCALES.items()}), F.lower(suffix)), F.lit(1.0)) for i in (0, 1)
+    )
+    return size * times / over
 
 
 def number_texts(text: Column) -> Column:

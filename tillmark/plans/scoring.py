@@ -42,22 +42,30 @@ class Question:
         return self.argmax or self.argmin
 
 
-def is_correct(kind: Column, metric: Column, expected: Column, got: Column) -> Column:
-    """Labels agree after normalising; numbers within 0.1 %, fractions also within 0.1 points or as a percentage."""
-    number, target = parse_number(got), expected.try_cast("double")
-    fraction = metric.isin(*FRACTIONS)
+def with_correct(rows: DataFrame, kind: str, metric: str, expected: str, got: str) -> DataFrame:
+    """Adds ``correct``: labels agree after normalising; numbers within 0.1 %, fractions also within 0.1 points or as a percentage.
+
+    Texts are parsed once, in a projection of their own, and compared in the next.
+    """
+    columns = rows.columns
+    parsed = rows.select(
+        *columns,
+        parse_number(F.col(got)).alias("_number"),
+        F.col(expected).try_cast("double").alias("_target"),
+        (normalise_label(F.col(got)) == normalise_label(F.col(expected))).alias("_same_label"),
+    )
+    number, target, fraction = F.col("_number"), F.col("_target"), F.col(metric).isin(*FRACTIONS)
     as_percentage = fraction & (F.abs(number) > 1.5) & (F.abs(target) <= 1.5)
-    x = F.when(as_percentage, number / 100).otherwise(number)
-    gap = F.abs(x - target)
+    gaps = parsed.withColumn("_gap", F.abs(F.when(as_percentage, number / 100).otherwise(number) - target))
+    gap = F.col("_gap")
     near = (gap <= F.lit(RELATIVE) * F.greatest(F.abs(target), F.lit(1e-9))) | (fraction & (gap <= FRACTION))
-    right = F.when(kind == "label", normalise_label(got) == normalise_label(expected)).otherwise(near)
-    return F.coalesce(right, F.lit(False))
+    right = F.when(F.col(kind) == "label", F.col("_same_label")).otherwise(near)
+    return gaps.select(*columns, F.coalesce(right, F.lit(False)).alias("correct"))
 
 
 def score(answers: DataFrame, references: DataFrame) -> DataFrame:
     """Answers (id, answer) against references (id, kind, metric, expected)."""
-    correct = is_correct(F.col("kind"), F.col("metric"), F.col("expected"), F.col("answer"))
-    return references.join(answers, ["id"], "left").withColumn("correct", correct)
+    return with_correct(references.join(answers, ["id"], "left"), "kind", "metric", "expected", "answer")
 
 
 def misses(rows: DataFrame) -> DataFrame:
