@@ -50,6 +50,15 @@ CTES: list[tuple[str, str]] = [
         "('FS','Food Storage')) t(material_group, product_category)",
     ),
     ("o", "select *, cast(o_orderdate as date) as od, o_orderkey % 3 as ch from orders"),
+    (
+        "every_order",
+        "select 'O-' || o_orderkey as order_id, 'U-' || o_custkey as customer_id, od as order_date, "
+        + region("(o_custkey % 5)")
+        + " as region_code, "
+        + currency("(o_custkey % 5)")
+        + " as currency, case when o_orderstatus = 'P' then 'cancelled' else 'completed' end as order_status,"
+        " cast(o_totalprice as decimal(12,2)) as order_total, cast(9.90 as decimal(12,2)) as shipping_fee from o",
+    ),
     (
         "li",
         "select *, cast(l_shipdate as date) as sd, l_orderkey % 3 as ch, cast(l_extendedprice as decimal(12,2)) as listed,"
@@ -72,7 +81,7 @@ CTES: list[tuple[str, str]] = [
         + country("n_regionkey")
         + " as country, "
         + currency("n_regionkey")
-        + " as currency from nation where n_nationkey < 7",
+        + " as currency from nation",
     ),
     (
         "stg_customers",
@@ -97,8 +106,8 @@ CTES: list[tuple[str, str]] = [
         " from mats_raw left join material_groups on grp = material_group",
     ),
     (
-        "pos_raw",
-        "select 'S0' || (o_custkey % 7 + 1) as store_id, 'T-' || o_orderkey as transaction_id,"
+        "till_raw",
+        "select 'S0' || (o_custkey % 25 + 1) as store_id, 'T-' || o_orderkey as transaction_id,"
         " cast(l_linenumber as varchar) as line_no, od, case when o_orderstatus = 'P' then 'RETURN' else 'SALE' end as txn_type,"
         " 'SKU-' || l_partkey as sku, case when l_linenumber = 5 and l_quantity = 1 and l_partkey % 2 = 0 then null"
         " else cast(cast(l_quantity as integer) * (case when o_orderstatus = 'P' or (l_linenumber = 7 and l_quantity < 3)"
@@ -106,12 +115,13 @@ CTES: list[tuple[str, str]] = [
         " cast(listed - amount as varchar) as discount_amount,"
         " cast(cast(case when o_orderstatus = 'P' or (l_linenumber = 7 and l_quantity < 3) then -amount else amount end"
         " as decimal(12,2)) as varchar) as line_total, case when o_orderkey % 41 = 0 then 'NZD' else "
-        + currency("(o_custkey % 7 % 5)")
+        + currency("(o_custkey % 25 % 5)")
         + " end as currency, o_orderpriority as payment_method,"
         " od + 1 + cast(l_suppkey % 3 as integer) as extracted,"
-        " 'pos/S0' || (o_custkey % 7 + 1) || '/pos_S0' || (o_custkey % 7 + 1) || '_' || strftime(od, '%Y-%m') || '.csv' as _source_file"
-        " from li join o on l_orderkey = o_orderkey where li.ch = 0",
+        " 'pos/S0' || (o_custkey % 25 + 1) || '/pos_S0' || (o_custkey % 25 + 1) || '_' || strftime(od, '%Y-%m') || '.csv' as _source_file"
+        ", li.ch from li join o on l_orderkey = o_orderkey",
     ),
+    ("pos_raw", "select * exclude (ch) from till_raw where ch = 0"),
     (
         "pos_copies",
         "select *, row_number() over (partition by transaction_id, line_no order by _source_file, extracted, currency,"

@@ -323,7 +323,7 @@ oracle(
 oracle(
     "currency_convert",
     "select order_id, currency, " + D("order_total") + ", cast(case when currency = 'AUD' then order_total * aud_nzd_rate else"
-    " order_total end as double) as order_total_nzd from stg_web_orders left join stg_fx on order_date = rate_date",
+    " order_total end as double) as order_total_nzd from every_order left join stg_fx on order_date = rate_date",
 )
 oracle(
     "null_typed_padding",
@@ -360,16 +360,16 @@ oracle("currency_from_master", "select pos_line_id, store_id, currency, reported
 
 oracle(
     "join_inner_dim",
-    "select transaction_id, line_no, sku, store_name, region_code from pos_raw p join stg_stores s on p.store_id = s.store_id",
+    "select transaction_id, line_no, sku, store_name, region_code from till_raw p join stg_stores s on p.store_id = s.store_id",
 )
 oracle(
     "join_left_lookup",
-    "select order_line_id, l.sku, material_id, product_category from stg_web_lines l left join stg_materials m on l.sku = m.sku",
+    "select transaction_id, line_no, l.sku, material_id, product_category from till_raw l left join stg_materials m on l.sku = m.sku",
 )
 oracle("join_header_item", "select sales_order_line_id, material_id, order_date, customer_id from stg_wholesale")
 oracle(
     "join_fx_by_day",
-    "select order_id, order_date, " + D("aud_nzd_rate") + " from stg_web_orders left join stg_fx on order_date = rate_date",
+    "select order_id, order_date, " + D("aud_nzd_rate") + " from every_order left join stg_fx on order_date = rate_date",
 )
 oracle(
     "join_name_lookup",
@@ -415,14 +415,14 @@ oracle(
 )
 oracle(
     "join_equi_residual",
-    "select transaction_id, line_no, sku, p.currency, s.currency as store_currency from pos_raw p join stg_stores s on"
+    "select transaction_id, line_no, sku, p.currency, s.currency as store_currency from till_raw p join stg_stores s on"
     " p.store_id = s.store_id where p.currency <> s.currency",
 )
 oracle(
     "join_outer_indicator",
     "select coalesce(o.order_id, s.order_id) as order_id, order_status, shipments, case when o.order_id is null then 'right_only'"
-    " when s.order_id is null then 'left_only' else 'both' end as side from stg_web_orders o full outer join (select order_ref as"
-    " order_id, count(*) as shipments from stg_shipments where sales_channel = 'online' group by 1) s on o.order_id = s.order_id",
+    " when s.order_id is null then 'left_only' else 'both' end as side from every_order o full outer join (select 'O-' || l_orderkey as"
+    " order_id, count(*) as shipments from li where l_returnflag <> 'R' group by 1) s on o.order_id = s.order_id",
 )
 
 # aggregations
@@ -445,19 +445,19 @@ oracle(
 oracle(
     "agg_safe_ratio",
     "select store_id, od as day, round(cast(sum(cast(discount_amount as decimal(12,2))) as double) /"
-    " nullif(cast(sum(cast(unit_price as decimal(12,2))) as double), 0), 8) as discount_share from pos_raw group by 1, 2",
+    " nullif(cast(sum(cast(unit_price as decimal(12,2))) as double), 0), 8) as discount_share from till_raw group by 1, 2",
 )
 oracle(
     "agg_filter_having",
     "select store_id, od as business_date, count(*) as lines, count(*) filter (where txn_type = 'RETURN') as returned, count(*) filter"
-    " (where quantity is null) as without_quantity from pos_raw group by 1, 2 having count(*) filter (where txn_type = 'RETURN') > 0",
+    " (where quantity is null) as without_quantity from till_raw group by 1, 2 having count(*) filter (where txn_type = 'RETURN') > 0",
 )
 oracle(
     "agg_filter_distinct",
     "select " + month("order_date") + " as month, count(distinct customer_id) filter (where order_status = 'completed') as buyers,"
-    " count(distinct customer_id) filter (where order_status = 'cancelled') as cancellers from stg_web_orders group by 1",
+    " count(distinct customer_id) filter (where order_status = 'cancelled') as cancellers from every_order group by 1",
 )
-oracle("agg_distinct", "select distinct store_id, sku from pos_raw")
+oracle("agg_distinct", "select distinct store_id, sku from till_raw")
 oracle(
     "agg_global",
     "select count(*) as lines, cast(sum(quantity) as bigint) as units, cast(round(sum(revenue_nzd), 2) as double) as revenue_nzd,"
@@ -497,7 +497,7 @@ oracle(
 oracle(
     "win_rank_in_day",
     "select order_id, region_code, order_date, " + D("order_total") + ", cast(row_number() over (partition by region_code, order_date"
-    " order by order_total desc, order_id) as integer) as place from stg_web_orders",
+    " order by order_total desc, order_id) as integer) as place from every_order",
 )
 CHANNEL_MONTH = (
     "cm as (select " + month("order_date") + " as month, sales_channel, sum(revenue_nzd) as r from fct_lines group by 1, 2)"
@@ -579,7 +579,7 @@ oracle(
 oracle(
     "topn_per_group_rank",
     "select order_id, order_date, " + D("order_total") + ", cast(rank() over (partition by order_date order by order_total desc) as"
-    " integer) as place from stg_web_orders qualify place <= 3",
+    " integer) as place from every_order qualify place <= 3",
 )
 
 # set operations
@@ -592,9 +592,10 @@ oracle("union_inferred_members", "select product_id, description, product_catego
 
 oracle(
     "fn_parse_date",
-    "select 'yyyymmdd' as notation, strftime(od, '%Y%m%d') as written, od as day from o where ch = 2 union all select 'dd/mm/yyyy',"
-    " strftime(spend_date, '%d/%m/%Y'), spend_date from stg_spend where source_platform = 'social_ads' union all select 'yyyy-mm-dd',"
-    " strftime(spend_date, '%Y-%m-%d'), spend_date from stg_spend where source_platform = 'search_ads'",
+    " union all ".join(
+        f"select '{notation}' as notation, strftime(order_date, '{pattern}') as written, order_date as day from every_order"
+        for notation, pattern in (("yyyymmdd", "%Y%m%d"), ("dd/mm/yyyy", "%d/%m/%Y"), ("yyyy-mm-dd", "%Y-%m-%d"))
+    ),
 )
 oracle(
     "fn_date_series",
@@ -607,12 +608,12 @@ oracle(
     "select order_id, cast(date_trunc('week', order_date) as date) as week_start, cast(date_trunc('month', order_date) as date) as"
     " month_start, cast(date_trunc('quarter', order_date) as date) as quarter_start, cast(extract(year from order_date) + case when"
     " extract(month from order_date) >= 4 then 1 else 0 end as integer) as fiscal_year, cast(extract(isodow from order_date) as"
-    " integer) as iso_day_of_week, extract(isodow from order_date) >= 6 as is_weekend from stg_web_orders",
+    " integer) as iso_day_of_week, extract(isodow from order_date) >= 6 as is_weekend from every_order",
 )
 oracle(
     "fn_date_trunc_grain",
     " union all ".join(
-        f"select '{g}' as grain, cast(date_trunc('{g}', order_date) as date) as period, count(*) as orders from stg_web_orders group by 2"
+        f"select '{g}' as grain, cast(date_trunc('{g}', order_date) as date) as period, count(*) as orders from every_order group by 2"
         for g in ("day", "week", "month", "quarter", "year")
     ),
 )
@@ -623,20 +624,20 @@ oracle(
 oracle(
     "fn_month_add",
     "select order_id, cast(order_date + interval 1 month as date) as plus_1, cast(order_date + interval 2 month as date) as plus_2,"
-    " cast(order_date + interval 3 month as date) as plus_3 from stg_web_orders",
+    " cast(order_date + interval 3 month as date) as plus_3 from every_order",
 )
-oracle("fn_month_label", "select order_id, strftime(order_date, '%Y-%m') as month from stg_web_orders")
+oracle("fn_month_label", "select order_id, strftime(order_date, '%Y-%m') as month from every_order")
 oracle(
     "fn_iso_week_bounds",
     "select strftime(order_date, '%G-W%V') as iso_week, cast(date_trunc('week', min(order_date)) as date) as monday,"
-    " cast(date_trunc('week', min(order_date)) as date) + 6 as sunday, count(*) as orders from stg_web_orders group by 1",
+    " cast(date_trunc('week', min(order_date)) as date) + 6 as sunday, count(*) as orders from every_order group by 1",
 )
 oracle("fn_split_part", "select date, geo_target, campaign_id, split_part(geo_target, '-', 2) as region_code from search", SEARCH)
 oracle(
     "fn_rounding",
     "select customer_id, round(cast(sum(order_total) as double) / count(*), 2) as mean_total, round(cast(sum(shipping_fee) as double) /"
     " nullif(cast(sum(order_total) as double), 0), 4) as fee_ratio, round(100.0 * (cast(sum(shipping_fee) as double) /"
-    " nullif(cast(sum(order_total) as double), 0)), 1) as fee_pct from stg_web_orders group by 1",
+    " nullif(cast(sum(order_total) as double), 0)), 1) as fee_pct from every_order group by 1",
 )
 oracle(
     "fn_normalise_label",
@@ -965,10 +966,10 @@ DQ = ", ".join([FAILING, RECON, RAW_RECON, UNSHIPPED, FRESH, RESULTS])
 oracle("dq_results", "select * from results", DQ)
 oracle("failures_sink", "select name as check, cast(n as bigint) as rows from counted", DQ)
 INCIDENTS = (
-    "sold as (select *, 'S0' || (o_custkey % 7 + 1) as store from lineitem join o on l_orderkey = o_orderkey where ch = 0),"
+    "sold as (select *, 'S0' || (o_custkey % 25 + 1) as store from lineitem join o on l_orderkey = o_orderkey where ch = 0),"
     " places as (select distinct 'negative_quantity' as kind, 'T-' || o_orderkey as place from sold where o_orderstatus <> 'P' and"
     " l_linenumber = 7 and l_quantity < 3 union select distinct 'currency_mixup', store || '|' || strftime(od, '%Y-%m') from sold where"
-    " o_orderkey % 41 = 0 and o_custkey % 7 in (2, 3) union select distinct 'missing_foreign_key', 'MAT-' || l_partkey from lineitem"
+    " o_orderkey % 41 = 0 and o_custkey % 25 % 5 in (2, 3) union select distinct 'missing_foreign_key', 'MAT-' || l_partkey from lineitem"
     " where l_orderkey % 3 = 2 and l_partkey % 97 = 0 union select distinct 'schema_drift', 'promo_code' from o where ch = 1 and od >="
     " date '2000-01-01' union select distinct 'late_file', 'logistics/shipments' from o where ch = 1 and o_orderstatus <> 'P'),"
     " meant as (select * from (values ('late_file','freshness:raw.logistics_shipments',false),"

@@ -326,10 +326,10 @@ def surrogate_keys(m: Models) -> DataFrame:
 
 @query
 def currency_convert(m: Models) -> DataFrame:
-    """Ledger amounts in local currency at the day's rate."""
+    """Order totals at the day's rate."""
     rates = m.stg_fx_rates.withColumnRenamed("rate_date", "posting_date")
     nzd = money.to_nzd(F.col("order_total"), F.col("currency"), F.col("aud_nzd_rate"))
-    return m.stg_web_orders.join(rates.withColumnRenamed("posting_date", "order_date"), ["order_date"], "left").select(
+    return m.feeds.every_order().join(rates.withColumnRenamed("posting_date", "order_date"), ["order_date"], "left").select(
         "order_id", "currency", "order_total", nzd.alias("order_total_nzd")
     )
 
@@ -402,7 +402,7 @@ def currency_from_master(m: Models) -> DataFrame:
 @query
 def join_inner_dim(m: Models) -> DataFrame:
     stores = m.stg_stores.select("store_id", "store_name", "region_code")
-    return m.feeds["pos_transactions"].join(stores, ["store_id"]).select(
+    return m.feeds.till_lines().join(stores, ["store_id"]).select(
         "transaction_id", "line_no", "sku", "store_name", "region_code"
     )
 
@@ -410,8 +410,8 @@ def join_inner_dim(m: Models) -> DataFrame:
 @query
 def join_left_lookup(m: Models) -> DataFrame:
     known = m.stg_materials.select("sku", "material_id", "product_category")
-    return m.stg_web_order_lines.join(known, ["sku"], "left").select(
-        "order_line_id", "sku", "material_id", "product_category"
+    return m.feeds.till_lines().join(known, ["sku"], "left").select(
+        "transaction_id", "line_no", "sku", "material_id", "product_category"
     )
 
 
@@ -423,7 +423,7 @@ def join_header_item(m: Models) -> DataFrame:
 @query
 def join_fx_by_day(m: Models) -> DataFrame:
     rates = m.stg_fx_rates.withColumnRenamed("rate_date", "order_date")
-    return m.stg_web_orders.join(rates, ["order_date"], "left").select("order_id", "order_date", "aud_nzd_rate")
+    return m.feeds.every_order().join(rates, ["order_date"], "left").select("order_id", "order_date", "aud_nzd_rate")
 
 
 @query
@@ -476,18 +476,17 @@ def join_equi_residual(m: Models) -> DataFrame:
     """Till lines whose currency label is not the store's."""
     stores = m.stg_stores.select("store_id", F.col("currency").alias("store_currency"))
     wrong = F.col("currency") != F.col("store_currency")
-    return m.feeds["pos_transactions"].join(stores, ["store_id"]).filter(wrong).select(
+    return m.feeds.till_lines().join(stores, ["store_id"]).filter(wrong).select(
         "transaction_id", "line_no", "sku", "currency", "store_currency"
     )
 
 
 @query
 def join_outer_indicator(m: Models) -> DataFrame:
-    """Web order days against shipment days of the same order."""
-    orders = m.stg_web_orders.select("order_id", "order_status")
-    shipped = m.stg_shipments.filter("sales_channel = 'online'").groupBy(F.col("order_ref").alias("order_id")).agg(
-        F.count("*").alias("shipments")
-    )
+    """Orders against the lines that were shipped for them."""
+    orders = m.feeds.every_order().select("order_id", "order_status")
+    sent = m.feeds.lines().filter("l_returnflag <> 'R'")
+    shipped = sent.groupBy(F.concat(F.lit("O-"), "l_orderkey").alias("order_id")).agg(F.count("*").alias("shipments"))
     return joins.outer_with_side(orders, shipped, ["order_id"])
 
 
@@ -522,7 +521,7 @@ def agg_safe_ratio(m: Models) -> DataFrame:
     """Discount share of the list price per payment method and day; NULL where nothing was listed."""
     listed, off = F.sum(money.money("unit_price")), F.sum(money.money("discount_amount"))
     day = dates.parse_timestamp("txn_ts").cast("date").alias("day")
-    return m.feeds["pos_transactions"].groupBy("store_id", day).agg(
+    return m.feeds.till_lines().groupBy("store_id", day).agg(
         round_double(safe_ratio(off, listed), 8).alias("discount_share")
     )
 
@@ -530,7 +529,7 @@ def agg_safe_ratio(m: Models) -> DataFrame:
 @query
 def agg_filter_having(m: Models) -> DataFrame:
     """Store-days with lines that were not keyed, and how many of each kind."""
-    pos = m.feeds["pos_transactions"]
+    pos = m.feeds.till_lines()
     day = dates.parse_timestamp("txn_ts").cast("date").alias("business_date")
     return (
         pos.groupBy("store_id", day)
@@ -547,7 +546,7 @@ def agg_filter_having(m: Models) -> DataFrame:
 def agg_filter_distinct(m: Models) -> DataFrame:
     """Distinct web customers per month, of all and of cancelled orders."""
     customer = F.col("customer_id")
-    return m.stg_web_orders.groupBy(dates.month_of("order_date").alias("month")).agg(
+    return m.feeds.every_order().groupBy(dates.month_of("order_date").alias("month")).agg(
         aggregates.distinct_if(F.col("order_status") == "completed", customer).alias("buyers"),
         aggregates.distinct_if(F.col("order_status") == "cancelled", customer).alias("cancellers"),
     )
@@ -555,7 +554,7 @@ def agg_filter_distinct(m: Models) -> DataFrame:
 
 @query
 def agg_distinct(m: Models) -> DataFrame:
-    return m.feeds["pos_transactions"].select("store_id", "sku").distinct()
+    return m.feeds.till_lines().select("store_id", "sku").distinct()
 
 
 @query
@@ -624,7 +623,7 @@ def win_dedup_first(m: Models) -> DataFrame:
 @query
 def win_rank_in_day(m: Models) -> DataFrame:
     """Web orders by their place in the region's day."""
-    orders = m.stg_web_orders.select("order_id", "region_code", "order_date", "order_total")
+    orders = m.feeds.every_order().select("order_id", "region_code", "order_date", "order_total")
     return ranking.number_rows(
         orders, ["region_code", "order_date"], [("order_total", True), ("order_id", False)], "place"
     )
@@ -719,7 +718,7 @@ def topn_per_group_dense(m: Models) -> DataFrame:
 @query
 def topn_per_group_rank(m: Models) -> DataFrame:
     """Per day the three largest web orders, ties kept."""
-    orders = m.stg_web_orders.select("order_id", "order_date", "order_total")
+    orders = m.feeds.every_order().select("order_id", "order_date", "order_total")
     return ranking.top_by_rank(orders, ["order_date"], "order_total", 3, "place")
 
 
@@ -746,20 +745,15 @@ def union_inferred_members(m: Models) -> DataFrame:
 
 @query
 def fn_parse_date(m: Models) -> DataFrame:
-    feeds = m.feeds
-
-    def parsed(feed: str, column: str, notation: str) -> DataFrame:
-        return feeds[feed].select(
-            F.lit(notation).alias("notation"),
-            F.col(column).alias("written"),
-            dates.parse_date(column, notation).alias("day"),
-        )
-
-    return (
-        parsed("erp_sales_order_headers", "AUDAT", "yyyymmdd")
-        .unionByName(parsed("mkt_social_ads", "day", "dd/mm/yyyy"))
-        .unionByName(parsed("mkt_search_ads", "date", "yyyy-mm-dd"))
-    )
+    """The day of every order, written in the three notations of the feeds and parsed again."""
+    patterns = {"yyyymmdd": "yyyyMMdd", "dd/mm/yyyy": "dd/MM/yyyy", "yyyy-mm-dd": "yyyy-MM-dd"}
+    orders = m.feeds.every_order()
+    written = [
+        orders.select(F.lit(notation).alias("notation"), F.date_format("order_date", pattern).alias("written"))
+        .withColumn("day", dates.parse_date("written", notation))
+        for notation, pattern in patterns.items()
+    ]
+    return reduce(DataFrame.unionByName, written)
 
 
 @query
@@ -773,13 +767,13 @@ def fn_date_series(m: Models) -> DataFrame:
 
 @query
 def fn_calendar_attrs(m: Models) -> DataFrame:
-    return m.stg_web_orders.select("order_id", *dates.calendar_columns("order_date"))
+    return m.feeds.every_order().select("order_id", *dates.calendar_columns("order_date"))
 
 
 @query
 def fn_date_trunc_grain(m: Models) -> DataFrame:
     by_grain = [
-        m.stg_web_orders.groupBy(F.lit(grain).alias("grain"), dates.trunc_to(grain, "order_date").alias("period")).agg(
+        m.feeds.every_order().groupBy(F.lit(grain).alias("grain"), dates.trunc_to(grain, "order_date").alias("period")).agg(
             F.count("*").alias("orders")
         )
         for grain in dates.GRAINS
@@ -796,19 +790,19 @@ def fn_month_diff(m: Models) -> DataFrame:
 
 @query
 def fn_month_add(m: Models) -> DataFrame:
-    return m.stg_web_orders.select(
+    return m.feeds.every_order().select(
         "order_id", *(dates.add_months(F.col("order_date"), k).alias(f"plus_{k}") for k in (1, 2, 3))
     )
 
 
 @query
 def fn_month_label(m: Models) -> DataFrame:
-    return m.stg_web_orders.select("order_id", dates.month_label("order_date").alias("month"))
+    return m.feeds.every_order().select("order_id", dates.month_label("order_date").alias("month"))
 
 
 @query
 def fn_iso_week_bounds(m: Models) -> DataFrame:
-    weeks = m.stg_web_orders.groupBy(dates.iso_week_label("order_date").alias("iso_week")).agg(F.count("*").alias("orders"))
+    weeks = m.feeds.every_order().groupBy(dates.iso_week_label("order_date").alias("iso_week")).agg(F.count("*").alias("orders"))
     monday, sunday = dates.iso_week_bounds("iso_week")
     return weeks.select("iso_week", monday.alias("monday"), sunday.alias("sunday"), "orders")
 
@@ -823,7 +817,7 @@ def fn_split_part(m: Models) -> DataFrame:
 @query
 def fn_rounding(m: Models) -> DataFrame:
     """Money to cents, ratios to four digits, percentages to one."""
-    sums = m.stg_web_orders.groupBy("customer_id").agg(
+    sums = m.feeds.every_order().groupBy("customer_id").agg(
         F.sum("order_total").alias("total"), F.sum("shipping_fee").alias("fees"), F.count("*").alias("n")
     )
     share = safe_ratio(F.col("fees"), F.col("total"))

@@ -113,17 +113,18 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
-    def orders(self, channel: int) -> DataFrame:
-        """Orders of one channel: 0 store, 1 online, 2 wholesale."""
-        day = F.col("o_orderdate").cast("date")
-        return self.table("orders").filter(F.col("o_orderkey") % 3 == channel).withColumn("day", day)
+    def orders(self, *channels: int) -> DataFrame:
+        """Orders of some channels: 0 store, 1 online, 2 wholesale; of all without any."""
+        rows = self.table("orders").withColumn("day", F.col("o_orderdate").cast("date"))
+        return rows.filter((F.col("o_orderkey") % 3).isin(*channels)) if channels else rows
 
     def lines(self, *channels: int) -> DataFrame:
         listed = F.col("l_extendedprice").cast("decimal(12,2)")
         discount = F.col("l_discount").cast("decimal(4,2)")
         amount = F.round(listed * (F.lit(1).cast("decimal(4,2)") - discount), 2).cast("decimal(12,2)")
         rows = self._stored_lines if self.stored else self._channelled
-        return rows.filter(F.col("channel").isin(*channels)).withColumn("listed", listed).withColumn("amount", amount)
+        chosen = rows.filter(F.col("channel").isin(*channels)) if channels else rows
+        return chosen.withColumn("listed", listed).withColumn("amount", amount)
 
     @property
     def _channelled(self) -> DataFrame:
@@ -167,7 +168,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
 
     def _stores(self) -> DataFrame:
         region = F.col("n_regionkey")
-        return self.table("nation").filter("n_nationkey < 7").select(
+        return self.table("nation").select(
             F.concat(F.lit("S0"), F.col("n_nationkey") + 1).alias("STORE_ID"),
             F.concat(F.lit("Store "), "n_name").alias("STORE_NAME"),
             _pick(REGION_OF, region).alias("REGION_CODE"),
@@ -201,11 +202,28 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
 
     # tills and ledger
 
+    def every_order(self) -> DataFrame:
+        """The orders of all channels in one shape."""
+        place, total = F.col("o_custkey") % 5, F.col("o_totalprice").cast("decimal(12,2)")
+        return self.orders().select(
+            F.concat(F.lit("O-"), "o_orderkey").alias("order_id"),
+            F.concat(F.lit("U-"), "o_custkey").alias("customer_id"),
+            F.col("day").alias("order_date"),
+            _pick(REGION_OF, place).alias("region_code"),
+            _currency(place).alias("currency"),
+            F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("completed").alias("order_status"),
+            total.alias("order_total"),
+            F.lit("9.90").cast("decimal(12,2)").alias("shipping_fee"),
+        )
+
     def _pos(self) -> DataFrame:
-        """Till lines. The test tables repeat (order, line) pairs; the repeats are the duplicate deliveries."""
-        orders = self.orders(0).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "day")
-        lines = self.lines(0).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        store = F.col("o_custkey") % 7
+        return self.till_lines(0)
+
+    def till_lines(self, *channels: int) -> DataFrame:
+        """Lines as tills write them. The test tables repeat (order, line) pairs; the repeats are the duplicate deliveries."""
+        orders = self.orders(*channels).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "day")
+        lines = self.lines(*channels).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        store = F.col("o_custkey") % 25
         is_return = F.col("o_orderstatus") == "P"
         keyed_wrong = (F.col("l_linenumber") == 7) & (F.col("l_quantity") < 3)
         not_keyed = (F.col("l_linenumber") == 5) & (F.col("l_quantity") == 1) & (F.col("l_partkey") % 2 == 0)
@@ -490,7 +508,7 @@ def report_facts(feeds: StarSchemaFeeds) -> DataFrame:
 def incidents(feeds: StarSchemaFeeds) -> DataFrame:
     """What went wrong on purpose in the feeds, from the tables alone: (id, kind, place)."""
     lines, orders = feeds.table("lineitem"), feeds.orders(0)
-    store = F.concat(F.lit("S0"), (F.col("o_custkey") % 7 + 1).cast("string"))
+    store = F.concat(F.lit("S0"), (F.col("o_custkey") % 25 + 1).cast("string"))
     sold = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def found(kind: str, df: DataFrame, *place: Column) -> DataFrame:
@@ -498,7 +516,7 @@ def incidents(feeds: StarSchemaFeeds) -> DataFrame:
         return named.select(F.concat_ws(":", "kind", "place").alias("id"), "kind", "place")
 
     negative = sold.filter("o_orderstatus <> 'P' and l_linenumber = 7 and l_quantity < 3")
-    mixed_up = sold.filter("o_orderkey % 41 = 0 and o_custkey % 7 in (2, 3)")
+    mixed_up = sold.filter("o_orderkey % 41 = 0 and o_custkey % 25 % 5 in (2, 3)")
     missing = lines.filter("l_orderkey % 3 = 2 and l_partkey % 97 = 0")
     drifted = feeds.orders(1).filter(F.col("day") >= F.lit(date(2000, 1, 1)))
     parts = [
