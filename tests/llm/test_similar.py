@@ -58,9 +58,11 @@ def corpus(prose):
     return texts
 
 
-def test_components_of_links(spark):
+@pytest.mark.parametrize("held", [3, 25, 300_000])
+def test_components_of_links(spark, held):
+    """One piece of a forest, or many that star rounds must put together."""
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 299), (300, 299)]
-    got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long"), held=held).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 299: 299, 300: 299}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -88,6 +90,17 @@ def test_jaccard_join_odd_rows(documents):
     assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_with_other_texts_lose_no_link(documents, prose):
+    one, other = prose(60, 1), prose(60, 2)
+    rows = [(1, one), (2, one + " more"), (2, other), (3, other), (4, other + " again"), (5, prose(60, 3)), (6, prose(40, 4)), (6, None), (6, "")]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.components(documents(rows).repartition(1 + seed)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6)}
+    kept = sorted(r["doc_id"] for r in jaccard.keep_one(documents(rows)).collect())
+    assert kept == [1, 5, 6]
+
+
 @pytest.mark.parametrize("size", [4, 5, 9, 20, 77, 300])
 def test_similar_sets_share_a_signature(size):
     """Every pair at the edge of the threshold, sets with many empty parts included."""

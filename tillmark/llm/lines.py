@@ -30,7 +30,7 @@ from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
 GRAM, PERCENT = 5, 80
-BANDS, ROWS = 22, 7
+BANDS, ROWS = 18, 6
 BINS = BANDS * ROWS
 #: Characters of lines that are hashed at once, and classes that a task remembers.
 AT_ONCE, REMEMBERED = 200_000, 300_000

@@ -19,6 +19,7 @@ tables; the driver sees counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from tillmark.sources.shared import discard, written
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
 #: 64-bit words of an outline; the last pivot of each round but the last; pivots of a bucket that one task takes.
-WORDS, PIVOTS, BLOCK = 8, (1, 3, 8), 2048
+WORDS, PIVOTS, BLOCK = 8, (3,), 2048
 
 
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -99,19 +100,19 @@ def _may(a: str, b: str, percent: int) -> Column:
 def _compared(pairs: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame:
     """a, b, similar. The pairs carry the body of one side only to the join with the other."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bodies = written(bodies_of(ids), "bodies")
     left = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_b")), "b")
     both = left.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_a")), "a")
     compared = written(both.select("a", "b", similar(F.col("_a"), F.col("_b")).alias("similar")), "compared")
-    discard(pairs, ids, bodies)
+    discard(pairs, bodies)
     return compared
 
 
 def similar_components(
     buckets: DataFrame, outlines: DataFrame, percent: int, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]
 ) -> DataFrame | None:
-    """id, component (its smallest id) of every id that is similar to another; None if there is none.
+    """id, component (its smallest id) of every id that is similar to a smaller one, a written table; None if there is none.
 
     ``buckets`` has rows (sig, id) and ``outlines`` (id, size, bits0, ...) of all their ids; ``bodies_of`` gives (id, body) for
     a table of ids; ``similar`` compares two bodies exactly.
@@ -120,11 +121,12 @@ def similar_components(
     # Before the rounds, each id is compared with the smallest id that opens one of its buckets.
     pairs = active.filter("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
     met = pairs.alias("p").join(outlines.alias("x"), F.col("p.a") == F.col("x.id")).join(outlines.alias("y"), F.col("p.b") == F.col("y.id"))
-    tried = _compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)
+    rounds = [_compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)]
     low, labels = 1, None
     for high in (*PIVOTS, None):
+        tried = reduce(DataFrame.union, rounds)
         discard(labels)
-        labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
+        labels = connected(tried.filter("similar").select("a", "b"), roots=False)
         current = active.select("sig", "id", "place").join(labels, "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("component"))
         spread = current.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("place").alias("_last"))
         mixed = spread.filter((F.col("_low") != F.col("_high")) & (F.col("_last") > low)).select("sig")
@@ -139,13 +141,11 @@ def similar_components(
         members = active.join(blocks, "sig").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_blocks"), F.greatest(block, F.lit(0))))))
         met = members.alias("y").join(pivots.alias("x"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.place") > F.col("x.place")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y", percent))
         pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = _compared(pairs, bodies_of, similar)
-        last, tried = tried, written(tried.union(more), "compared")
-        discard(last, more)
+        rounds.append(_compared(pairs, bodies_of, similar))
         if high is None:
             discard(labels)
-            labels = written(connected(tried.filter("similar").select("a", "b")), "labels")
+            labels = connected(reduce(DataFrame.union, rounds).filter("similar").select("a", "b"), roots=False)
         else:
             low = high + 1
-    discard(active, tried)
+    discard(active, *rounds)
     return None if labels.isEmpty() else labels
