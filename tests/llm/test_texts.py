@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -165,7 +167,76 @@ def test_wide_levels_are_aligned_whole():
     pairs = []
     assert pages.align(a, b, pairs) == 701
     assert ("house rules", "house rules") in {(x.own(), y.own()) for x, y in pairs}
-    assert pages.mark("/h5", "house rules") in pages.induce([page(1, ""), page(2, "<ul><li>new</ul>")])
+    reference, seen = pages.Reference(0, pages.outline_of(a)), {}
+    for i in range(5):
+        tree = pages.parse(page(i, "<ul><li>new</ul>" if i % 2 else ""))
+        for number, m, size, more in pages.observed(tree, reference.places(tree)[1]):
+            n, least, greatest, *rest = seen.get(number, (0, m, m, 0, 0))
+            seen[number] = (n + 1, min(least, m), max(greatest, m), rest[0] + size, rest[1] + more)
+    article, template = pages.induce(reference, seen)
+    assert template == [pages.mark("/h5", "house rules")] and article == 0
+
+
+def renamed(html, names=("article", "main")):
+    """The page with neutral names for some elements."""
+    return re.sub(rf"<(/?)(?:{'|'.join(names)})(?=[\s>/])", r"<\1div", html)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_article_is_found_without_its_tag_in_the_given_pages(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url", "html")
+    plain = {r["page_id"]: r["text"] for r in pages.extract(rows).collect()}
+    by_tag = {r["page_id"]: pages.content(pages.parse(r["html"]), frozenset()) for r in rows.collect()}
+    assert plain == by_tag  # what the tags alone say where they are kept
+    without = spark.createDataFrame([(r["page_id"], r["url"], renamed(r["html"])) for r in rows.collect()], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in pages.extract(without).collect()}
+    assert sum(found[i] == plain[i] for i in plain) >= 0.95 * len(plain)
+
+
+def test_the_article_is_found_by_alignment_alone(spark):
+    """No name of an element or class says anything: menus, adverts, article and footer are all div."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    neutral = lambda h: renamed(re.sub(r' class="[^"]*"', "", h), ("article", "main", "nav", "footer"))
+    without = spark.createDataFrame([(r["page_id"], r["url"], neutral(r["html"])) for r in rows.collect()], "page_id long, url string, html string")
+    plain = {r["page_id"]: r["text"] for r in pages.extract(rows).collect()}
+    found = {r["page_id"]: r["text"] for r in pages.extract(without).collect()}
+    assert sum(found[i] == plain[i] for i in plain) >= 0.95 * len(plain)
+
+
+def test_a_host_with_two_layouts(spark):
+    one = "<body><div>Menu {1} home</div><div><h2>Head {0}</h2><p>The first layout has a text of several words {0}.</p></div><div>Copyright {1}</div></body>"
+    two = "<body><table><tr><td>Side {1}</td><td><section><h2>Head {0}</h2><p>The second one stands in a table and says {0}.</p><p>More {0} of it, longer than the side.</p></section></td></tr></table></body>"
+    odd = "<body><ul><li>{0}</ul><div>Menu</div><div><h2>Head {0}</h2><p>Another page with its own list in front {0}.</p></div><div>Copyright</div></body>"
+    rows = [(i, f"http://d.example/{i}", (one if i % 2 else two).format(i, i % 3)) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(page_rows(spark, [*rows, (77, "http://d.example/77", odd.format(77))])).collect()}
+    for i in range(20):
+        assert got[i] == (f"Head {i} The first layout has a text of several words {i}." if i % 2 else f"Head {i} The second one stands in a table and says {i}. More {i} of it, longer than the side.")
+    assert "Another page with its own list in front 77." in got[77]
+
+
+def test_a_host_of_copies_keeps_its_text(spark):
+    body = "<body><div>Menu</div><div><h2>Head</h2><p>One text that all the pages of the host have in common.</p></div><div>Imprint</div></body>"
+    rows = [(i, f"http://e.example/{i}", body) for i in range(12)]
+    assert {r["text"] for r in pages.extract(page_rows(spark, rows)).collect()} == {"Head One text that all the pages of the host have in common."}
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    long = "<html><body><nav><a>x</a></nav><article>" + "".join(f"<p>word {i}</p>" for i in range(30_000)) + "</article></body></html>"
+    rows = [(1, "http://f.example/1", long), (2, "http://f.example/2", "<html><body><nav>y</nav><article><p>short</p></article></body></html>"), (3, "http://f.example/3", "<p" * 20_000)]
+    table = page_rows(spark, rows).withColumns({c: F.lit("clash") for c in ("host", "text", "layout", "references", "wrappers", "seen", "number")})
+    got = {r["page_id"]: r["text"] for r in pages.extract(table).collect()}
+    assert got[1] == " ".join(f"word {i}" for i in range(30_000)) and got[2] == "short"
+    assert pages.extract(table).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_outlines_come_back_as_the_same_tree():
+    html = "<html><body><nav><ul><li>a<li>b</ul></nav><div class=ad>x</div><article><h1>t</h1><p>u<b>v</b></article></body></html>"
+    flat = lambda node: [(c.tag, c.away, c.inside, flat(c)) for c in node.elements()]
+    root = pages.parse(html)
+    reference = pages.Reference(0, pages.outline_of(root))
+    assert flat(reference.root) == flat(root) and reference.places(root)[0] == len(reference.nodes) == 12
+    odd = pages.parse("<div><x(y!)z+>w</x(y!)z+><p>v</div>")
+    assert len(pages.Reference(0, pages.outline_of(odd)).nodes) == 4
 
 
 def test_pages_empty(spark):

@@ -1,20 +1,25 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host share a wrapper. SAMPLE pages of each host (those with the lowest hash of their id) are parsed, and the
-trees of the others are aligned with the first by simple tree matching (Yang, 1991): the largest order-preserving matching
-of children with the same tag, recursively. Nodes whose own text is the same in nearly all aligned pages are the
-template; nodes whose text varies are slots. The wrapper keeps the template as pairs (path, text), so it applies to every
-page of its host in one walk, and whatever it does not know counts as a slot.
-
-A slot is content unless its place says otherwise: what stands in menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts or reader comments, by tag, role or class, is not the article, however much it varies. If a page has
-``article`` or ``main`` elements, content is what they hold. In them headings and paragraphs are never template, so
-that copies of an article on one host do not erase it, and other nodes only with MANY differing pages to tell.
-
-Text is decoded once; white space inside a block becomes one space, blocks are trimmed and joined by one space.
+The pages of a host share a wrapper, or a few. Every page is parsed; of each of the LAYOUTS most frequent layouts of a host (a
+layout is the set of the paths of its upper elements) the page with the lowest hash gives its tree of tags as the reference.
+All pages of the host are aligned with the reference of their layout, or the one that fits them best, by simple tree
+matching (Yang, 1991): the largest order-preserving matching of children with the same tag, recursively. What the pages have
+at each node of the reference is added up where they are read: how many have it, whether its text is always the same, and how
+long the text is that varies; text in nodes that the reference lacks belongs to the nearest node that it has.
+
+Constant nodes are the template. The article is the slot that the varying text is in: from the root down, as long as one
+container holds SHARE of the varying text of its parent, it is the smallest subtree with most of it. Tags and names only break
+ties: text never descends into headings and paragraphs, below ``article`` or ``main``, or into what is away from the article by
+its own account (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, reader comments, by tag, role or
+class). If what was chosen holds ``article`` or ``main`` elements with text, content is what they hold. In those, headings
+and paragraphs are never template, so copies of an article on one host do not erase it; elsewhere constant nodes go if
+MANY pages have them.
+
+A page is aligned once more to be read: its own node at the article's place is the content, less template and what is away. Text is
+decoded once; white space inside a block becomes one space, blocks are trimmed and joined by one space.
 
 Cases: a null or empty html has the empty text. A null or invalid url has no host and no wrapper; its page is read by place
-alone, as is the only page of a host. Unclosed and unopened tags, open comments and cut-off tags end where the page
+alone, as is the only page of a layout. Unclosed and unopened tags, open comments and cut-off tags end where the page
 ends. Repeated rows stay. Columns other than the id, the url and the html are not read. An empty table gives an empty
 table.
 """
@@ -28,12 +33,19 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.sources.shared import written
+from tillmark.llm.words import frees
+from tillmark.sources.shared import discard, written
 
-SAMPLE, MANY, AGREE = 8, 4, 0.8
+#: Layouts of a host that get a reference; elements of a page that make its layout lie at most DEPTH deep.
+LAYOUTS, DEPTH = 4, 3
+#: Pages that a constant node needs to be template, and the share of the varying text that the article's way down holds.
+MANY, SHARE = 4, 0.7
+#: Nodes of references that a task adds up before it hands them on, and hosts whose references it remembers.
+HELD, HOSTS = 50_000, 500
 
 # Elements by their use in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +76,7 @@ AWAY_NAMES = frozenset(
     overlay login signup search widget widgets pagination pager copyright toolbar masthead topbar outbrain taboola""".split()
 )
 HEADERS = frozenset(["header"])
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre dt b i em strong a span figcaption".split())
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dd dt b i em strong figcaption article main".split())
 
 _TOKEN = re.compile(
@@ -228,29 +241,113 @@ def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
     return sizes[of[id(a)], of[id(b)]]
 
 
-def induce(pages: list[str]) -> list[int]:
-    """The template of a host: marks of the nodes whose text is the same in nearly all aligned pages."""
-    trees = {}
-    for page in pages:
-        tree = parse(page)
-        trees.setdefault(content(tree, frozenset()), tree)  # pages with the same article tell nothing apart
-    if len(trees) < 2:
-        return []
-    first, *others = trees.values()
-    same: dict[int, list] = {}
-    for other in others:
+def layout_of(root: Node) -> int:
+    """A hash of the set of tag paths of the page's upper elements."""
+    paths, level = set(), [("", root)]
+    for _ in range(DEPTH):
+        level = [(f"{path}/{c.tag}", c) for path, node in level for c in node.elements()]
+        paths.update(path for path, _ in level)
+    return crc32(" ".join(sorted(paths)).encode())
+
+
+def outline_of(root: Node) -> str:
+    """The tree of tags as text: each element with its marks (! away, + inside an article) and its children in brackets."""
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(root.elements()))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        out.append("!" * node.away + "+" * node.inside + re.sub(r"[()!+]", "_", node.tag) + "(")
+        stack.append(")")
+        stack.extend(reversed(node.elements()))
+    return "".join(out)
+
+
+class Reference:
+    """The tree of an outline, with its nodes by number in document order; the root is number 0."""
+
+    def __init__(self, layout: int, outline: str):
+        self.layout = layout
+        self.root = here = Node("#", "", False, False, None)
+        self.nodes = [here]
+        for found in re.finditer(r"(!?)(\+?)([^()!+]+)\(|\)", outline):
+            if found[0] == ")":
+                here = here.parent
+                continue
+            node = Node(found[3], "", bool(found[1]), bool(found[2]), here)
+            here.children.append(node)
+            self.nodes.append(node)
+            here = node
+        self.number = {id(node): i for i, node in enumerate(self.nodes)}
+
+    def places(self, page: Node) -> tuple[int, dict[int, int]]:
+        """The size of the matching with a page, and the number that each matched node of the page has, by its id()."""
         pairs: list[tuple[Node, Node]] = []
-        align(first, other, pairs)
-        for x, y in pairs:
-            if text := x.own():
-                entry = same.setdefault(id(x), [x, text, 0])
-                entry[2] += text == y.own()
-    out = set()
-    for x, text, equal in same.values():
-        protected = x.inside and (x.tag in PLAIN or any(p in PLAIN for p in _tags_up_to_article(x)) or len(others) + 1 < MANY or equal < len(others))
-        if equal >= max(1, AGREE * len(others)) and not protected:
-            out.add(mark(x.path, text))
-    return sorted(out)
+        size = align(self.root, page, pairs)
+        return size, {id(y): self.number[id(x)] for x, y in pairs}
+
+
+def fitting(references: list[Reference], page: Node) -> tuple[Reference, dict[int, int]]:
+    """The reference of the page's layout, or else the one that matches the page best, and the places of its nodes there."""
+    own = layout_of(page)
+    same = [r for r in references if r.layout == own]
+    tried = [(r, *r.places(page)) for r in same or references]
+    best = max(tried, key=lambda t: t[1])
+    return best[0], best[2]
+
+
+def observed(page: Node, places: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """number, mark, length of its own text, and length of the text below it that has no place: of each node of the reference."""
+    own: dict[int, tuple[int, int]] = {}
+    more: dict[int, int] = {}
+    stack = [(page, 0)]
+    while stack:
+        node, nearest = stack.pop()
+        if id(node) in places:
+            nearest = places[id(node)]
+            text = node.own()
+            own[nearest] = (mark(node.path, text), len(text))
+        elif not node.away:
+            more[nearest] = more.get(nearest, 0) + len(node.own())
+        stack.extend((c, nearest) for c in node.elements())
+    return [(number, m, size, more.get(number, 0)) for number, (m, size) in own.items()]
+
+
+def induce(reference: Reference, seen: dict[int, tuple[int, int, int, int, int]]) -> tuple[int, list[int]]:
+    """The number of the article's node and the marks of the template, from (pages, least mark, greatest mark, length of texts, length
+    of text without a place) of each node that was seen."""
+    nodes, pages = reference.nodes, seen.get(0, (0, 0, 0, 0, 0))[0]
+    if pages < 2:
+        return 0, []
+
+    def weights(varying: bool) -> list[int]:
+        total = [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):  # children have higher numbers than their parent
+            if not nodes[i].away and i in seen:
+                _, least, greatest, size, more = seen[i]
+                total[i] += more + (size if least != greatest or not varying else 0)
+            if i:
+                total[reference.number[id(nodes[i].parent)]] += total[i]
+        return total
+
+    total = weights(True)
+    varies = total[0] > 0
+    total = total if varies else weights(False)
+    at = 0
+    while nodes[at].tag not in ("article", "main"):
+        inner = [i for c in nodes[at].elements() if c.tag not in TEXT and not c.away and total[i := reference.number[id(c)]]]
+        best = max(inner, key=total.__getitem__, default=None)
+        if best is None or total[best] < SHARE * total[at]:
+            break
+        at = best
+    template = []
+    for i, (n, least, greatest, size, _) in seen.items():
+        plain = nodes[i].inside and any(t in PLAIN for t in (nodes[i].tag, *_tags_up_to_article(nodes[i])))
+        if varies and n >= max(MANY, pages // 2) and least == greatest and size and not plain:
+            template.append(least)
+    return at, sorted(set(template))
 
 
 def _tags_up_to_article(node: Node) -> Iterator[str]:
@@ -260,10 +357,11 @@ def _tags_up_to_article(node: Node) -> Iterator[str]:
         node = node.parent
 
 
-def content(root: Node, template: frozenset[int]) -> str:
-    """The text of the content slots."""
+def content(root: Node, template: frozenset[int], chosen: Node | None = None) -> str:
+    """The text of the content slots in the ``chosen`` node, or in all of the page."""
     blocks: list[list[str]] = [[]]
-    articles = _has_article(root)
+    start = chosen or root
+    articles = _has_article(start)
 
     def walk(node: Node) -> None:
         stack: list[tuple[Node, int, bool]] = [(node, 0, False)]
@@ -292,10 +390,26 @@ def content(root: Node, template: frozenset[int]) -> str:
                 if here.tag in BLOCK:
                     blocks.append([])
 
-    walk(root)
+    walk(start)
     return " ".join(t for b in blocks if b and (t := " ".join("".join(b).split())))
 
 
+def main_text(html: str, wrappers: list[tuple[Reference, int, frozenset[int]]]) -> str:
+    """The main text of a page under the wrappers of its host."""
+    page = parse(html)
+    if not wrappers:
+        return content(page, frozenset())
+    reference, places = fitting([r for r, _, _ in wrappers], page)
+    at, template = next((at, template) for r, at, template in wrappers if r is reference)
+    chosen, stack = None, [page]
+    while stack and chosen is None:
+        node = stack.pop()
+        if places.get(id(node)) == at:
+            chosen = node
+        stack.extend(node.elements())
+    return content(page, template, chosen)
+
+
 def _has_article(root: Node) -> bool:
     """Whether an ``article`` or ``main`` of the page holds any text."""
     stack = [root]
@@ -311,29 +425,106 @@ def _has_article(root: Node) -> bool:
     return False
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template of each host with two pages or more. SAMPLE rows a host leave the scan's tasks."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id")
-    rows = pages.filter("host is not null and html is not null").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE)
+def _layouts(rows: DataFrame) -> DataFrame:
+    """host, layout, pages and outline of the page with the lowest hash, of each layout."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, int], list] = {}
+            for host, order, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root = parse(html)
+                entry = found.setdefault((host, layout_of(root)), [0, order + 1, ""])
+                entry[0] += 1
+                if order < entry[1]:
+                    entry[1:] = order, outline_of(root)
+            columns = [[h for h, _ in found], [x for _, x in found], *map(list, zip(*found.values(), strict=True))] if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    fields = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("pages", pa.int64()), ("order", pa.int64()), ("outline", pa.string())])
+    kind = "host string, layout long, pages long, order long, outline string"
+    found = rows.select("host", F.shiftright(F.xxhash64("html"), 1).alias("order"), "html").mapInArrow(frees(run), kind)
+    return found.groupBy("host", "layout").agg(F.sum("pages").alias("pages"), F.min_by("outline", F.struct("order", "outline")).alias("outline"))
+
+
+def _observations(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """host, layout, number, pages, least, greatest, size, more: what all pages of a host have at the nodes of its references."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, list[Reference]] = {}
+        found: dict[tuple[str, int, int], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [*map(list, zip(*found, strict=True)), *map(list, zip(*found.values(), strict=True))] if found else [[]] * 8
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+            found.clear()
+            return batch
+
+        for batch in batches:
+            hosts, htmls = batch.column(0).to_pylist(), batch.column(1)
+            for i, host in enumerate(hosts):
+                if host not in made:
+                    if len(made) >= HOSTS:
+                        made.clear()
+                    made[host] = [Reference(r["layout"], r["outline"]) for r in batch.column(2)[i].as_py()]
+                page = parse(htmls[i].as_py())
+                reference, places = fitting(made[host], page)
+                for number, m, size, more in observed(page, places):
+                    entry = found.setdefault((host, reference.layout, number), [0, m, m, 0, 0])
+                    entry[:] = entry[0] + 1, min(entry[1], m), max(entry[2], m), entry[3] + size, entry[4] + more
+                if len(found) >= HELD:
+                    yield out()
+        yield out()
+
+    names = ("layout", "number", "pages", "least", "greatest", "size", "more")
+    fields = pa.schema([("host", pa.string()), *((n, pa.int64()) for n in names)])
+    joined = rows.join(references, "host").select("host", "html", "references")
+    found = joined.mapInArrow(frees(run), "host string, " + ", ".join(f"{n} long" for n in names))
+    sums = [F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("size").alias("size"), F.sum("more").alias("more")]
+    return found.groupBy("host", "layout", "number").agg(*sums)
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("_rank")
-        return pd.DataFrame({"host": [own["host"].iloc[0]], "template": [induce(own["html"].tolist())]})
 
-    return rows.select("host", "html", "_rank").groupBy("host").applyInPandas(run, "host string, template array<long>")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and its wrappers (layout, outline, article, template), a written table, from all ``pages`` (host, html)."""
+    rows = pages.filter("host is not null and html is not null")
+    layouts = _layouts(rows)
+    frequent = layouts.withColumn("_rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))).filter(F.col("_rank") <= LAYOUTS)
+    chosen = written(frequent.select("host", "layout", "outline"), "layouts")
+    references = written(chosen.groupBy("host").agg(F.collect_list(F.struct("layout", "outline")).alias("references")), "references")  # its size is known when the join is planned
+    seen = _observations(rows, references)
+    entry = F.struct("number", "pages", "least", "greatest", "size", "more")
+    of_layout = seen.groupBy("host", "layout").agg(F.collect_list(entry).alias("seen"))
+
+    @F.pandas_udf("article int, template array<long>")
+    def induced(outlines: pd.Series, seens: pd.Series) -> pd.DataFrame:
+        found = []
+        for outline, rows_ in zip(outlines, seens, strict=True):
+            nodes = {r["number"]: (r["pages"], r["least"], r["greatest"], r["size"], r["more"]) for r in (rows_ if rows_ is not None else ())}
+            found.append(induce(Reference(0, outline), nodes))
+        return pd.DataFrame(found, columns=["article", "template"])
+
+    made = chosen.join(of_layout, ["host", "layout"], "left").select("host", "layout", "outline", induced("outline", "seen").alias("w"))
+    found = written(made.groupBy("host").agg(F.collect_list(F.struct("layout", "outline", "w.article", "w.template")).alias("wrappers")), "wrappers")
+    discard(chosen, references)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, templates in batches:
-            out = [content(parse(h), frozenset(t.tolist() if t is not None else ())) if h else "" for h, t in zip(html, templates, strict=True)]
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made: dict[str, list[tuple[Reference, int, frozenset[int]]]] = {}
+        for hosts, htmls, known in batches:
+            out = []
+            for host, html, own in zip(hosts, htmls, known, strict=True):
+                if host not in made:
+                    if len(made) >= HOSTS:
+                        made.clear()
+                    made[host] = [(Reference(w["layout"], w["outline"]), w["article"], frozenset(w["template"])) for w in (own if own is not None else ())]
+                out.append(main_text(html, made[host]) if html else "")
             yield pd.Series(out, dtype=object)
 
     rows = pages.select("page_id", "url", "html", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
-    known = written(wrappers(rows), "wrappers")  # its size is known when the join is planned
-    joined = rows.join(known, "host", "left")
-    text = joined.select("page_id", "url", read("html", "template").alias("text"))
+    joined = rows.join(wrappers(rows.select("host", "html")), "host", "left")
+    text = joined.select("page_id", "url", read("host", "html", "wrappers").alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
