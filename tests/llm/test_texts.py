@@ -49,7 +49,6 @@ def test_byte_bpe_as_the_rank_library(documents):
 def test_token_files(spark, documents):
     texts = odd_texts(300)
     library = Tokenizer.from_file(WORD_FILE)
-    library.encode_special_tokens = True
     folder = new_folder(spark, "ids")
     docs = documents([*((3 * i, t) for i, t in enumerate(texts)), (None, "first"), (6, "again")])
     binary.write_ids(docs.repartition(4), folder, WORD_FILE)

@@ -21,6 +21,7 @@ each; the ids that are written are always whole.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -40,13 +41,38 @@ HEAD = np.dtype([("magic", "S8"), ("width", "<u4"), ("docs", "<u4"), ("dictionar
 ENTRY = np.dtype([("known", "u1"), ("doc", "<i8"), ("before", "<u8"), ("place", "<u8"), ("ids", "<u4")])
 
 
+#: A word of letters and the signs after it, which the tokenizer's pattern cuts apart; signs of its own tokens are not among them.
+_ENDED = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]+)")
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Encoder(made, loose_chunks, " ", remembered=400_000, stops=".,")
+    made.encode_special_tokens = True  # chunks hold no special token: texts with one are encoded whole
+    return Encoder(made, loose_chunks, " ", remembered=500_000, tails=_ENDED)
+
+
+@cache
+def _whole(path: str) -> tuple[object, re.Pattern | None]:
+    """The plain tokenizer, and what the strings of its special tokens look like in any case."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    names = [re.escape(t.content) for t in made.get_added_tokens_decoder().values()]
+    return made, re.compile("|".join(names), re.IGNORECASE) if names else None
+
+
+def encoded(path: str, texts: list[str]) -> list[bytes]:
+    """The ids of whole texts as the library gives them without adding special tokens. The string of a special token in a text is
+    that token, as the library has it; such a text is encoded at once."""
+    plain, special = _whole(path)
+    odd = [i for i, t in enumerate(texts) if special is not None and special.search(t)]
+    ids = _encoder(path).ids(["" if i in odd else t for i, t in enumerate(texts)] if odd else texts)
+    for i in odd:
+        ids[i] = np.array(plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+    return ids
 
 
 @cache
@@ -59,10 +85,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     lowest = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = [r[0] for r in lowest.collect()]
     texts = docs.filter(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, 4 * SAMPLE_IDS)).limit(SAMPLE)
-    encoder, end, width = _encoder(path), np.array([end_id], "<u4").tobytes(), f"<u{_width(path)}"
+    end, width = np.array([end_id], "<u4").tobytes(), f"<u{_width(path)}"
     samples = [
         np.frombuffer(ids + end, "<u4")[:SAMPLE_IDS].astype(width).tobytes()
-        for ids in (encoder.ids([r[0] or ""])[0] for r in texts.toLocalIterator())
+        for ids in (encoded(path, [r[0] or ""])[0] for r in texts.toLocalIterator())
     ]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 4)), samples).as_bytes()
@@ -86,7 +112,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, width, end = _encoder(path), _width(path), np.array([end_id], "<u4").tobytes()
+        width, end = _width(path), np.array([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
         part, seq = TaskContext.get().partitionId(), 0
         entries, frames, before, size, raw = [], [], 0, 0, 0
@@ -98,7 +124,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch, texts in slices(batches):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(path, texts), strict=True):
                 got = np.frombuffer(ids + end, "<u4").astype(f"<u{width}").tobytes()
                 frame = squeeze(got)
                 entries.append((doc is not None, doc or 0, before, size, len(got) // width))

@@ -49,45 +49,52 @@ def spaced_chunks(text: str) -> list[str]:
 class Encoder:
     """ids(texts): the ids of each text as unsigned 32-bit little-endian bytes, as the library encodes whole texts."""
 
-    def __init__(self, tokenizer, chunks: Callable[[str], list[str]], between: str, remembered: int = REMEMBERED, stops: str = ""):
-        """``stops``: signs that, between a letter a to z and the chunk's end, are a piece of their own."""
-        self.tokenizer, self.chunks, self.between, self.remembered, self.stops = tokenizer, chunks, between, remembered, stops
+    def __init__(
+        self, tokenizer, chunks: Callable[[str], list[str]], between: str, remembered: int = REMEMBERED, tails: re.Pattern | None = None
+    ):
+        """``tails`` matches chunks whose end the tokenizer cuts off: two groups, the word and its end."""
+        self.tokenizer, self.chunks, self.between, self.remembered, self.tails = tokenizer, chunks, between, remembered, tails
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         """``between`` joins chunks without a new id: nothing where chunks bring their space, else a space."""
-        at, starts = 0, []
-        for c in new:
-            starts.append(at)
-            at += len(c) + len(self.between)
+        lengths = np.fromiter(map(len, new), np.int64, len(new)) + len(self.between)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         got = self.tokenizer.encode(self.between.join(new), add_special_tokens=False)
         ids = np.array(got.ids, dtype="<u4")
-        cuts = np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts).tolist() + [len(ids)]
-        raw = ids.tobytes()
-        for c, a, b in zip(new, cuts, cuts[1:], strict=False):
-            self.known[c] = raw[4 * a : 4 * b]
+        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+        cuts = (4 * np.append(np.searchsorted(begins, starts), len(ids))).tolist()
+        self.known.update(zip(new, map(ids.tobytes().__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def forget(self) -> None:
         """At a task's end: a worker lives on for tasks that need its memory for other things."""
-        self.known = {"": b""}
+        self.known, self.older = {"": b""}, {}
+
+    def _grow_old(self) -> None:
+        """Half of what is remembered is kept aside; what is met again comes back, so that frequent chunks are never lost."""
+        self.known, self.older = {"": b""}, self.known
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.forget()
+        if 2 * len(self.known) > self.remembered:
+            self._grow_old()
         known = self.known
         cut = [self.chunks(t) for t in texts]
         fresh = set().union(*cut).difference(known)
-        stopped = [c for c in fresh if c[-1] in self.stops and "a" <= c[-2:-1] <= "z"]
-        fresh.difference_update(stopped)
-        for c in stopped:
-            fresh.update(part for part in (c[:-1], c[-1]) if part not in known)
+        self._come_back(fresh)
+        ended = {c: found.groups() for c in fresh if (found := self.tails.fullmatch(c))} if self.tails else {}
+        fresh.difference_update(ended)
+        parts = {part for pair in ended.values() for part in pair}.difference(known)
+        self._come_back(parts)
         new: list[str] = []
         size = 0
-        for c in fresh:
-            if self.between or (c[0] == " " and not c[1:2].isspace() and not c[-1].isspace()):
+        if self.between:  # no more characters than the texts have
+            new, fresh, parts = list(fresh | parts), set(), set()
+        for c in fresh | parts:
+            if c[0] == " " and not c[1:2].isspace() and not c[-1].isspace():
                 new.append(c)
                 size += len(c)
             else:
@@ -97,10 +104,17 @@ class Encoder:
                 new, size = [], 0
         if new:
             self._learn(new)
-        for c in stopped:
-            known[c] = known[c[:-1]] + known[c[-1]]
+        for c, (word, end) in ended.items():
+            known[c] = known[word] + known[end]
         return [b"".join(map(known.__getitem__, cs)) for cs in cut]
 
+    def _come_back(self, wanted: set[str]) -> None:
+        """Takes from ``wanted`` what was kept aside."""
+        older = self.older
+        again = [c for c in wanted if c in older]
+        self.known.update((c, older[c]) for c in again)
+        wanted.difference_update(again)
+
 
 def frees(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for a worker that lives on: what a task has used goes back to the system at its end, so that the workers of
