@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm.jaccard import mixed
-from tillmark.llm.similar import WORDS, maybe_among, outline, outline_fields, shared_buckets, similar_components
+from tillmark.llm.similar import WORDS, in_blocks, maybe_among, outline, outline_fields, shared_buckets, similar_components
 from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
 GRAM, PERCENT = 5, 80
-BANDS, ROWS = 18, 6
+BANDS, ROWS = 22, 7
 BINS = BANDS * ROWS
 #: Characters of lines that are hashed at once, and classes that a task remembers.
 AT_ONCE, REMEMBERED = 200_000, 300_000
@@ -141,7 +141,7 @@ def _fresh(texts: list[str], seen: set[int]) -> Iterator[tuple[int, str]]:
 
 
 def line_signatures(rows: DataFrame) -> DataFrame:
-    """sig, id: the bands of each line under the lower half of its digest. A line of under GRAM characters is similar to its
+    """Blocks of (sig, id): the bands of each line under the lower half of its digest. A line of under GRAM characters is similar to its
     equals only, which are one class, and has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def line_signatures(rows: DataFrame) -> DataFrame:
         if held:
             yield signed()
 
-    return rows.mapInArrow(frees(run), "sig long, id long")
+    return rows.mapInArrow(frees(in_blocks(run)), "bucket int, pairs binary")
 
 
 def line_texts(rows: DataFrame) -> DataFrame:

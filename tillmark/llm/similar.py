@@ -7,9 +7,9 @@ buckets without being similar. Hence two measures, neither of which loses a link
 * An outline of 512 bits goes with each set: every element flips one bit. Two outlines differ in no more bits than the sets in
   elements, so a pair whose outlines differ too much is not similar. This is a condition of the join that would make
   the pair, and only pairs that pass leave it.
-* Pairs are tried in rounds. Each round takes the next pivots of every bucket, compares them with the later members of another
-  component, merges the components of what is similar, and leaves out buckets that lie in one component. The last
-  round takes all members that are left as pivots.
+* Pairs are tried in rounds. Each round takes some pivots of every bucket, compares each later member of another component
+  with the nearest of them by outline, merges the components of what is similar, and leaves out buckets that lie in one
+  component. The last round takes all members that are left as pivots, and all pairs.
 
 At the end any two members of any bucket are in one component or were found not to be similar, as if all pairs had been
 compared. What passes the outlines is compared exactly, on whole bodies. Buckets, links and components are written
@@ -32,8 +32,10 @@ from tillmark.sources.shared import discard, written
 
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
-#: 64-bit words of an outline; the last pivot of each round but the last; pivots of a bucket that one task takes.
-WORDS, PIVOTS, BLOCK = 8, (3,), 2048
+#: 64-bit words of an outline; the last pivot of each round but the last, which has all; pivots of a bucket that one task takes.
+WORDS, PIVOTS, BLOCK = 8, (2, 8), 2048
+#: Signatures are dealt to 2 ** BUCKET_BITS buckets; so many rows are packed at once.
+BUCKET_BITS, PACKED = 12, 1 << 21
 
 
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -48,27 +50,60 @@ def maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return joined.filter(f"(shiftright({byte}, cast(bitmap_bit_position(_place) % 8 as int)) & 1) = 1").select(*rows.columns)
 
 
-def shared_buckets(signatures: DataFrame) -> DataFrame:
-    """The rows (sig, id) whose signature several ids have, each once. Nearly all signatures stand alone: sorted by signature,
-    the rows pass by in batches, and a task holds one batch and the last row of the one before."""
+def in_blocks(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which gives batches (sig, id), with its rows packed: (bucket, pairs) by the first BUCKET_BITS of the signature. Tens
+    of signatures a set would cost the shuffle more as rows than as blocks of bytes."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (sig.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        pairs = np.stack([sig[order], own[order]], 1)
+        kinds, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        blocks = [pairs[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "pairs"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in run(batches):
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= PACKED:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    return own
+
+
+def shared_buckets(blocks: DataFrame) -> DataFrame:
+    """The rows (sig, id) whose signature several ids have, each once, from blocks (bucket, pairs). Nearly all signatures stand alone; a
+    task sorts one bucket at a time."""
+
+    def several(blocks: list[bytes]) -> pa.RecordBatch:
+        pairs = np.frombuffer(b"".join(blocks), np.int64).reshape(-1, 2)
+        sig, own = (pairs[:, i][np.lexsort((pairs[:, 1], pairs[:, 0]))] for i in (0, 1))
+        new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
+        sig, own = sig[new], own[new]
+        same = sig[1:] == sig[:-1]
+        wanted = np.append(same, False) | np.append(False, same)
+        return pa.RecordBatch.from_arrays([pa.array(sig[wanted]), pa.array(own[wanted])], names=["sig", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, beside = [np.zeros(0, np.int64)] * 2, np.zeros(0, bool)  # the last row, and whether the one before shares its signature
+        last, held = None, []
         for batch in batches:
-            sig, own = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            if not len(sig):
-                continue
-            new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
-            sig, own = sig[new], own[new]
-            same = sig[1:] == sig[:-1]
-            before = np.append(beside if len(beside) else False, same)
-            held, beside = [sig[-1:], own[-1:]], before[-1:]
-            wanted = before[:-1] | same
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][wanted]), pa.array(own[:-1][wanted])], names=["sig", "id"])
-        if len(beside) and beside[0]:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, held)], names=["sig", "id"])
-
-    return signatures.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(frees(run), "sig long, id long")
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != last and held:
+                    yield several(held)
+                    held = []
+                last = bucket
+                held.append(block)
+        if held:
+            yield several(held)
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frees(run), "sig long, id long")
 
 
 def _numbered(buckets: DataFrame) -> DataFrame:
@@ -90,11 +125,15 @@ def outline_fields() -> list[str]:
     return [f"bits{i}" for i in range(WORDS)]
 
 
+def _differ(a: str, b: str) -> Column:
+    """The bits in which two outlines differ."""
+    return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in outline_fields()), F.lit(0))
+
+
 def _may(a: str, b: str, percent: int) -> Column:
     """Neither the sizes nor the outlines of two sets rule out the similarity."""
     x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in outline_fields()), F.lit(0))
-    return (differ * (100 + percent) <= (x + y) * (100 - percent)) & (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    return (_differ(a, b) * (100 + percent) <= (x + y) * (100 - percent)) & (x * 100 >= y * percent) & (y * 100 >= x * percent)
 
 
 def _compared(pairs: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]) -> DataFrame:
@@ -122,30 +161,33 @@ def similar_components(
     pairs = active.filter("first < id").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
     met = pairs.alias("p").join(outlines.alias("x"), F.col("p.a") == F.col("x.id")).join(outlines.alias("y"), F.col("p.b") == F.col("y.id"))
     rounds = [_compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)]
-    low, labels = 1, None
+    labels = None
     for high in (*PIVOTS, None):
         tried = reduce(DataFrame.union, rounds)
         discard(labels)
         labels = connected(tried.filter("similar").select("a", "b"), roots=False)
         current = active.select("sig", "id", "place").join(labels, "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("component"))
-        spread = current.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("place").alias("_last"))
-        mixed = spread.filter((F.col("_low") != F.col("_high")) & (F.col("_last") > low)).select("sig")
+        spread = current.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        mixed = spread.filter(F.col("_low") != F.col("_high")).select("sig")
         last, active = active, written(current.join(mixed, "sig").join(outlines, "id"), "buckets")
         discard(last)
         if active.isEmpty():
             break
         # The work of a large bucket is cut into blocks of pivots; the members travel to each of them.
-        block = F.floor((F.col("place") - low) / BLOCK)
-        pivots = active.filter((F.col("place") >= low) if high is None else F.col("place").between(low, high)).withColumn("block", block)
+        block = F.floor((F.col("place") - 1) / BLOCK)
+        pivots = (active if high is None else active.filter(F.col("place") <= high)).withColumn("block", block)
         blocks = pivots.groupBy("sig").agg(F.max("block").alias("_blocks"))
         members = active.join(blocks, "sig").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_blocks"), F.greatest(block, F.lit(0))))))
         met = members.alias("y").join(pivots.alias("x"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.place") > F.col("x.place")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y", percent))
-        pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if high is None:
+            pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        else:  # of all pivots that may be similar to it, the nearest by outline
+            nearest = F.min(F.struct(_differ("x", "y").alias("differ"), F.col("x.id").alias("a"))).alias("best")
+            pairs = met.groupBy(F.col("y.id").alias("b")).agg(nearest).select("best.a", "b")
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         rounds.append(_compared(pairs, bodies_of, similar))
         if high is None:
             discard(labels)
             labels = connected(reduce(DataFrame.union, rounds).filter("similar").select("a", "b"), roots=False)
-        else:
-            low = high + 1
     discard(active, *rounds)
     return None if labels.isEmpty() else labels
