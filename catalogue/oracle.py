@@ -1038,14 +1038,6 @@ oracle("naive_monthly_sales", "select * from naive_sales", NAIVE)
 oracle("naive_category_margin", "select * from naive_margin", NAIVE)
 oracle("naive_marketing", "select * from naive_mkt", NAIVE)
 oracle("naive_delivery", "select * from naive_del", NAIVE)
-oracle(
-    "report_csv_sink",
-    "select 'monthly_delivery' as report, month, sales_channel as key, on_time_rate as value from naive_del union all select"
-    " 'monthly_marketing', month, marketing_channel, ad_spend_nzd from naive_mkt union all select 'monthly_sales', month,"
-    " concat_ws('/', sales_channel, region_code), revenue_nzd from naive_sales union all select 'monthly_category_margin', month,"
-    " product_category, gross_profit_nzd from naive_margin",
-    NAIVE,
-)
 KEYS = {
     "monthly_sales": ("naive_sales", "rpt_monthly_sales", ["month", "sales_channel", "region_code"], ["orders", "units", "revenue_nzd", "cogs_nzd", "gross_profit_nzd"]),
     "monthly_category_margin": ("naive_margin", "rpt_monthly_category_margin", ["month", "product_category"], ["revenue_nzd", "gross_profit_nzd", "gross_margin"]),
@@ -1054,6 +1046,17 @@ KEYS = {
 }
 
 
+oracle(
+    "report_csv_sink",
+    " union all ".join(
+        f"select '{report}' as report, month, concat_ws('/', {', '.join(keys[1:])}) as key, '{v}' as field, cast({v} as double) as value from {left}"
+        for report, (left, _, keys, values) in KEYS.items()
+        for v in values
+    ),
+    NAIVE,
+)
+
+
 def _final_select(name: str) -> str:
     return ORACLES[name].rsplit(")\n", 1)[1]
 
@@ -1073,7 +1076,18 @@ def _diff(report: str) -> str:
 
 MART_REPORTS = ", ".join(f"mart_{name} as ({_final_select(spec[1])})" for name, spec in KEYS.items())
 DIFF = ", ".join([MONTHLY, SPENT, NAIVE, MART_REPORTS])
-oracle("table_diff_rows", _diff("monthly_sales"), DIFF)
+
+
+def _fields(report: str, rows: str, more: str = "") -> str:
+    _, _, keys, values = KEYS[report]
+    key = ", ".join(f"cast({k} as varchar)" for k in keys)
+    return " union all ".join(
+        f"select '{report}' as report, concat_ws('|', {key}) as key, '{v}' as field, {v}_left as left_value, {v}_right as right_value{more} from ({rows})"
+        for v in values
+    )
+
+
+oracle("table_diff_rows", " union all ".join(_fields(report, _diff(report), ", side, differs") for report in KEYS), DIFF)
 oracle(
     "table_diff_summary",
     " union all ".join(
@@ -1087,8 +1101,10 @@ oracle(
 )
 oracle(
     "table_diff_examples",
-    f"select * exclude (side, differs) from ({_diff('monthly_sales')}) where differs order by month nulls last, sales_channel nulls last,"
-    " region_code nulls last limit 5",
+    " union all ".join(
+        _fields(report, f"select * from ({_diff(report)}) where differs order by {', '.join(f'{k} nulls last' for k in keys)} limit 5")
+        for report, (_, _, keys, _) in KEYS.items()
+    ),
     DIFF,
 )
 

@@ -262,20 +262,15 @@ def _as_delivered(m: Models) -> as_delivered.AsDelivered:
 
 @query
 def report_csv_sink(m: Models) -> DataFrame:
-    """The four as-delivered reports, written as CSV and read back: keys and one figure of each."""
+    """The four as-delivered reports, written as CSV and read back: every figure by month and key."""
     made = _as_delivered(m).reports()
     root = shared.new_folder(m.spark, "reports")
-    shown = {
-        "monthly_sales": (F.concat_ws("/", "sales_channel", "region_code"), "revenue_nzd"),
-        "monthly_category_margin": (F.col("product_category"), "gross_profit_nzd"),
-        "monthly_marketing": (F.col("marketing_channel"), "ad_spend_nzd"),
-        "monthly_delivery": (F.col("sales_channel"), "on_time_rate"),
-    }
     parts = []
-    for name, (key, value) in shown.items():
+    for name, (keys_, values) in compare.REPORTS.items():
         sinks.write_report_csv(made[name], f"{root}/{name}.csv")
         read = sinks.read_report_csv(made[name], f"{root}/{name}.csv")
-        parts.append(read.select(F.lit(name).alias("report"), "month", key.alias("key"), F.col(value).cast("double").alias("value")))
+        figures = F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("value")) for v in values)))
+        parts.append(read.select(F.lit(name).alias("report"), "month", F.concat_ws("/", *keys_[1:]).alias("key"), figures.alias("f")).select("report", "month", "key", "f.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -1038,9 +1033,14 @@ def _report_diff(m: Models, report: str = "monthly_sales") -> DataFrame:
     return compare.diff_rows(made, getattr(m, f"rpt_{report}"), keys_, values)
 
 
+def _named(report: str, rows: DataFrame, *more: str) -> DataFrame:
+    return compare.as_fields(rows, *compare.REPORTS[report], more).withColumn("report", F.lit(report))
+
+
 @query
 def table_diff_rows(m: Models) -> DataFrame:
-    return _report_diff(m)
+    """Every figure of the four reports in both versions."""
+    return reduce(DataFrame.unionByName, [_named(r, _report_diff(m, r), "side", "differs") for r in compare.REPORTS])
 
 
 @query
@@ -1054,7 +1054,9 @@ def table_diff_summary(m: Models) -> DataFrame:
 
 @query
 def table_diff_examples(m: Models) -> DataFrame:
-    return compare.diff_examples(_report_diff(m), compare.REPORTS["monthly_sales"][0])
+    """The first differing rows of each of the four reports."""
+    found = [_named(r, compare.diff_examples(_report_diff(m, r), compare.REPORTS[r][0])) for r in compare.REPORTS]
+    return reduce(DataFrame.unionByName, found)
 
 
 for _report in compare.REPORTS:

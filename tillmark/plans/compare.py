@@ -70,3 +70,12 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 def diff_examples(diff: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` differing rows by key."""
     return diff.filter("differs").orderBy(*ascending(*keys)).limit(n).drop("side", "differs")
+
+
+def as_fields(rows: DataFrame, keys: Sequence[str], values: Sequence[str], more: Sequence[str] = ("side", "differs")) -> DataFrame:
+    """A comparison as rows of (key, field, left_value, right_value), so that those of several tables can stand in one."""
+    pairs = [
+        F.struct(F.lit(v).alias("field"), F.col(f"{v}_left").alias("left_value"), F.col(f"{v}_right").alias("right_value")) for v in values
+    ]
+    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("key")
+    return rows.select(key, F.explode(F.array(*pairs)).alias("f"), *more).select("key", "f.*", *more)
