@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillmark.llm import jaccard, lines
 from tillmark.llm.components import connected
@@ -198,3 +199,16 @@ def test_bands_find_similar_lines(prose):
             one, two = lines.bands_of([a, b])
             pairs, found = pairs + 1, found + bool(set(one.tolist()) & set(two.tolist()))
     assert pairs > 100 and found >= 0.98 * pairs
+
+
+def test_the_line_stage_keeps_columns_of_any_name(spark, documents):
+    import corpus_pipeline
+
+    names = ("_had_text", "row", "lines", "dropped", "places", "mark", "_doc")
+    rows = [(1, "one line of text\ntwo"), (2, "one line of text"), (3, None), (4, ""), (5, "one line of text\nthree")]
+    docs = documents(rows).withColumns({c: F.lit(c) for c in names})
+    got = corpus_pipeline.distinct_lines(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = {r["doc_id"]: r for r in got.collect()}
+    assert {i: r["text"] for i, r in kept.items()} == {1: "one line of text\ntwo", 3: None, 4: "", 5: "three"}  # 2 lost its only line
+    assert kept[5]["n_chars"] == 5 and all(r[c] == c for r in kept.values() for c in names)

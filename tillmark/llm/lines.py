@@ -40,6 +40,8 @@ _PROBES = np.random.default_rng(7).integers(0, BINS, (1024, BINS))
 
 
 def normal(line: str) -> str:
+    if line.isprintable() and "  " not in line:  # no white space but single spaces
+        return line.strip(" ").lower()
     return " ".join(line.lower().split())
 
 

@@ -33,7 +33,7 @@ from tillmark.sources.shared import discard, written
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
 #: 64-bit words of an outline; the last pivot of each round but the last, which has all; pivots of a bucket that one task takes.
-WORDS, PIVOTS, BLOCK = 8, (2, 8), 2048
+WORDS, PIVOTS, BLOCK = 8, (4,), 2048
 #: Signatures are dealt to 2 ** BUCKET_BITS buckets; so many rows are packed at once.
 BUCKET_BITS, PACKED = 12, 1 << 21
 
@@ -84,11 +84,17 @@ def shared_buckets(blocks: DataFrame) -> DataFrame:
 
     def several(blocks: list[bytes]) -> pa.RecordBatch:
         pairs = np.frombuffer(b"".join(blocks), np.int64).reshape(-1, 2)
-        sig, own = (pairs[:, i][np.lexsort((pairs[:, 1], pairs[:, 0]))] for i in (0, 1))
-        new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
-        sig, own = sig[new], own[new]
+        order = np.argsort(pairs[:, 0])
+        sig = pairs[order, 0]
         same = sig[1:] == sig[:-1]
         wanted = np.append(same, False) | np.append(False, same)
+        sig, own = sig[wanted], pairs[order[wanted], 1]
+        order = np.lexsort((own, sig))  # what is left may still be one id several times
+        sig, own = sig[order], own[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))[: len(sig)]
+        sig, own = sig[new], own[new]
+        same = sig[1:] == sig[:-1]
+        wanted = np.append(same, False) | np.append(False, same) if len(sig) else np.zeros(0, bool)
         return pa.RecordBatch.from_arrays([pa.array(sig[wanted]), pa.array(own[wanted])], names=["sig", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tillmark.llm.components import connected
 from tillmark.llm.tiles import block_counts, blocks, exact_product, finite, norm_bound
-from tillmark.sources.shared import written
+from tillmark.sources.shared import discard, written
 
 BLOCK, STRIP = 2048, 256
 
@@ -136,6 +136,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     kind = {"float": "<f4", "double": "<f8"}[rows.schema[vector].dataType.elementType.simpleString()]
     packed = blocks(classes, ["cls", "copies"], "vector", BLOCK, "vector-blocks")
     found = written(tile_links(packed, threshold, kind), "vector-links")
+    discard(packed)
     totals = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     placed = classes.select("cls", "vector", "least", "copies").join(totals, "cls", "left").join(roots.withColumnRenamed("id", "cls"), "cls", "left")
