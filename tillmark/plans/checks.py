@@ -24,6 +24,8 @@ from tillmark.operators.joins import beside_scalars, without_match
 from tillmark.sources.seeds import local_table
 
 DETECT = "dq_detect"
+# What a contract check says of a column.
+UNEXPECTED, MISSING = "unexpected column (not in the contract)", "missing column"
 
 
 @dataclass(frozen=True)
@@ -199,11 +201,11 @@ def contract_issues(headers: DataFrame, expected: Sequence[str], file: str = "pa
     issues = F.concat(
         F.transform(
             F.array_except(present, wanted),
-            lambda c: F.struct(c.alias("column_name"), F.lit("unexpected column (not in the contract)").alias("issue")),
+            lambda c: F.struct(c.alias("column_name"), F.lit(UNEXPECTED).alias("issue")),
         ),
         F.transform(
             F.array_except(wanted, present),
-            lambda c: F.struct(c.alias("column_name"), F.lit("missing column").alias("issue")),
+            lambda c: F.struct(c.alias("column_name"), F.lit(MISSING).alias("issue")),
         ),
     )
     return headers.select(F.col(file).alias("source_file"), F.explode(issues).alias("i")).select("source_file", "i.*")

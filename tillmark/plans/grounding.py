@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions.text import number_tokens
+from tillmark.sources.shared import written
 
 SLACK = 1e-9
 #: Decimals of the narrowest cell, which is still wider than the slack. Numbers with more decimals share these cells.
@@ -35,7 +36,7 @@ def _cells(tokens: DataFrame) -> DataFrame:
 
 def ungrounded(texts: DataFrame, facts: DataFrame, key: str, text: str = "text", value: str = "value") -> DataFrame:
     """One row per ungrounded number: report key, position and the number as written."""
-    tokens = _cells(number_tokens(texts, key, text))
+    tokens = written(_cells(number_tokens(texts, key, text)), "number-tokens")  # texts are parsed once, tokens are read three times
     place = [key, "exponent", "percent", "cell"]
     shown = tokens.select(*place, "number").distinct()
     # which precisions a report uses: a handful per report

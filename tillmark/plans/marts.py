@@ -11,6 +11,7 @@ from tillmark.functions.money import to_nzd
 from tillmark.operators.joins import lookup, without_match
 from tillmark.operators.ranking import number_rows
 
+# Texts that the marts carry.
 QUARANTINE_REASON = "SALE line with a non-positive quantity"
 UNKNOWN_CATEGORY = "Unknown"
 INFERRED_DESCRIPTION = "Not yet in the material master"
