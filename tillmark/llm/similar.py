@@ -9,7 +9,7 @@ buckets without being similar. Hence two measures, neither of which loses a link
   the pair, and only pairs that pass leave it.
 * Pairs are tried in rounds. Each round takes some pivots of every bucket, compares each later member of another component
   with the nearest of them by outline, merges the components of what is similar, and leaves out buckets that lie in one
-  component. The last round takes all members that are left as pivots, and all pairs.
+  component. The last but one takes all members that are left as pivots, and the last one all pairs.
 
 At the end any two members of any bucket are in one component or were found not to be similar, as if all pairs had been
 compared. What passes the outlines is compared exactly, on whole bodies. Buckets, links and components are written
@@ -32,7 +32,7 @@ from tillmark.sources.shared import discard, written
 
 #: Bits of the filter that spares a join most rows without a partner. It is broadcast and never larger than this.
 FILTER_BITS = 1 << 25
-#: 64-bit words of an outline; the last pivot of each round but the last, which has all; pivots of a bucket that one task takes.
+#: 64-bit words of an outline; the last pivot of each round but the last two, which have all; pivots of a bucket that one task takes.
 WORDS, PIVOTS, BLOCK = 8, (4,), 2048
 #: Signatures are dealt to 2 ** BUCKET_BITS buckets; so many rows are packed at once.
 BUCKET_BITS, PACKED = 12, 1 << 21
@@ -113,9 +113,9 @@ def shared_buckets(blocks: DataFrame) -> DataFrame:
 
 
 def _numbered(buckets: DataFrame) -> DataFrame:
-    """sig, id, first and place of distinct rows (sig, id) in buckets of two ids or more."""
+    """sig, id, first and place of rows (sig, id), each there once, in buckets of two ids or more."""
     order = Window.partitionBy("sig").orderBy("id")
-    placed = buckets.distinct().select(
+    placed = buckets.select(
         "sig", "id", F.first("id").over(order).alias("first"), F.row_number().over(order).alias("place"), F.lead("id").over(order).alias("_after")
     )
     return placed.filter("place > 1 or _after is not null").drop("_after")
@@ -168,7 +168,8 @@ def similar_components(
     met = pairs.alias("p").join(outlines.alias("x"), F.col("p.a") == F.col("x.id")).join(outlines.alias("y"), F.col("p.b") == F.col("y.id"))
     rounds = [_compared(met.filter(_may("x", "y", percent)).select("a", "b"), bodies_of, similar)]
     labels = None
-    for high in (*PIVOTS, None):
+    for number, high in enumerate((*PIVOTS, None, None)):
+        last_round = number > len(PIVOTS)
         tried = reduce(DataFrame.union, rounds)
         discard(labels)
         labels = connected(tried.filter("similar").select("a", "b"), roots=False)
@@ -185,14 +186,14 @@ def similar_components(
         blocks = pivots.groupBy("sig").agg(F.max("block").alias("_blocks"))
         members = active.join(blocks, "sig").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_blocks"), F.greatest(block, F.lit(0))))))
         met = members.alias("y").join(pivots.alias("x"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.place") > F.col("x.place")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y", percent))
-        if high is None:
+        if last_round:
             pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         else:  # of all pivots that may be similar to it, the nearest by outline
             nearest = F.min(F.struct(_differ("x", "y").alias("differ"), F.col("x.id").alias("a"))).alias("best")
             pairs = met.groupBy(F.col("y.id").alias("b")).agg(nearest).select("best.a", "b")
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         rounds.append(_compared(pairs, bodies_of, similar))
-        if high is None:
+        if last_round:
             discard(labels)
             labels = connected(reduce(DataFrame.union, rounds).filter("similar").select("a", "b"), roots=False)
     discard(active, *rounds)
