@@ -51,7 +51,7 @@ def _encoder(path: str) -> Encoder:
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # chunks hold no special token: texts with one are encoded whole
-    return Encoder(made, loose_chunks, " ", remembered=500_000, tails=_ENDED)
+    return Encoder(made, loose_chunks, " ", remembered=700_000, tails=_ENDED)
 
 
 @cache
