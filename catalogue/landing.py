@@ -1,4 +1,4 @@
-"""A landing zone of CSV files, written by Spark from the test tables, for the queries that read CSV feeds."""
+"""A landing zone of compressed CSV files, written by Spark from the test tables, for the queries that read CSV feeds."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tillmark.sources.star_schema import StarSchemaFeeds
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
-PATTERNS = {feed: f"{feed}/*/*/*.csv" for feed in FEEDS}
+PATTERNS = {feed: f"{feed}/*/*/*.csv.gz" for feed in FEEDS}
 
 
 def landing(spark: SparkSession, sf_dir: str, feed: str) -> str:
@@ -34,7 +34,7 @@ def landing(spark: SparkSession, sf_dir: str, feed: str) -> str:
                 ("c", delivered.filter(year >= "2000")),
             ]
         for name, df in versions:
-            df.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(f"{root}/{feed}/{name}")
+            df.hint("rebalance", "file").write.partitionBy("file").options(header=True, compression="gzip").csv(f"{root}/{feed}/{name}")
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
