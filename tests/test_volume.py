@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+import shop
 
 from catalogue import landing
+from tillmark.plans import as_delivered
 from tillmark.sources import shared, star_schema
 
 DAY = datetime(1995, 3, 4)
@@ -34,6 +36,13 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_a_report_prices_only_what_it_reads(spark, tmp_path, monkeypatch):
+    m = shop.models(spark, tmp_path)
+    made = as_delivered.AsDelivered(m.feeds, m.material_groups, m.dim_regions, stored=True)
+    monkeypatch.setattr(as_delivered, "sales", None)
+    assert made.report("monthly_delivery").count() > 0
+
+
 def test_the_landing_zone_is_compressed(spark, folder):
     root = landing.landing(spark, folder, "ecom_orders")
     assert {f.rsplit(".", 2)[1] for f in spark.read.option("recursiveFileLookup", True).text(f"{root}/ecom_orders").inputFiles()} == {"csv"}

@@ -28,6 +28,7 @@ from tillmark.plans import staging
 from tillmark.sources import seeds
 from tillmark.sources.shared import written
 
+REPORTS = ("monthly_sales", "monthly_category_margin", "monthly_marketing", "monthly_delivery")
 VALUES = ["day", "channel", "region_code", "order_id", "quantity", "amount", "currency", "is_sale", "marketing_channel"]
 
 
@@ -189,14 +190,21 @@ class AsDelivered:
         priced = sales(self.feeds, self.materials, self.fx)
         return written(priced, "sales_as_delivered") if self.stored else priced
 
-    def reports(self) -> dict[str, DataFrame]:
+    def report(self, name: str) -> DataFrame:
+        """One report; the lines are priced only for those that read them."""
         feeds = self.feeds
-        spend = staging.ad_spend(
-            feeds["mkt_search_ads"], feeds["mkt_social_ads"], feeds["mkt_other_channels"], self.regions
-        )
-        return {
-            "monthly_sales": monthly_sales(self.sales),
-            "monthly_category_margin": monthly_category_margin(self.sales),
-            "monthly_marketing": monthly_marketing(self.sales.filter("channel = 'online'"), spend, self.fx),
-            "monthly_delivery": monthly_delivery(feeds["logistics_shipments"]),
-        }
+        if name == "monthly_sales":
+            return monthly_sales(self.sales)
+        if name == "monthly_category_margin":
+            return monthly_category_margin(self.sales)
+        if name == "monthly_marketing":
+            spend = staging.ad_spend(
+                feeds["mkt_search_ads"], feeds["mkt_social_ads"], feeds["mkt_other_channels"], self.regions
+            )
+            return monthly_marketing(self.sales.filter("channel = 'online'"), spend, self.fx)
+        if name == "monthly_delivery":
+            return monthly_delivery(feeds["logistics_shipments"])
+        raise KeyError(name)
+
+    def reports(self) -> dict[str, DataFrame]:
+        return {name: self.report(name) for name in REPORTS}
