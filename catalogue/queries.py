@@ -34,18 +34,28 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
 
 
-def query(make: Callable[[Models], DataFrame]) -> Callable[[Models], DataFrame]:
+def _registered(make: Callable[[Models], DataFrame], source: Callable[[SparkSession, str], Models]) -> Callable[[Models], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain(make(models(spark, sf_dir)))
+        return plain(make(source(spark, sf_dir)))
 
     QUERIES[make.__name__] = run
     return make
 
 
+def query(make: Callable[[Models], DataFrame]) -> Callable[[Models], DataFrame]:
+    return _registered(make, models)
+
+
+def single_pass(make: Callable[[Models], DataFrame]) -> Callable[[Models], DataFrame]:
+    """A query that reads each fact once. It computes its relations from the feeds: only the columns and channels that it asks for are
+    shuffled, and no whole table is written for it."""
+    return _registered(make, from_feeds)
+
+
 @lru_cache(maxsize=4)
 def models(spark: SparkSession, sf_dir: str) -> Models:
     """Relations over one folder. Like the marts of a warehouse, the line and order tables are written on first use."""
-    return StoredModels(spark, feeds_of(spark, sf_dir, stored=True), AS_OF, CALENDAR)
+    return StoredModels(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
 
 
 @lru_cache(maxsize=4)
@@ -54,9 +64,9 @@ def from_feeds(spark: SparkSession, sf_dir: str) -> Models:
     return Models(spark, feeds_of(spark, sf_dir), AS_OF, CALENDAR)
 
 
-@lru_cache(maxsize=8)
-def feeds_of(spark: SparkSession, sf_dir: str, stored: bool = False) -> StarSchemaFeeds:
-    return StarSchemaFeeds(spark, sf_dir, stored)
+@lru_cache(maxsize=4)
+def feeds_of(spark: SparkSession, sf_dir: str) -> StarSchemaFeeds:
+    return StarSchemaFeeds(spark, sf_dir)
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:
@@ -105,6 +115,7 @@ relations(
     "fct_shipments",
     "dim_products",
     "dim_stores",
+    "rpt_ledger_reconciliation",
 )
 relations(
     models,
@@ -114,7 +125,6 @@ relations(
     "rpt_monthly_marketing",
     "rpt_monthly_delivery",
     "rpt_top_products",
-    "rpt_ledger_reconciliation",
 )
 
 
@@ -134,22 +144,22 @@ def _with_rows(seed: DataFrame, key: str, facts: DataFrame, name: str) -> DataFr
     return seed.join(counts, [key], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-@query
+@single_pass
 def dim_regions(m: Models) -> DataFrame:
     return _with_rows(m.dim_regions, "region_code", m.fct_sales_lines, "sales_lines")
 
 
-@query
+@single_pass
 def dim_sales_channels(m: Models) -> DataFrame:
     return _with_rows(m.dim_sales_channels, "sales_channel", m.fct_sales_lines, "sales_lines")
 
 
-@query
+@single_pass
 def dim_marketing_channels(m: Models) -> DataFrame:
     return _with_rows(m.dim_marketing_channels, "marketing_channel", m.attributed_orders, "orders")
 
 
-@query
+@single_pass
 def time_spine(m: Models) -> DataFrame:
     """Every day of the years in which orders were placed, with the ISO week that it is counted in."""
     years = m.attributed_orders.agg(F.trunc(F.min("order_date"), "year").alias("first"), F.last_day(F.add_months(F.trunc(F.max("order_date"), "year"), 11)).alias("last"))
@@ -329,7 +339,7 @@ def currency_convert(m: Models) -> DataFrame:
     )
 
 
-@query
+@single_pass
 def null_typed_padding(m: Models) -> DataFrame:
     shape = ["sales_line_id", "sales_channel", "store_id", "marketing_channel", "order_type"]
     store = marts.store_lines(m.stg_pos_lines, m.stg_stores).select(*shape)
@@ -343,7 +353,7 @@ def validity_flag(m: Models) -> DataFrame:
     return m.feeds["pos_transactions"].select("transaction_id", "line_no", "txn_type", "quantity", valid.alias("is_valid"))
 
 
-@query
+@single_pass
 def quarantine_split(m: Models) -> DataFrame:
     """Where every till line goes: kept, quarantined with the reason, or neither when its quantity is unknown."""
     route = F.when(F.col("is_valid"), "kept").when(~F.col("is_valid"), "quarantined").otherwise("neither")
@@ -371,7 +381,7 @@ def order_type_map(m: Models) -> DataFrame:
     )
 
 
-@query
+@single_pass
 def cost_and_profit(m: Models) -> DataFrame:
     return m.fct_sales_lines.select("sales_line_id", "product_id", "cogs_nzd", "has_cost", "gross_profit_nzd")
 
@@ -381,12 +391,12 @@ def delivery_flags(m: Models) -> DataFrame:
     return m.stg_shipments.select("shipment_id", "promised_date", "delivered_date", "is_on_time", "days_late")
 
 
-@query
+@single_pass
 def paid_attribution_flag(m: Models) -> DataFrame:
     return m.attributed_orders.select("order_id", "sales_channel", "marketing_channel", "is_paid_attribution")
 
 
-@query
+@single_pass
 def currency_from_master(m: Models) -> DataFrame:
     return m.stg_pos_lines.select("pos_line_id", "store_id", "currency", "reported_currency")
 
@@ -436,26 +446,26 @@ def join_full_outer_coalesce(m: Models) -> DataFrame:
     return joins.full_on(ordered, shipped, keys_)
 
 
-@query
+@single_pass
 def join_left_on_coalesced(m: Models) -> DataFrame:
     columns = ["store_id", "business_date", "difference_nzd", "quarantined_lines"]
     return m.rpt_ledger_reconciliation.select(*columns)
 
 
-@query
+@single_pass
 def join_full_using_multi(m: Models) -> DataFrame:
     """Three facts side by side by month and region; a NULL region of one fact meets no other."""
     wanted = ["revenue", "orders", "ad_spend", "shipments_due"]
     return layer(m).frame(wanted, ["date", "region"])
 
 
-@query
+@single_pass
 def join_cross_scalar(m: Models) -> DataFrame:
     """Facts without a grouping are one row each, placed together."""
     return layer(m).frame(["attributed_revenue", "ad_spend", "roas"])
 
 
-@query
+@single_pass
 def anti_join_missing(m: Models) -> DataFrame:
     return marts.missing_products(m.priced_lines, m.stg_materials)
 
@@ -488,24 +498,24 @@ def join_outer_indicator(m: Models) -> DataFrame:
 # aggregations
 
 
-@query
+@single_pass
 def agg_order_rollup(m: Models) -> DataFrame:
     return m.int_sales_orders.select("order_id", "sales_channel", "order_type", "line_count", "units", "revenue_nzd")
 
 
-@query
+@single_pass
 def agg_conditional_sum(m: Models) -> DataFrame:
     costed = aggregates.sum_if(F.col("has_cost"), F.col("revenue_nzd"))
     return m.fct_sales_lines.groupBy("sales_channel", "product_category").agg(costed.alias("costed_revenue_nzd"))
 
 
-@query
+@single_pass
 def agg_conditional_distinct(m: Models) -> DataFrame:
     orders = aggregates.distinct_if(F.col("order_type") == "sale", F.col("order_id"))
     return m.fct_sales_lines.groupBy("sales_channel", "region_code").agg(orders.alias("orders"))
 
 
-@query
+@single_pass
 def agg_conditional_avg(m: Models) -> DataFrame:
     late = aggregates.avg_if(~F.col("is_on_time"), F.col("days_late"))
     return m.fct_shipments.groupBy("carrier", "region_code").agg(late.alias("avg_days_late"))
@@ -552,7 +562,7 @@ def agg_distinct(m: Models) -> DataFrame:
     return m.feeds.till_lines().select("store_id", "sku").distinct()
 
 
-@query
+@single_pass
 def agg_global(m: Models) -> DataFrame:
     return m.fct_sales_lines.agg(
         F.count("*").alias("lines"),
@@ -630,20 +640,20 @@ def _monthly_channel(m: Models) -> DataFrame:
     )
 
 
-@query
+@single_pass
 def win_lag_delta(m: Models) -> DataFrame:
     change = F.col("revenue") - F.lag("revenue").over(ranking.sequence_of(["month"], ["sales_channel"]))
     return _monthly_channel(m).select("month", "sales_channel", money.rounded(change, 2).alias("change"))
 
 
-@query
+@single_pass
 def win_lag_pct(m: Models) -> DataFrame:
     prior = F.lag("revenue").over(ranking.sequence_of(["month"], ["sales_channel"]))
     pct = F.lit(100.0) * (safe_ratio(F.col("revenue"), prior) - 1)
     return _monthly_channel(m).select("month", "sales_channel", round_double(pct, 4).alias("change_pct"))
 
 
-@query
+@single_pass
 def win_running_total(m: Models) -> DataFrame:
     so_far = F.sum("revenue").over(ranking.running(["month"], ["sales_channel"]))
     return _monthly_channel(m).select("month", "sales_channel", money.rounded(so_far, 2).alias("to_date"))
@@ -655,13 +665,13 @@ def _category_months(m: Models) -> DataFrame:
     )
 
 
-@query
+@single_pass
 def win_rank(m: Models) -> DataFrame:
     place = F.rank().over(Window.partitionBy("month").orderBy(*descending("profit")))
     return _category_months(m).select("month", "product_category", place.alias("place"))
 
 
-@query
+@single_pass
 def win_dense_rank(m: Models) -> DataFrame:
     place = F.dense_rank().over(Window.partitionBy("month").orderBy(*descending("revenue")))
     return _category_months(m).select("month", "product_category", place.alias("place"))
@@ -675,7 +685,7 @@ def win_share_of_total(m: Models) -> DataFrame:
     )
 
 
-@query
+@single_pass
 def win_vs_partition_avg(m: Models) -> DataFrame:
     months = reports.store_months(m.fct_sales_lines, m.stg_stores)
     usual = F.avg(F.col("revenue").cast("double")).over(Window.partitionBy("store_name"))
@@ -683,7 +693,7 @@ def win_vs_partition_avg(m: Models) -> DataFrame:
     return months.select("store_name", F.col("m").alias("month"), round_double(versus, 4).alias("vs_average_pct"))
 
 
-@query
+@single_pass
 def win_centred_smooth(m: Models) -> DataFrame:
     return weekly.smoothed_daily_revenue(m.attributed_orders)
 
@@ -697,13 +707,13 @@ def sort_nulls_last(m: Models) -> DataFrame:
     return layer(m).query(["ad_spend"], ["region", "marketing_channel"], order_by=[("region", False), ("ad_spend", True)])
 
 
-@query
+@single_pass
 def limit_clamp(m: Models) -> DataFrame:
     """A reader gets exactly as many rows as asked for."""
     return layer(m).query(["revenue"], ["date", "region", "product_category"], grain="day", limit=2500)
 
 
-@query
+@single_pass
 def topn_per_group_dense(m: Models) -> DataFrame:
     monthly = reports.product_months(m.fct_sales_lines)
     best = ranking.top_by_rank(monthly, ["month"], "revenue_nzd", 10, "place", dense=True)
@@ -720,7 +730,7 @@ def topn_per_group_rank(m: Models) -> DataFrame:
 # set operations
 
 
-@query
+@single_pass
 def union_channels(m: Models) -> DataFrame:
     return m.priced_lines.select(*marts.LINE_COLUMNS)
 
@@ -730,7 +740,7 @@ def union_platforms(m: Models) -> DataFrame:
     return m.stg_ad_spend
 
 
-@query
+@single_pass
 def union_inferred_members(m: Models) -> DataFrame:
     return m.dim_products.select("product_id", "description", "product_category", "is_inferred")
 
@@ -850,27 +860,27 @@ def fn_number_tokens(m: Models) -> DataFrame:
 # analyst queries
 
 
-@query
+@single_pass
 def q_running_total(m: Models) -> DataFrame:
     return reports.channel_running_total(m.fct_sales_lines)
 
 
-@query
+@single_pass
 def q_rank_within_group(m: Models) -> DataFrame:
     return reports.best_products_per_category(m.fct_sales_lines, m.stg_materials)
 
 
-@query
+@single_pass
 def q_cohort_retention(m: Models) -> DataFrame:
     return reports.cohort_retention(m.attributed_orders, m.stg_web_orders)
 
 
-@query
+@single_pass
 def q_period_over_period(m: Models) -> DataFrame:
     return reports.period_over_period(m.fct_sales_lines, m.stg_stores)
 
 
-@query
+@single_pass
 def q_dedup_audit(m: Models) -> DataFrame:
     return reports.duplicate_audit(m.feeds["pos_transactions"])
 
@@ -878,17 +888,17 @@ def q_dedup_audit(m: Models) -> DataFrame:
 # metric layer
 
 
-@query
+@single_pass
 def metric_simple(m: Models) -> DataFrame:
     return layer(m).frame(["revenue", "gross_profit", "costed_revenue", "units_sold"], ["sales_channel"])
 
 
-@query
+@single_pass
 def metric_ratio(m: Models) -> DataFrame:
     return layer(m).frame(["gross_margin"], ["product_category"])
 
 
-@query
+@single_pass
 def metric_multi_fact(m: Models) -> DataFrame:
     return layer(m).frame(["attributed_revenue", "ad_spend", "roas"], ["date", "marketing_channel"])
 
@@ -903,13 +913,13 @@ def metric_by_grain(m: Models) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query
+@single_pass
 def metric_by_dimension(m: Models) -> DataFrame:
     """Delivery by the shipment's own carrier and by the region's country, one join away."""
     return layer(m).frame(["shipments_due", "on_time_shipments", "on_time_delivery_rate"], ["carrier", "country"])
 
 
-@query
+@single_pass
 def metric_filters(m: Models) -> DataFrame:
     filters = [
         Filter("region", "in", ["Auckland", "Sydney", "Melbourne"]),

@@ -8,7 +8,9 @@ import pytest
 import shop
 
 from catalogue import landing
+from catalogue.queries import QUERIES, models
 from tillmark.plans import as_delivered
+from tillmark.plans import models as plans
 from tillmark.sources import shared, star_schema
 
 DAY = datetime(1995, 3, 4)
@@ -27,6 +29,8 @@ TABLES = {
     ),
     "events": ("event_id long, ts timestamp, user_id long, event_type string, value double", [(1, datetime(2024, 1, 2), 3, "click", 1.5)]),
 }
+ONCE = "dim_sales_channels win_vs_partition_avg metric_simple join_left_on_coalesced join_full_using_multi win_running_total q_cohort_retention"
+NAIVE = "naive_monthly_sales naive_marketing naive_delivery"
 
 
 @pytest.fixture
@@ -36,6 +40,21 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_lines_are_read_in_place(spark, folder):
+    lines = models(spark, folder).feeds.lines(1)
+    assert all(folder in f for f in lines.inputFiles()) and lines.count() == 3
+
+
+def test_a_fact_that_is_read_once_is_not_written(spark, folder, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a whole table is written")
+
+    monkeypatch.setattr(plans, "written", refused)
+    monkeypatch.setattr(as_delivered, "written", refused)
+    for name in (*ONCE.split(), *NAIVE.split()):
+        assert QUERIES[name](spark, folder).count() > 0, name
+
+
 def test_a_report_prices_only_what_it_reads(spark, tmp_path, monkeypatch):
     m = shop.models(spark, tmp_path)
     made = as_delivered.AsDelivered(m.feeds, m.material_groups, m.dim_regions, stored=True)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from datetime import date, datetime
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +70,10 @@ def _monthly_file(prefix: str, day: Column) -> Column:
 
 
 class StarSchemaFeeds(Mapping[str, DataFrame]):
-    """Feeds by name; a feed's tables are opened when it is asked for.
+    """Feeds by name; a feed's tables are opened when it is asked for, and read in place: a feed of lines is a filter on its scan."""
 
-    With ``stored`` the lines of all channels are written once, a folder for each channel, and feeds of lines read their own.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, stored: bool = False) -> None:
-        self.spark, self.folder, self.stored = spark, folder, stored
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[[], DataFrame]] = {
@@ -122,18 +118,10 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         listed = F.col("l_extendedprice").cast("decimal(12,2)")
         discount = F.col("l_discount").cast("decimal(4,2)")
         amount = F.round(listed * (F.lit(1).cast("decimal(4,2)") - discount), 2).cast("decimal(12,2)")
-        rows = self._stored_lines if self.stored else self._channelled
+        rows = self.table("lineitem").withColumn("channel", (F.col("l_orderkey") % 3).cast("int"))
         chosen = rows.filter(F.col("channel").isin(*channels)) if channels else rows
         return chosen.withColumn("listed", listed).withColumn("amount", amount)
 
-    @property
-    def _channelled(self) -> DataFrame:
-        return self.table("lineitem").withColumn("channel", (F.col("l_orderkey") % 3).cast("int"))
-
-    @cached_property
-    def _stored_lines(self) -> DataFrame:
-        return written(self._channelled.hint("rebalance"), "lines", "channel")
-
     # master data
 
     def _materials(self) -> DataFrame:
