@@ -9,9 +9,10 @@ import shop
 
 from catalogue import landing
 from catalogue.queries import QUERIES, models
-from tillmark.plans import as_delivered
+from tillmark.operators.ranking import number_rows
+from tillmark.plans import as_delivered, reports, staging
 from tillmark.plans import models as plans
-from tillmark.sources import shared, star_schema
+from tillmark.sources import shared, sinks, star_schema
 
 DAY = datetime(1995, 3, 4)
 TABLES = {
@@ -70,3 +71,56 @@ def test_the_landing_zone_is_compressed(spark, folder):
     sent = star_schema.StarSchemaFeeds(spark, folder)["ecom_orders"]
     assert sorted(r.order_id for r in back.collect()) == sorted(r.order_id for r in sent.collect())
     assert shared.names_in(spark, root) == ["ecom_orders"]
+
+
+@pytest.fixture
+def stores(monkeypatch):
+    """What the models write: name -> rows."""
+    seen, real = {}, plans.written
+
+    def noted(df, name, *folders, **more):
+        seen[name] = df
+        return real(df, name, *folders, **more)
+
+    monkeypatch.setattr(plans, "written", noted)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["dq_results", "dq_expected_vs_fired", "dq_unexplained", "dq_alert_summary", "failures_sink"])
+def test_an_audit_stores_only_the_lines_that_many_relations_are_made_of(spark, folder, stores, name):
+    assert QUERIES[name](spark, folder).count() > 0
+    assert set(stores) == {"stg_pos_lines", "priced_lines"}
+
+
+def test_no_row_travels_for_the_layout_by_month(spark, folder, stores, monkeypatch):
+    QUERIES["table_diff_examples"](spark, folder).count()
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert {"priced_lines", "int_sales_orders", "fct_shipments"} <= set(stores)
+    assert not [n for n, df in stores.items() if "Rebalance" in optimized(df)]
+
+
+def test_tills_are_cleaned_once_for_the_lines_the_ledger_and_the_marts(spark, folder, monkeypatch):
+    made, real = [], staging.pos_lines
+    monkeypatch.setattr(staging, "pos_lines", lambda *x: made.append(1) or real(*x))
+    QUERIES["mart_sink"](spark, folder).count()
+    assert len(made) == 1
+
+
+def test_stored_marts_are_laid_out_without_a_shuffle(spark, tmp_path):
+    wide = spark.range(0, 4000, 1, 4).selectExpr("id", "date_add(date'2026-01-01', cast(id % 90 as int)) as d")
+    sinks.write_mart(wide, str(tmp_path / "m"), "d")
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    # rows of four tasks in three months: each task wrote its own
+    assert stored.count() == 4000 and len(stored.inputFiles()) == 12
+
+
+def test_rows_are_numbered_without_another_shuffle(spark):
+    plan = number_rows(spark.range(100).selectExpr("id % 3 as g", "id"), ["g"], [("id", True)], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_products_of_a_month_do_not_travel_for_its_total(spark, tmp_path):
+    m = shop.models(spark, tmp_path)
+    best = reports.top_products(m.fct_sales_lines, m.stg_materials)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == reports.product_months(m.fct_sales_lines)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.ordering import ascending, by
-from tillmark.sources.shared import discard, written
+from tillmark.sources.shared import FACTS, discard, written
 
 #: Rows of a piece that one task sorts.
 PIECE_ROWS = 250_000
@@ -34,13 +34,14 @@ def top_by_rank(
     return df.withColumn(rank, position.over(spec)).filter(F.col(rank) <= n)
 
 
-def with_share(df: DataFrame, group: Sequence[str], field: str, total: str) -> DataFrame:
+def with_share(df: DataFrame, group: Sequence[str], field: str, total: str, totals: DataFrame | None = None) -> DataFrame:
     """Adds the group total of ``field``. Totals are summed before the shuffle and joined back by key.
 
-    The rows are needed twice, for the totals and for themselves; where an aggregate made them, Spark reuses its shuffle.
+    The rows are needed twice, for the totals and for themselves; where an aggregate made them, Spark reuses its shuffle if it reads the
+    same columns. ``totals`` (the group and ``total``) may give the totals instead.
     """
     keys = list(group)
-    totals = df.groupBy(*keys).agg(F.sum(field).alias(total))
+    totals = df.groupBy(*keys).agg(F.sum(field).alias(total)) if totals is None else totals
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     return df.alias("r").join(totals.alias("t"), same).select("r.*", F.col(f"t.{total}"))
 
@@ -68,7 +69,7 @@ def number_rows(
     keys = list(group)
     full_order = [*ascending(*keys), *by(order)]
     slot = F.monotonically_increasing_id()
-    rows = written(df, "to-number")
+    rows = written(df, "to-number", codec=FACTS)
     pieces_wanted = max(1, -(-rows.count() // piece_rows))
     placed = written(
         rows.repartitionByRange(pieces_wanted, *full_order)
@@ -76,11 +77,13 @@ def number_rows(
         .withColumn("_part", F.shiftright(slot, 33))
         .withColumn("_slot", slot),
         "numbered",
+        codec=FACTS,
     )
     discard(rows)
     pieces = placed.groupBy("_part", *keys).agg(F.min("_slot").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    # Written, so that its size is known before the join and not all rows travel again for it.
+    pieces = written(pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))), "pieces")
     same = [F.col("r._part") == F.col("p._part"), *(F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys)]
     position = (F.col("r._slot") - F.col("p._first") + F.col("p._before") + 1).cast("int").alias(name)
     return placed.alias("r").join(pieces.alias("p"), same).select(*(F.col(f"r.{c}") for c in df.columns), position)

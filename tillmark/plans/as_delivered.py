@@ -26,7 +26,7 @@ from tillmark.functions.money import (
 from tillmark.operators.aggregates import count_if, distinct_if
 from tillmark.plans import staging
 from tillmark.sources import seeds
-from tillmark.sources.shared import written
+from tillmark.sources.shared import FACTS, written
 
 REPORTS = ("monthly_sales", "monthly_category_margin", "monthly_marketing", "monthly_delivery")
 VALUES = ["day", "channel", "region_code", "order_id", "quantity", "amount", "currency", "is_sale", "marketing_channel"]
@@ -188,7 +188,7 @@ class AsDelivered:
     @cached_property
     def sales(self) -> DataFrame:
         priced = sales(self.feeds, self.materials, self.fx)
-        return written(priced, "sales_as_delivered") if self.stored else priced
+        return written(priced, "sales_as_delivered", codec=FACTS) if self.stored else priced
 
     def report(self, name: str) -> DataFrame:
         """One report; the lines are priced only for those that read them."""

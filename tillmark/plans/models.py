@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillmark.functions.dates import MONTH, date_series, month_of
 from tillmark.plans import marts, reports, staging
 from tillmark.sources import seeds
-from tillmark.sources.shared import written
+from tillmark.sources.shared import FACTS, written
 
 FISCAL_YEAR = (date(2025, 4, 1), date(2026, 3, 31))
 TIME_SPINE = (date(2024, 1, 1), date(2027, 12, 31))
@@ -196,15 +196,16 @@ class Models:
 
 class StoredModels(Models):
     """Models whose line, order and other facts are written on first use, as marts are, and read by everything after. Facts are split
-    by month and keep the month, so a dated question opens the months it asks for."""
+    by month and keep the month, so a dated question opens the months it asks for. Each task writes its own rows of a month: a shuffle
+    of whole facts by month would cost more than all other steps that make them."""
 
     def _by_month(self, name: str, day: str) -> DataFrame:
         rows = getattr(Models, name).func(self).withColumn(MONTH, month_of(day))
-        return written(rows.hint("rebalance", MONTH), name, MONTH)
+        return written(rows, name, MONTH, codec=FACTS)
 
     @cached_property
     def stg_pos_lines(self) -> DataFrame:
-        return written(Models.stg_pos_lines.func(self), "stg_pos_lines")
+        return written(Models.stg_pos_lines.func(self), "stg_pos_lines", codec=FACTS)
 
     @cached_property
     def stored_lines(self) -> DataFrame:

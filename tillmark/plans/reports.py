@@ -16,6 +16,7 @@ from tillmark.operators.joins import beside_scalars, facts_together
 from tillmark.operators.ranking import running, sequence_of, top_by_rank, with_share
 from tillmark.plans.marts import INFERRED_DESCRIPTION
 from tillmark.plans.staging import first_copies
+from tillmark.sources.shared import written
 
 def monthly_sales(lines: DataFrame) -> DataFrame:
     """Month x channel x region, with the change on the prior month present and the running total.
@@ -113,8 +114,14 @@ def product_months(lines: DataFrame) -> DataFrame:
 
 
 def top_products(lines: DataFrame, materials: DataFrame, n: int = 10) -> DataFrame:
-    """The best sellers of each month. Only the winners are given their description."""
-    monthly = with_share(product_months(lines), ["month"], "revenue_nzd", "month_revenue")
+    """The best sellers of each month. Only the winners are given their description.
+
+    The totals of the months come from the lines and are written, a row a month, so the products of a month do not travel for them.
+    """
+    products = product_months(lines)
+    revenue = F.sum(F.col("revenue_nzd").cast(products.schema["revenue_nzd"].dataType)).alias("month_revenue")
+    totals = written(lines.groupBy(month_of("order_date").alias("month")).agg(revenue), "month-totals")
+    monthly = with_share(products, ["month"], "revenue_nzd", "month_revenue", totals)
     winners = top_by_rank(monthly, ["month"], "revenue_nzd", n, "revenue_rank", dense=True)
     return described(winners, materials).select(
         "month",

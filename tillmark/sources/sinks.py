@@ -44,14 +44,15 @@ def split_by(relation: str) -> str | None:
 def write_mart(df: DataFrame, path: str, date_column: str | None = None) -> DataFrame:
     """Replaces the stored mart and returns it as read back. Facts are split by month, so date ranges prune files.
 
-    Rows are spread by month and a hash, so a month with a third of all rows is written by many tasks.
+    Every task writes the rows that it has of each month, so no row travels for the sake of the layout, and a month with a third
+    of all rows is written by many tasks.
     """
     spark = df.sparkSession
     if date_column is None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=shared.FACTS)
         return spark.read.schema(df.schema).parquet(path)
     by_month = df.withColumn(MONTH, month_of(date_column))
-    by_month.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    by_month.write.mode("overwrite").partitionBy(MONTH).parquet(path, compression=shared.FACTS)
     return spark.read.parquet(path).select(*df.columns, MONTH)
 
 
@@ -69,13 +70,15 @@ def build_marts(models: Models, root: str, marts: Mapping[str, tuple[str, str |
     ``root/published`` makes it the current one. A refresh that fails leaves the marts as they were. The version before stays for
     those who still read it; older ones, published or not, are removed.
 
-    Returns models that read what is stored so far: a report is computed from the stored facts, not from the feeds.
+    Returns models that read what is stored so far: a report is computed from the stored facts, not from the feeds. Cleaned till
+    lines are taken from ``models``, which may have stored them, and priced lines and the reconciliation read one copy of them.
     """
     spark = models.spark
     version = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     folder = f"{root}/versions/{version}"
     built = Models(spark, models.feeds, models.as_of, models.calendar)
-    for name in ("priced_lines", "int_sales_orders"):
+    built.replace("stg_pos_lines", models.stg_pos_lines)
+    for name in ("stg_pos_lines", "priced_lines", "int_sales_orders"):
         built.replace(name, write_mart(getattr(built, name), f"{folder}/intermediate/{name}"))
     for name, (layer, date_column) in marts.items():
         _replace(built, name, write_mart(getattr(built, name), f"{folder}/{layer}/{name}", date_column))

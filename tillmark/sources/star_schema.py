@@ -70,10 +70,13 @@ def _monthly_file(prefix: str, day: Column) -> Column:
 
 
 class StarSchemaFeeds(Mapping[str, DataFrame]):
-    """Feeds by name; a feed's tables are opened when it is asked for, and read in place: a feed of lines is a filter on its scan."""
+    """Feeds by name; a feed's tables are opened when it is asked for, and read in place: a feed of lines is a filter on its scan.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    Finance books cleaned till lines. ``cleaned`` may give a stored copy of them; without it they are made here.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, cleaned: Callable[[], DataFrame] | None = None) -> None:
+        self.spark, self.folder, self.cleaned = spark, folder, cleaned or self._cleaned
         self._made: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[[], DataFrame]] = {
@@ -236,10 +239,12 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
             ).alias("_source_file"),
         )
 
+    def _cleaned(self) -> DataFrame:
+        return staging.pos_lines(self["pos_transactions"], staging.stores(self["erp_stores"]))
+
     def _ledger(self) -> DataFrame:
         """Finance books what the tills took once cleaned, and 1.00 too much on the 13th of each month."""
-        stores = staging.stores(self["erp_stores"])
-        valid = staging.pos_lines(self["pos_transactions"], stores).filter("is_valid")
+        valid = self.cleaned().filter("is_valid")
         rates = staging.fx_rates(self["erp_fx_rates"]).withColumnRenamed("rate_date", "txn_date")
         nzd = to_nzd(F.col("line_total"), F.col("currency"), F.col("aud_nzd_rate"))
         days = (
