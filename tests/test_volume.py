@@ -115,7 +115,12 @@ def test_stored_marts_are_laid_out_without_a_shuffle(spark, tmp_path):
 
 
 def test_rows_are_numbered_without_another_shuffle(spark):
-    plan = number_rows(spark.range(100).selectExpr("id % 3 as g", "id"), ["g"], [("id", True)], "n")._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(200_000).selectExpr("id % 3 as g", "xxhash64(id) as id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        plan = number_rows(rows, ["g"], [("id", True)], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
