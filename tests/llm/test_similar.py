@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillmark.llm import jaccard, lines
+from tillmark.llm import components, jaccard, lines
 from tillmark.llm.components import connected
+from tillmark.llm.similar import in_blocks, shared_buckets
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +69,32 @@ def test_components_of_links(spark, held):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_no_rounds_of_stars(spark, monkeypatch):
+    """A chain dealt over many partitions, which shrinks by a round of stars only slowly."""
+    rounds, stored = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or stored(df, name))
+    links = spark.range(400).selectExpr("id as a", "id + 1 as b").repartition(16)
+    assert {r["component"] for r in connected(links).collect()} == {0} and len(rounds) == 2
+
+
+def test_signatures_of_the_same_ids_are_one_bucket(spark):
+    """Two near copies share nearly all of their signatures, but are met once."""
+
+    def signed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sigs = [s * 0x61C8864680B583EB % 2**63 for i in batch.column(0).to_pylist() for s in range(200 * (i // 2), 200 * (i // 2) + 190 + i)]
+            ids = [i for i in batch.column(0).to_pylist() for _ in range(190 + i)]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(ids, pa.int64())], names=["sig", "id"])
+
+    blocks = spark.range(0, 6, 1, 3).mapInArrow(in_blocks(signed), "bucket int, pairs binary")
+    assert sum(len(r["pairs"]) for r in blocks.collect()) == 13 * sum(190 + i for i in range(6))
+    found = shared_buckets(blocks).collect()
+    assert sorted(r["id"] for r in found) == [0, 1, 2, 3, 4, 5]
+    assert len({r["sig"] for r in found}) == 3 and all(len({r["sig"] for r in found if r["id"] // 2 == k}) == 1 for k in range(3))
+
+
 def test_jaccard_join_against_brute_force(spark, documents, prose):
     texts = corpus(prose)
     random.Random(3).shuffle(texts)

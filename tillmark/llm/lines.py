@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.jaccard import mixed
-from tillmark.llm.similar import WORDS, in_blocks, maybe_among, outline, outline_fields, shared_buckets, similar_components
+from tillmark.llm.similar import WORDS, in_blocks, maybe_among, mixed, outline, outline_fields, shared_buckets, similar_components
 from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
