@@ -159,6 +159,34 @@ def test_tree_matching_as_published():
         assert all(x.tag == y.tag for x, y in pairs)
 
 
+def test_what_two_pages_share_is_not_matched_again(monkeypatch):
+    """Equal trees, and the equal children that two levels begin with, are paired off without comparing all with all."""
+    calls, matched = [], pages._matching
+    monkeypatch.setattr(pages, "_matching", lambda xs, ys, sizes: calls.append((xs, ys)) or matched(xs, ys, sizes))
+    item = "<ul><li><a>x</a></li><li><b>y</b></li></ul>"
+    one, other = pages.parse(f"<div>{item * 30}</div>"), pages.parse(f"<div>{item * 30}<h1>z</h1></div>")
+    pairs = []
+    assert pages.align(one, one, pairs) == len(pairs) == 2 + 30 * 5 and all(a is b for a, b in pairs) and not calls
+    pairs.clear()
+    assert pages.align(one, other, pairs) == len(pairs) == 2 + 30 * 5 and all(len(xs) * len(ys) <= 1 for xs, ys in calls)
+
+
+@pytest.mark.parametrize("narrow", [0, 600])
+def test_levels_are_matched_alike_with_and_without_arrays(monkeypatch, narrow):
+    monkeypatch.setattr(pages, "NARROW", narrow)
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = {(x, y): rng.randint(1, 4) for x in range(4) for y in range(4) if rng.random() < 0.7}
+        xs, ys = (tuple(rng.choices(range(4), k=rng.randint(0, 7))) for _ in range(2))
+        size, places = pages._matching(xs, ys, sizes)
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + sizes.get((x, y), 0))
+        assert size == best[-1][-1] == sum(sizes[xs[i], ys[j]] for i, j in places)
+        assert all(a > c and b > d for (a, b), (c, d) in zip(places, places[1:], strict=False))
+
+
 def test_wide_levels_are_aligned_whole():
     """700 children, one more in front and a constant node in the middle."""
     page = lambda n, front: front + "".join("<h5>house rules</h5>" if i == 350 else f"<div>{n} {i}</div>" for i in range(700))

@@ -46,6 +46,8 @@ LAYOUTS, DEPTH = 4, 3
 MANY, SHARE = 4, 0.7
 #: Nodes of references that a task adds up before it hands them on, and hosts whose references it remembers.
 HELD, HOSTS = 50_000, 500
+#: Pairs of children up to which two levels are matched without arrays.
+NARROW = 600
 
 # Elements by their use in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,10 +192,22 @@ def _shapes(roots: list[Node]) -> tuple[dict[int, int], list[tuple[str, tuple[in
     return of, list(found)
 
 
+def _alike(xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+    """How many children two levels begin with that have the same shapes. A largest matching pairs them off, and no other is larger."""
+    n = 0
+    for x, y in zip(xs, ys, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def _matching(xs: tuple[int, ...], ys: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
-    """The size of the largest order-preserving matching of two levels, and its places. Two bits a pair are held."""
+    """The size of the largest order-preserving matching of two levels, and its places. Wide levels are held as two bits a pair."""
     if not xs or not ys:
         return 0, []
+    if len(xs) * len(ys) <= NARROW:
+        return _narrow(xs, ys, sizes)
     distinct, place = np.unique(np.array(ys), return_inverse=True)
     rows = {x: np.array([sizes.get((x, y), 0) for y in distinct.tolist()], np.int64) for x in set(xs)}
     best, above, beside = np.zeros(len(ys) + 1, np.int64), [], []
@@ -215,29 +229,66 @@ def _matching(xs: tuple[int, ...], ys: tuple[int, ...], sizes: dict[tuple[int, i
     return int(best[-1]), out
 
 
+def _narrow(xs: tuple[int, ...], ys: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """What ``_matching`` finds, without arrays, which cost more than they spare where there are few pairs."""
+    last = [0] * (len(ys) + 1)
+    table = [last]
+    for x in xs:
+        best, left = [0], 0
+        for j, y in enumerate(ys):
+            left = max(left, last[j + 1], last[j] + sizes.get((x, y), 0))
+            best.append(left)
+        table.append(best)
+        last = best
+    i, j, out = len(xs), len(ys), []
+    while i and j:
+        size = table[i][j]
+        if size == table[i - 1][j]:
+            i -= 1
+        elif size == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return last[-1], out
+
+
 def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
     """Simple tree matching of two trees with the same root tag: the size of the largest matching, its pairs added. Sizes
-    depend on the tags alone, so those of two shapes are found once, however many nodes have them."""
+    depend on the tags alone, so those of two shapes are found once, however many nodes have them; a shape matches itself whole."""
     of, shapes = _shapes([a, b])
-    sizes: dict[tuple[int, int], int] = {}
+    whole: list[int] = []  # children have lower numbers than their parent
+    for _, own in shapes:
+        whole.append(1 + sum(map(whole.__getitem__, own)))
+    sizes = {(x, x): size for x, size in enumerate(whole)}
+    found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     todo = [(of[id(a)], of[id(b)])]
     while todo:
         x, y = todo[-1]
         if (x, y) not in sizes:
             xs, ys = shapes[x][1], shapes[y][1]
-            open_ = [(p, q) for p in set(xs) for q in set(ys) if shapes[p][0] == shapes[q][0] and (p, q) not in sizes]
+            n = _alike(xs, ys)
+            first, xs, ys = xs[:n], xs[n:], ys[n:]
+            open_ = [(p, q) for p in set(xs) for q in set(ys) if (p, q) not in sizes and shapes[p][0] == shapes[q][0]]
             if open_:
                 todo.extend(open_)
                 continue
-            sizes[x, y] = 1 + _matching(xs, ys, sizes)[0]
+            size, places = _matching(xs, ys, sizes)
+            found[x, y] = n, places
+            sizes[x, y] = 1 + sum(map(whole.__getitem__, first)) + size
         todo.pop()
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
+        shape = of[id(x)], of[id(y)]
         xs, ys = x.elements(), y.elements()
-        places = _matching(shapes[of[id(x)]][1], shapes[of[id(y)]][1], sizes)[1]
-        stack.extend((xs[i], ys[j]) for i, j in places)
+        if shape[0] == shape[1]:
+            stack.extend(zip(xs, ys, strict=True))
+            continue
+        n, places = found[shape]
+        stack.extend(zip(xs[:n], ys[:n], strict=True))
+        stack.extend((xs[n + i], ys[n + j]) for i, j in places)
     return sizes[of[id(a)], of[id(b)]]
 
 
