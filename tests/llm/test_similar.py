@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillmark.llm import components, jaccard, lines
+from tillmark.llm import components, jaccard, lines, similar
 from tillmark.llm.components import connected
 from tillmark.llm.similar import in_blocks, shared_buckets
 
@@ -95,6 +95,29 @@ def test_signatures_of_the_same_ids_are_one_bucket(spark):
     assert len({r["sig"] for r in found}) == 3 and all(len({r["sig"] for r in found if r["id"] // 2 == k}) == 1 for k in range(3))
 
 
+@pytest.mark.parametrize("high", [2, None])
+def test_a_pair_of_many_buckets_meets_once(spark, high):
+    fields = ", ".join(f"{w} long" for w in similar.outline_fields())
+    # 1 to 4 share 40 buckets, each with one of the ids 10 to 49 besides, so that no two buckets have the same ids.
+    rows = [(s, i, place, i, 100, *[0] * similar.WORDS) for s in range(40) for place, i in enumerate([1, 2, 3, 4, 10 + s], 1)]
+    table = spark.createDataFrame(rows, f"sig long, id long, place long, component long, size long, {fields}")
+    active = similar._with_least(table, high)
+    pairs = [(r.a, r.b) for r in similar._meetings(active, 80, high, 5).collect()]
+    last = high or 4
+    wanted = {(a, b) for a in range(1, last + 1) for b in [2, 3, 4, *range(10, 50)] if a < b}
+    assert sorted(pairs) == sorted(wanted)
+
+
+def test_pairs_without_a_least_signature_in_common_meet(spark):
+    fields = ", ".join(f"{w} long" for w in similar.outline_fields())
+    # The smallest signatures of 1 are shared with 3, those of 2 with 4; 1 and 2 share only large ones.
+    buckets = [(s, (1, 3)) for s in range(10)] + [(s, (2, 4)) for s in range(10, 20)] + [(s, (1, 2)) for s in range(20, 23)]
+    rows = [(s, i, place, i, 100, *[0] * similar.WORDS) for s, ids in buckets for place, i in enumerate(ids, 1)]
+    table = spark.createDataFrame(rows, f"sig long, id long, place long, component long, size long, {fields}")
+    found = similar._meetings(similar._with_least(table, None), 80, None, 2)
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 2), (1, 3), (2, 4)}
+
+
 def test_jaccard_join_against_brute_force(spark, documents, prose):
     texts = corpus(prose)
     random.Random(3).shuffle(texts)
@@ -206,6 +229,31 @@ def test_bands_find_similar_short_lines():
     assert np.mean((one == two).any(1)) > 0.985
 
 
+def test_lines_that_are_like_no_other_are_not_joined_with_documents(documents, monkeypatch):
+    kept, counts = lines.written, {}
+
+    def counted(table, name):
+        out = kept(table, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    alone = [f"{chr(97 + i) * 9} line {i * i * 7919} {chr(110 - i) * 8}" for i in range(12)]
+    near = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood"
+    texts = ["\n".join([*alone[:6], "a repeated line"]), "\n".join(["A  repeated line", *alone[6:]]), near, near + "s"]
+    left = {r.doc_id: r.text for r in lines.report(documents(list(enumerate(texts)))).collect()}
+    assert left == {0: texts[0], 1: "\n".join(alone[6:]), 2: near, 3: ""}
+    assert counts["line-firsts"] == 3  # the repeated line and the two that are similar
+
+
+def test_workers_do_not_load_pandas_for_the_pipeline():
+    import subprocess
+    import sys
+
+    code = "import sys; import tillmark.llm.quality, tillmark.llm.lines, tillmark.llm.jaccard, tillmark.llm.bpe; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=lines.__file__.rsplit("/tillmark/", 1)[0]).returncode == 0
+
+
 def test_lines_odd_rows(documents):
     line = "a line of more than twenty characters"
     docs = documents([(5, line), (5, line), (None, line), (6, f"{line}\n{line}")])

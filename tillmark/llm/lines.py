@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.similar import WORDS, in_blocks, maybe_among, mixed, outline, outline_fields, shared_buckets, similar_components
+from tillmark.llm.similar import WORDS, in_blocks, maybe_among, mixed, outline_fields, shared_buckets, similar_components
 from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
@@ -32,10 +31,10 @@ GRAM, PERCENT = 5, 80
 BANDS, ROWS = 22, 7
 BINS = BANDS * ROWS
 #: Characters of lines that are hashed at once, and classes that a task remembers.
-AT_ONCE, REMEMBERED = 200_000, 300_000
+AT_ONCE, REMEMBERED = 60_000, 300_000
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: So many that even a line of one gram fills nearly all bins by them; the bins of long lines are full after a few.
-_PROBES = np.random.default_rng(7).integers(0, BINS, (1024, BINS))
+_PROBES = np.random.default_rng(7).integers(0, BINS, (1024, BINS)).astype(np.int32)
 
 
 def normal(line: str) -> str:
@@ -76,13 +75,16 @@ def bins_of(lines: list[str]) -> np.ndarray:
     np.minimum.at(least, place, h.astype(np.uint32) >> np.uint32(1))  # never the empty mark
     filled = least.copy()
     open_ = np.flatnonzero(least == _EMPTY)
+    line, own = np.divmod(open_.astype(np.int32), np.int32(BINS))
+    line *= BINS
     for probe in _PROBES:
         if not len(open_):
             break
-        found = least[open_ - open_ % BINS + probe[open_ % BINS]]
+        found = least[line + probe[own]]
         there = found != _EMPTY
         filled[open_[there]] = found[there]
-        open_ = open_[~there]
+        empty = ~there
+        open_, line, own = open_[empty], line[empty], own[empty]
     if len(open_):  # no probe met a full bin: the least of the line
         filled[open_] = least.reshape(-1, BINS).min(1)[open_ // BINS]
     return filled.reshape(-1, BINS)
@@ -184,11 +186,25 @@ def line_texts(rows: DataFrame) -> DataFrame:
 def line_outlines(texts: DataFrame) -> DataFrame:
     """id, body, size and outline of each line's set of 5-grams."""
 
+    def outlined(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = gram_hashes(lines)
+        ends = np.cumsum([len(x) - GRAM + 1 for x in lines])
+        new = np.ones(len(hashes), bool)
+        start = 0
+        for end in ends.tolist():
+            own = hashes[start:end]
+            own.sort()
+            np.not_equal(own[1:], own[:-1], out=new[start + 1 : end])
+            start = end
+        owner = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))[new]
+        places = owner * (64 * WORDS) + (hashes[new] & np.uint64(64 * WORDS - 1)).astype(np.int64)
+        odd = np.bincount(places, minlength=len(lines) * 64 * WORDS).astype(np.uint8) & np.uint8(1)
+        return np.bincount(owner, minlength=len(lines)), np.packbits(odd).view("<i8").reshape(-1, WORDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(gram_hashes([x])) for x in batch.column(1).to_pylist()]
-            outlines = np.array([outline((s & np.uint64(64 * WORDS - 1)).astype(np.int64)) for s in sets], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, outlines.T)], names=["id", "body", "size", *outline_fields()])
+        for batch, lines in slices(batches, "body", AT_ONCE):
+            sizes, outlines = outlined(lines)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), *map(pa.array, outlines.T)], names=["id", "body", "size", *outline_fields()])
 
     return texts.select("id", "body").mapInArrow(frees(run), "id long, body string, size long, " + ", ".join(f"{w} long" for w in outline_fields()))
 
@@ -198,64 +214,78 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.col("text"))
     lines = written(line_digests(rows), "line-digests")
     first = F.min(F.struct("doc", "mark", "place")).alias("first")
-    classes = written(lines.groupBy("high", "low").agg(first).withColumn("cls", F.monotonically_increasing_id()), "line-classes")
+    counted = lines.groupBy("high", "low").agg(first, F.count("*").alias("n"))
+    classes = written(counted.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
     shared = written(shared_buckets(line_signatures(rows)), "line-signatures")
-    # Half a digest stands for a line until here; lines that share it by chance are more candidates, no more.
-    buckets = written(shared.join(classes.select(F.col("low").alias("id"), "cls"), "id").select("sig", F.col("cls").alias("id")), "line-buckets")
+    # Half a digest stands for a line until here; lines that share it by chance are more candidates, no more. Most classes are
+    # one line without a bucket, and only those with a bucket or with several lines are moved from here on.
+    ids = shared.select("id").distinct()
+    near = maybe_among(classes, "low", ids).join(ids.withColumnRenamed("id", "low"), "low")
+    wanted = written(near.select("low", "high", "first", F.col("cls").alias("id")), "line-candidates")
+    buckets = written(shared.join(wanted.select(F.col("low").alias("_low"), F.col("id").alias("cls")), F.col("id") == F.col("_low")).select("sig", F.col("cls").alias("id")), "line-buckets")
     discard(shared)
-    ids = buckets.select("id").distinct()
-    wanted = written(classes.select("low", "high", "first.mark", F.col("cls").alias("id")).join(ids, "id"), "line-candidates")
     # Only the texts are read again in which a wanted line stands first.
-    owners = maybe_among(rows, "mark", wanted.select("mark"))
-    texts = maybe_among(line_texts(owners), "low", wanted.select("low")).join(wanted.drop("mark"), ["high", "low"])
+    owners = maybe_among(rows, "mark", wanted.select("first.mark"))
+    texts = maybe_among(line_texts(owners), "low", wanted.select("low")).join(wanted.drop("first"), ["high", "low"])
     candidates = written(line_outlines(texts.groupBy("id").agg(F.min("line").alias("body"))), "line-bodies")
 
-    @F.pandas_udf("boolean")
-    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    @frees
+    def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         last, held = None, set()
         for left, right in batches:
             out = []
-            for a, b in zip(left, right, strict=True):
+            for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
                 if a != last:
                     last, held = a, grams(a)
                 other = grams(b)
                 both = len(held & other)
                 out.append(100 * both >= PERCENT * (len(held) + len(other) - both))
-            yield pd.Series(out, dtype=bool)
+            yield pa.array(out, pa.bool_())
 
-    found, stored = similar_components(buckets, candidates.drop("body"), PERCENT, lambda own: candidates.select("id", "body").join(own, "id"), similar), classes
-    discard(buckets, wanted, candidates)
+    found = similar_components(buckets, candidates.drop("body"), PERCENT, lambda own: candidates.select("id", "body").join(own, "id"), similar)
+    firsts = classes.filter("n > 1").select("high", "low", "first", "cls")
+    near = None
     if found is not None:
-        placed = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
-        classes = placed.drop("first").join(firsts, "component")
+        members = found.select("id", "component").union(found.select("component", "component").distinct())
+        placed = wanted.join(members, "id")
+        least = placed.groupBy("component").agg(F.min("first").alias("least"))
+        near = written(placed.join(least, "component").select("high", "low", F.col("least").alias("first"), F.col("id").alias("cls")), "line-components")
+        firsts = firsts.join(near.select("cls"), "cls", "left_anti").select(*near.columns).union(near)
+    firsts = written(firsts.drop("cls"), "line-firsts")
+    discard(buckets, wanted, candidates, classes, found, near)
     kept = F.struct(F.col("doc"), F.col("mark"), F.col("place"))
-    dropped = lines.join(classes.select("high", "low", "first"), ["high", "low"]).filter(~kept.eqNullSafe(F.col("first")))
+    dropped = maybe_among(lines, "low", firsts.select("low")).join(firsts, ["high", "low"]).filter(~kept.eqNullSafe(F.col("first")))
     places = written(dropped.groupBy("doc", "mark").agg(F.collect_set("place").alias("places")), "dropped-lines")
-    discard(lines, stored, found)
+    discard(lines, firsts)
     return places
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and its columns ``_lines`` and ``_dropped`` packed apart: (row, lines, dropped)."""
 
-    @F.pandas_udf("string")
-    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    @frees
+    def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, places in batches:
             out = []
-            for text, gone in zip(texts, places, strict=True):
-                if text is None or gone is None or not len(gone):
+            for text, gone in zip(texts, places, strict=True):  # one text at a time is a Python string
+                text, gone = text.as_py(), gone.as_py()
+                if text is None or not gone:
                     out.append(text)
                     continue
-                away = set(gone.tolist())
+                away = set(gone)
                 out.append("\n".join([line for i, line in enumerate(text.split("\n")) if i not in away]))
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, pa.string())
 
     gone = duplicate_lines(docs)
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_mark"))
     joined = packed.join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
-    text = without(F.col("row.text"), F.col("places"))
-    lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
+    # Only texts that lose a line are sent to Python.
+    loses = F.col("places").isNotNull()
+    text = F.when(loses, without(F.when(loses, F.col("row.text")), F.col("places"))).otherwise(F.col("row.text"))
+    feeds = F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit("")))
+    lines = F.when(F.col("row.text").isNull(), 0).otherwise(feeds + 1)
     return joined.select("row", text.alias("text"), lines.alias("lines"), F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).alias("dropped"))
 
 
