@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,21 +154,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> Column:
     """The score of ``docs.text`` as a column expression."""
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from frees(numbers)(texts)
 
-    def numbers(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def numbers(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = Sizes(model.good, model.bad) if model.weights else None
         weights = np.array(model.weights)
         for batch in texts:
             out = np.full(len(batch), model.empty)
             if sizes:
-                got = [(i, x) for i, t in enumerate(batch) if t and (x := sizes.features(t))]
+                got = [(i, x) for i, t in enumerate(x.as_py() for x in batch) if t and (x := sizes.features(t))]
                 if got:
                     z = _spread(np.clip(np.array([x for _, x in got]), model.low, model.high)) @ weights
                     out[[i for i, _ in got]] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return scored(docs["text"])
 
