@@ -95,6 +95,33 @@ def test_signatures_of_the_same_ids_are_one_bucket(spark):
     assert len({r["sig"] for r in found}) == 3 and all(len({r["sig"] for r in found if r["id"] // 2 == k}) == 1 for k in range(3))
 
 
+def test_ids_that_are_hashes_travel_in_few_bytes(spark, prose):
+    rows = spark.createDataFrame([(i, 0, prose(60 + i, 1)) for i in range(8)], "id long, mark long, text string").coalesce(1)
+    sets = [jaccard.shingles(prose(60 + i, 1)) for i in range(8)]
+    blocks = jaccard.set_signatures(rows, 5, 80)
+    assert sum(len(r["pairs"]) for r in blocks.collect()) == 9 * sum(len(jaccard.signatures(s, 80)) for s in sets)
+    lows = spark.createDataFrame([jaccard.fingerprint(s)[1:] for s in sets], "low long")
+    short = {r[0] for r in lows.select(similar.short("low")).collect()}
+    assert len(short) == 8 and all(0 <= x < 2**40 for x in short)
+    assert {r["id"] for r in shared_buckets(blocks, similar.HASHED).collect()} == short
+
+
+def test_bodies_go_straight_to_what_they_are_compared_with(spark, monkeypatch):
+    """No body is stored or gathered by its id, and rows that come twice change nothing."""
+    names, asked, stored = [], [], similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: names.append(name) or stored(df, name))
+    bodies = spark.createDataFrame([(i, f"{i % 3}") for i in range(6)] * 2, "id long, body string")
+
+    def bodies_of(ids):
+        asked.append(ids.count())
+        return ids.join(bodies, "id")
+
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 4), (1, 5)], "a long, b long")
+    found = similar._compared(pairs, bodies_of, lambda a, b: a == b)
+    assert {tuple(r) for r in found.collect()} == {(0, 1, False), (0, 2, False), (0, 3, True), (1, 4, True), (1, 5, False)}
+    assert sorted(asked) == [2, 5] and names == ["pairs", "compared"]
+
+
 @pytest.mark.parametrize("high", [2, None])
 def test_a_pair_of_many_buckets_meets_once(spark, high):
     fields = ", ".join(f"{w} long" for w in similar.outline_fields())

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import statistics
+import time
 
 import pytest
 import shop
@@ -37,6 +38,21 @@ def test_numbering_equals_a_window_with_a_hot_group(spark):
     assert parts == rows.filter("g = 'hot'").count()
 
 
+def test_what_a_written_table_shuffled_is_removed_at_once(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "/shuffle_" in x}
+
+    switch, before = spark.conf.get(shared.SWEEP), shuffled()
+    table = shared.written(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    deadline = time.monotonic() + 10  # files go in the background
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(shared.SWEEP) == switch
+    assert table.count() == 7
+    shared.discard(table)
+
+
 @pytest.mark.parametrize("partitions", ["8", "200"])
 def test_a_hot_group_is_numbered_in_balanced_pieces_of_any_session(spark, partitions):
     rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 90).otherwise(-1).alias("g"), F.lit(7).alias("v"), "id")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.similar import WORDS, in_blocks, maybe_among, mixed, outline_fields, shared_buckets, similar_components
+from tillmark.llm.similar import HASHED, WORDS, in_blocks, maybe_among, mixed, outline_fields, shared_buckets, short, similar_components
 from tillmark.llm.words import frees, slices
 from tillmark.sources.shared import discard, written
 
@@ -168,7 +168,7 @@ def line_signatures(rows: DataFrame) -> DataFrame:
         if held:
             yield signed()
 
-    return rows.mapInArrow(frees(in_blocks(run)), "bucket int, pairs binary")
+    return rows.mapInArrow(frees(in_blocks(run, HASHED)), "bucket int, pairs binary")
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
@@ -216,13 +216,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc", "mark", "place")).alias("first")
     counted = lines.groupBy("high", "low").agg(first, F.count("*").alias("n"))
     classes = written(counted.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
-    shared = written(shared_buckets(line_signatures(rows)), "line-signatures")
-    # Half a digest stands for a line until here; lines that share it by chance are more candidates, no more. Most classes are
+    shared = written(shared_buckets(line_signatures(rows), HASHED), "line-signatures")
+    # A part of a digest stands for a line until here; lines that share it by chance are more candidates, no more. Most classes are
     # one line without a bucket, and only those with a bucket or with several lines are moved from here on.
     ids = shared.select("id").distinct()
-    near = maybe_among(classes, "low", ids).join(ids.withColumnRenamed("id", "low"), "low")
+    near = maybe_among(classes.withColumn("_id", short("low")), "_id", ids).join(ids.withColumnRenamed("id", "_id"), "_id")
     wanted = written(near.select("low", "high", "first", F.col("cls").alias("id")), "line-candidates")
-    buckets = written(shared.join(wanted.select(F.col("low").alias("_low"), F.col("id").alias("cls")), F.col("id") == F.col("_low")).select("sig", F.col("cls").alias("id")), "line-buckets")
+    buckets = written(shared.join(wanted.select(short("low").alias("_low"), F.col("id").alias("cls")), F.col("id") == F.col("_low")).select("sig", F.col("cls").alias("id")), "line-buckets")
     discard(shared)
     # Only the texts are read again in which a wanted line stands first.
     owners = maybe_among(rows, "mark", wanted.select("first.mark"))
