@@ -168,6 +168,15 @@ def test_jaccard_join_odd_rows(documents):
     assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_only_rows_that_repeat_an_id_travel_to_be_one(spark, documents, prose):
+    rows = [(1, prose(50, 1)), (2, prose(50, 2)), (2, prose(50, 3)), (3, prose(50, 1)), (None, prose(50, 4)), (None, prose(50, 4)), (4, None), (4, None), (5, "")]
+    kept = jaccard.keep_one(documents(rows))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 2, 4, 5, None, None]
+    alone = jaccard.keep_one(documents([(i, prose(50, i % 5)) for i in range(9)]))
+    assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in alone.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_rows_that_repeat_an_id_with_other_texts_lose_no_link(documents, prose):
     one, other = prose(60, 1), prose(60, 2)
     rows = [(1, one), (2, one + " more"), (2, other), (3, other), (4, other + " again"), (5, prose(60, 3)), (6, prose(40, 4)), (6, None), (6, "")]
