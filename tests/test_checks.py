@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -164,6 +165,23 @@ def test_each_relation_is_scanned_once_for_all_its_findings(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "audit" / "dq_audit").iterdir() if p.is_dir()) == sorted(f"name={n}".replace(":", "%3A") for n in counted)
 
 
+def test_only_what_the_rules_look_at_travels_to_a_joined_relation(spark, tmp_path):
+    items = [(i, None if i % 9 == 0 else f"i{i % 20}", f"wide {i}") for i in range(60)]
+    spark.createDataFrame(items, "k int, id string, wide string").write.parquet(str(tmp_path / "items"))
+    spark.createDataFrame([(i, f"c{i % 3}") for i in range(50)] + [(1, None)], "k int, code string").write.parquet(str(tmp_path / "heads"))
+    spark.createDataFrame([("c1",)], "code string").write.parquet(str(tmp_path / "p"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    relation = lambda name: read("p") if name == "p" else read("items").join(read("heads"), "k", "left")
+    declared_ = [checks.unique("t", "id"), checks.not_null("t", "id"), checks.not_null("t", "code"), checks.relationships("t", "code", "p", "code"), checks.accepted_values("t", "code", "c2")]
+    found = checks.findings(declared_, relation)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert any("id#" in s and "wide#" not in s for s in scans)
+    for c in declared_:
+        rows = checks.failures(c, relation)
+        want = Counter(r[0] for r in rows.select(F.to_json(F.struct(*rows.columns))).collect())
+        assert Counter({r.row_json: r.copies for r in found.filter(F.col("name") == c.name).collect()}) == want, c.name
+
+
 def test_a_hot_failing_row_is_one_tally(spark):
     rows = spark.range(30_000).select(F.lit(None).cast("string").alias("k"), F.lit("bad").alias("code"))
     found = checks.findings([checks.not_null("t", "k"), checks.accepted_values("t", "code", "good")], {"t": rows}.__getitem__)

@@ -10,9 +10,10 @@ import shop
 from catalogue import landing
 from catalogue.queries import QUERIES, models
 from tillmark.operators.ranking import number_rows
-from tillmark.plans import as_delivered, reports, staging
+from tillmark.plans import as_delivered, marts, reports, staging
 from tillmark.plans import models as plans
 from tillmark.sources import shared, sinks, star_schema
+from tillmark.sources.star_schema import StarSchemaFeeds
 
 DAY = datetime(1995, 3, 4)
 TABLES = {
@@ -106,6 +107,27 @@ def test_tills_are_cleaned_once_for_the_lines_the_ledger_and_the_marts(spark, fo
     assert len(made) == 1
 
 
+def test_copies_of_till_lines_are_looked_for_where_the_lines_meet_their_order(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = staging.first_copies(StarSchemaFeeds(spark, folder)["pos_transactions"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders
+
+
+def test_regions_of_customers_travel_with_the_headers(spark):
+    items = [(v, "000010", "M1", "1.000", "EA", "1.00", "1", "5.00", "NZD", "f") for v in ("1", "1", "2", "3", "4", None)]
+    items = spark.createDataFrame(items, "VBELN string, POSNR string, MATNR string, KWMENG string, VRKME string, NETPR string, KPEIN string, NETWR string, WAERK string, _source_file string")
+    headers = [("1", "20260101", "20260102", "C-1"), ("1", "20260101", "20260102", "C-1"), ("2", "20260101", None, "C-9"), ("3", None, None, None), (None, None, None, "C-1"), ("4", None, None, "C-2")]
+    headers = spark.createDataFrame(headers, "VBELN string, AUDAT string, VDATU string, KUNNR string")
+    customers = spark.createDataFrame([("C-1", "AKL"), ("C-1", "WLG"), ("C-2", None), (None, "SYD")], "customer_id string, region_code string")
+    want = marts.wholesale_sales(staging.wholesale_lines(items, headers), customers)
+    got = marts.located_sales(staging.wholesale_lines(items, marts.located_headers(headers, customers), "region_code"))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 9
+
+
 def test_stored_marts_are_laid_out_without_a_shuffle(spark, tmp_path):
     wide = spark.range(0, 4000, 1, 4).selectExpr("id", "date_add(date'2026-01-01', cast(id % 90 as int)) as d")
     sinks.write_mart(wide, str(tmp_path / "m"), "d")

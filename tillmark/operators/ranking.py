@@ -17,6 +17,8 @@ from tillmark.sources.shared import FACTS, discard, written
 
 #: Rows of a piece that one task sorts.
 PIECE_ROWS = 250_000
+#: Rows of a table of pieces that is small beside the rows of one piece, so that it goes to all rows instead of them to it.
+FEW = 100_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -82,8 +84,10 @@ def number_rows(
     discard(rows)
     pieces = placed.groupBy("_part", *keys).agg(F.min("_slot").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # Written, so that its size is known before the join and not all rows travel again for it.
-    pieces = written(pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))), "pieces")
+    # Counted, so that its size is known before the join and not all rows travel again for it.
+    few = pieces.count() <= FEW
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    pieces = F.broadcast(pieces) if few else pieces
     same = [F.col("r._part") == F.col("p._part"), *(F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys)]
     position = (F.col("r._slot") - F.col("p._first") + F.col("p._before") + 1).cast("int").alias(name)
     return placed.alias("r").join(pieces.alias("p"), same).select(*(F.col(f"r.{c}") for c in df.columns), position)

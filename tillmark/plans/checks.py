@@ -1,7 +1,7 @@
 """Data-quality checks.
 
 A check is a rule on one relation; its failures are rows, and no rows means it passes. ``failures`` gives the rows of
-one check. ``findings`` gives those of all checks: each relation is scanned once, every row carries the array of what it adds to
+one check. ``findings`` gives those of all checks: each relation is scanned once (see ``tallies`` for relations that are joined), every row carries the array of what it adds to
 its checks (a value to tally, or itself as JSON where it breaks a rule), and one explode feeds one aggregation that tallies
 before any shuffle, so a value that fills a third of a column is a single tally per task. Counts, stored failures and the
 evidence of an incident are all read from the findings.
@@ -129,8 +129,8 @@ def _breaks(check: Check) -> Column:
     return (F.expr(check.where) & broken) if check.where else broken
 
 
-def _adds(check: Check) -> Column:
-    """What a row adds to the findings of a check: (name, value, row), or NULL when it adds nothing."""
+def _adds(check: Check, at: int) -> Column:
+    """What a row adds to the findings of the check in that place: (at, value, row), or NULL when it adds nothing."""
     nothing, value = F.lit(None).cast("string"), F.expr(check.value)
     if check.kind in _BY_ROW:
         counts, shown, row = _breaks(check), nothing, F.col(_FOUND)
@@ -138,16 +138,37 @@ def _adds(check: Check) -> Column:
         counts, shown, row = ~value.isin(*check.accepted), value.cast("string"), nothing
     else:
         counts, shown, row = value.isNotNull(), value.cast("string"), nothing
-    return F.when(counts, F.struct(F.lit(check.name).alias("name"), shown.alias("value"), row.alias("row")))
+    return F.when(counts, F.struct(F.lit(at).alias("at"), shown.alias("value"), row.alias("row")))
 
 
 def tallies(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """(name, value, row, n) for the rules of one relation in one scan; a row is written as JSON once, and only if it breaks a rule."""
+    """(name, value, row, n) for the rules of one relation in one scan; a row is written as JSON once, and only if it breaks a rule.
+
+    Where joins or aggregates make the relation, whole rows are sought apart if a missing value is all that is wrong with them: Spark looks
+    for that below the join or aggregate, and what travels there for the other rules are the few columns that they look at.
+    """
+    by_row = [c for c in checks if c.kind in _BY_ROW]
+    by_value = [c for c in checks if c.kind not in _BY_ROW]
+    if by_row and by_value and all(c.kind == "not_null" for c in by_row) and _made_of_several(df):
+        missing = reduce(Column.__or__, [_breaks(c) for c in by_row])
+        return _tallied(df, by_value).unionByName(_tallied(df.filter(missing), by_row))
+    return _tallied(df, checks)
+
+
+def _made_of_several(df: DataFrame) -> bool:
+    """Whether rows travel before the relation is there."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Join " in plan or "Aggregate " in plan
+
+
+def _tallied(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     by_row = [_breaks(c) for c in checks if c.kind in _BY_ROW]
     broken = reduce(Column.__or__, [F.coalesce(b, F.lit(False)) for b in by_row], F.lit(False))
     rows = df.withColumn(_FOUND, F.when(broken, F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
-    added = F.explode(F.array_compact(F.array(*(_adds(c) for c in checks)))).alias("p")
-    return rows.select(added).groupBy("p.name", "p.value", "p.row").agg(F.count("*").alias("n"))
+    added = F.explode(F.array_compact(F.array(*(_adds(c, at) for at, c in enumerate(checks, 1))))).alias("p")
+    tallied = rows.select(added).groupBy("p.at", "p.value", "p.row").agg(F.count("*").alias("n"))
+    # A check travels as its place; its name would go with every value.
+    return tallied.select(F.element_at(F.array(*(F.lit(c.name) for c in checks)), F.col("at")).alias("name"), "value", "row", "n")
 
 
 def findings(checks: Sequence[Check], relation: Callable[[str], DataFrame]) -> DataFrame:

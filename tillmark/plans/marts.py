@@ -99,7 +99,18 @@ def online_lines(web_lines: DataFrame, web_orders: DataFrame) -> DataFrame:
 
 
 def wholesale_sales(wholesale: DataFrame, customers: DataFrame) -> DataFrame:
-    return wholesale.join(customers.select("customer_id", "region_code"), ["customer_id"]).select(
+    return located_sales(wholesale.join(customers.select("customer_id", "region_code"), ["customer_id"]))
+
+
+def located_headers(headers: DataFrame, customers: DataFrame) -> DataFrame:
+    """The wholesale headers of known customers with their region. A document has many lines, so the region travels with its header."""
+    known = customers.select(F.col("customer_id").alias("KUNNR"), "region_code")
+    return headers.select("VBELN", "AUDAT", "VDATU", "KUNNR").join(known, ["KUNNR"])
+
+
+def located_sales(wholesale: DataFrame) -> DataFrame:
+    """Wholesale lines with a region as sales; without a customer they are none."""
+    return wholesale.filter(F.col("customer_id").isNotNull()).select(
         F.col("sales_order_line_id").alias("sales_line_id"),
         F.col("sales_order_id").alias("order_id"),
         F.lit("wholesale").alias("sales_channel"),

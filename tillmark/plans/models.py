@@ -109,10 +109,11 @@ class Models:
 
     @cached_property
     def priced_lines(self) -> DataFrame:
+        headers = marts.located_headers(self.feeds["erp_sales_order_headers"], self.stg_customers)
         return marts.priced_lines(
             marts.store_lines(self.stg_pos_lines, self.stg_stores),
             marts.online_lines(self.stg_web_order_lines, self.stg_web_orders),
-            marts.wholesale_sales(self.stg_wholesale_lines, self.stg_customers),
+            marts.located_sales(staging.wholesale_lines(self.feeds["erp_sales_order_items"], headers, "region_code")),
             self.stg_materials,
             self.stg_fx_rates,
         )

@@ -146,9 +146,10 @@ def web_order_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def wholesale_lines(items: DataFrame, headers: DataFrame) -> DataFrame:
-    """Items with their document header; an item without a header keeps its values and has no date or customer."""
-    wanted = headers.select("VBELN", "AUDAT", "VDATU", "KUNNR")
+def wholesale_lines(items: DataFrame, headers: DataFrame, *more: str) -> DataFrame:
+    """Items with their document header; an item without a header keeps its values and has no date or customer. ``more`` names further
+    columns of the header."""
+    wanted = headers.select("VBELN", "AUDAT", "VDATU", "KUNNR", *more)
     return items.join(wanted, ["VBELN"], "left").select(
         keys.item_key(F.col("VBELN"), F.col("POSNR")).alias("sales_order_line_id"),
         F.col("VBELN").alias("sales_order_id"),
@@ -163,6 +164,7 @@ def wholesale_lines(items: DataFrame, headers: DataFrame) -> DataFrame:
         F.col("WAERK").alias("currency"),
         parse_date("VDATU", "yyyymmdd").alias("requested_delivery_date"),
         "_source_file",
+        *more,
     )
 
 

@@ -49,10 +49,12 @@ def write_mart(df: DataFrame, path: str, date_column: str | None = None) -> Data
     """
     spark = df.sparkSession
     if date_column is None:
-        df.write.mode("overwrite").parquet(path, compression=shared.FACTS)
+        with shared.swept(spark):
+            df.write.mode("overwrite").parquet(path, compression=shared.FACTS)
         return spark.read.schema(df.schema).parquet(path)
     by_month = df.withColumn(MONTH, month_of(date_column))
-    by_month.write.mode("overwrite").partitionBy(MONTH).parquet(path, compression=shared.FACTS)
+    with shared.swept(spark):
+        by_month.write.mode("overwrite").partitionBy(MONTH).parquet(path, compression=shared.FACTS)
     return spark.read.parquet(path).select(*df.columns, MONTH)
 
 
@@ -120,7 +122,8 @@ def store_failures(found: DataFrame, root: str) -> DataFrame:
     """Writes the findings of all checks below ``root/dq_audit``, a folder for each check, in one pass over each relation; returns
     them as read back."""
     place = f"{root}/dq_audit"
-    found.hint("rebalance", "name").write.mode("overwrite").partitionBy("name").parquet(place)
+    with shared.swept(found.sparkSession):
+        found.hint("rebalance", "name").write.mode("overwrite").partitionBy("name").parquet(place)
     return found.sparkSession.read.schema(found.schema).parquet(place).select(*found.columns)
 
 

@@ -211,9 +211,13 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         return self.till_lines(0)
 
     def till_lines(self, *channels: int) -> DataFrame:
-        """Lines as tills write them. The test tables repeat (order, line) pairs; the repeats are the duplicate deliveries."""
-        orders = self.orders(*channels).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "day")
-        lines = self.lines(*channels).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        """Lines as tills write them. The test tables repeat (order, line) pairs; the repeats are the duplicate deliveries.
+
+        Lines meet their order by the transaction's number, so that whoever looks for copies in a transaction finds its lines together.
+        """
+        number = lambda key: F.concat(F.lit("T-"), key).alias("transaction_id")
+        orders = self.orders(*channels).select(number("o_orderkey"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "day")
+        lines = self.lines(*channels).withColumn("transaction_id", number("l_orderkey")).join(orders, ["transaction_id"])
         store = F.col("o_custkey") % 25
         is_return = F.col("o_orderstatus") == "P"
         keyed_wrong = (F.col("l_linenumber") == 7) & (F.col("l_quantity") < 3)
@@ -222,7 +226,7 @@ class StarSchemaFeeds(Mapping[str, DataFrame]):
         store_id = F.concat(F.lit("S0"), (store + 1).cast("string"))
         return lines.select(
             store_id.alias("store_id"),
-            F.concat(F.lit("T-"), "o_orderkey").alias("transaction_id"),
+            "transaction_id",
             _text(F.col("l_linenumber")).alias("line_no"),
             _stamp(F.col("day")).alias("txn_ts"),
             F.when(is_return, "RETURN").otherwise("SALE").alias("txn_type"),
